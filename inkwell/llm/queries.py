@@ -7,13 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import chat, quality, secrets, sharding, urls
+from inkwell.llm import chat, jaccard, pieces, quality, secrets, sharding, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A path of the machines that run drivers; a parameter of ``op1_pieces``.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op1_pieces(spark: SparkSession, sf_dir: str, model: str = MODEL) -> DataFrame:
+    """Ids of every text, and whether decoding them gives the text back."""
+    proto = pieces.read_model(model)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    back = pieces.decode(pieces.encode(docs, proto), proto)
+    digest: Callable[[Column], Column] = lambda c: F.crc32(F.coalesce(c, F.lit("")).cast("binary"))
+    return back.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"), "ids", digest(F.col("decoded")).alias("decoded_crc32"), F.col("decoded").eqNullSafe(F.col("text")).alias("same"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """24 shards of equal weight, and where a row would be with 25."""
     placed = sharding.assign(table(spark, sf_dir, "documents"), [1.0] * 24, [1.0] * 25)
@@ -55,5 +68,9 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.select(F.col("path").alias("doc_id"), count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(secrets.spell(base).cast("binary"), 256).alias("base_sha256"), secrets.spell(F.col("found")).alias("spans"))
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op3_chat, op4_urls, op5_quality, op9_secrets)}
+    return {f.__name__: f for f in (op1_pieces, op2_sharding, op3_chat, op4_urls, op5_quality, op9_secrets, op10_jaccard)}
