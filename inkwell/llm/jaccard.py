@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -100,7 +101,7 @@ def _slices(sizes: list[int], limit: int = SLICE_BYTES) -> Iterator[tuple[int, i
 
 def texts_of(batch: pa.RecordBatch, name: str) -> Iterator[tuple[int, int, list[bytes | None]]]:
     column = batch.column(batch.schema.get_field_index(name))
-    sizes = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
     for a, b in _slices(sizes):
         yield a, b, column.slice(a, b - a).cast(pa.binary()).to_pylist()
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkwell.llm import secrets
+from inkwell.llm import secrets, spans
 from inkwell.llm.queries import FORGED, URL_RULES
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -114,5 +114,38 @@ FROM a LEFT JOIN g USING (doc_id)
 """
 
 
+OP8 = rf"""
+WITH p AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '{spans.SENTENCE}')) AS part, generate_subscripts(regexp_extract_all(coalesce(text, ''), '{spans.SENTENCE}'), 1) AS no FROM documents),
+s AS (
+  SELECT doc_id, no, trim(part, chr(32) || chr(9) || chr(13) || chr(10)) AS s, row_number() OVER (PARTITION BY doc_id ORDER BY no) - 1 AS i,
+    length(trim(part, chr(32) || chr(9) || chr(13) || chr(10))) - length(replace(trim(part, chr(32) || chr(9) || chr(13) || chr(10)), ' ', '')) + 1 AS w
+  FROM p WHERE trim(part, chr(32) || chr(9) || chr(13) || chr(10)) <> ''),
+r AS (
+  {" UNION ALL ".join(f"SELECT doc_id, i, {n} AS n, [{', '.join(f'lead(s, {k}) OVER o' for k in range(n))}] AS run, {' + '.join(f'lead(w, {k}) OVER o' for k in range(n))} AS words, {m} AS least FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY i)" for n, m in spans.RUNS)}),
+f AS (SELECT doc_id, i, n, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS k FROM r WHERE words >= least),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS i FROM f WHERE k > 1),
+t AS (
+  SELECT p.doc_id, string_agg(part, '' ORDER BY p.no) FILTER (g.i IS NULL) AS kept, count(s.i) AS n_sentences, count(g.i) AS n_removed
+  FROM p LEFT JOIN s ON p.doc_id = s.doc_id AND p.no = s.no LEFT JOIN g ON s.doc_id = g.doc_id AND s.i = g.i GROUP BY p.doc_id)
+SELECT doc_id, coalesce(n_sentences, 0)::BIGINT AS n_sentences, coalesce(n_removed, 0)::BIGINT AS n_removed, length(coalesce(kept, ''))::BIGINT AS kept_chars, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN t USING (doc_id)
+"""
+
+OP10 = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents),
+h AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i + 1:i + 5], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 4, 1))) AS i FROM w WHERE len(w) > 0)),
+c AS (SELECT doc_id, count(*) AS n FROM h GROUP BY doc_id),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM h a JOIN h b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM o JOIN c cx ON cx.doc_id = x JOIN c cy ON cy.doc_id = y WHERE 100 * k >= 80 * (cx.n + cy.n - k)),
+b AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+reach(x, y) AS (SELECT x, y FROM b UNION SELECT reach.x, b.y FROM reach JOIN b ON reach.y = b.x)
+SELECT doc_id, coalesce(c.n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(m, doc_id))::BIGINT AS component_id
+FROM documents LEFT JOIN c USING (doc_id) LEFT JOIN (SELECT x AS doc_id, min(y) AS m FROM reach GROUP BY x) USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": OP2, "op3_chat": OP3, "op4_urls": OP4, "op5_quality": OP5, "op9_secrets": OP9}
+    return {"op2_sharding": OP2, "op3_chat": OP3, "op4_urls": OP4, "op5_quality": OP5, "op8_spans": OP8, "op9_secrets": OP9, "op10_jaccard": OP10}

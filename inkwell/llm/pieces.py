@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -335,7 +336,7 @@ def encode(docs: DataFrame, proto: bytes, text: str = "text", out: str = "ids")
         encoder = _encoder(proto)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
-            sizes = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_pylist()
+            sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
             for a, b in _slices(batch, sizes, SLICE_CHARS):
                 part = column.slice(a, b - a)
                 ids, counts = encoder.encode(part.to_pylist())
@@ -355,7 +356,7 @@ def decode(docs: DataFrame, proto: bytes, ids: str = "ids", out: str = "decoded"
         model = _encoder(proto).model
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids))
-            sizes = pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_pylist()
+            sizes = pc.fill_null(pc.list_value_length(column), 0).to_pylist()
             for a, b in _slices(batch, sizes, SLICE_CHARS):
                 part = column.slice(a, b - a)
                 lengths = np.array(sizes[a:b], np.int64)

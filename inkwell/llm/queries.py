@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import chat, jaccard, pieces, quality, secrets, sharding, urls
+from inkwell.llm import chat, decontam, jaccard, pieces, quality, secrets, sharding, spans, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,17 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark passage in every document, with its place and edits."""
+    return decontam.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = spans.dedupe(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.coalesce("kept_text", F.lit(""))
+    return done.select("doc_id", "n_sentences", "n_removed", F.length(kept).cast("long").alias("kept_chars"), F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths, _ = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
@@ -73,4 +84,4 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pieces, op2_sharding, op3_chat, op4_urls, op5_quality, op9_secrets, op10_jaccard)}
+    return {f.__name__: f for f in (op1_pieces, op2_sharding, op3_chat, op4_urls, op5_quality, op6_decontam, op8_spans, op9_secrets, op10_jaccard)}
