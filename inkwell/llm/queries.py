@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import chat, decontam, jaccard, pieces, quality, secrets, sharding, spans, urls
+from inkwell.llm import chat, decontam, jaccard, pieces, quality, secrets, sharding, spans, suffix, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,11 @@ def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix.dedupe(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = spans.dedupe(table(spark, sf_dir, "documents").select("doc_id", "text"))
     kept = F.coalesce("kept_text", F.lit(""))
@@ -84,4 +89,4 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pieces, op2_sharding, op3_chat, op4_urls, op5_quality, op6_decontam, op8_spans, op9_secrets, op10_jaccard)}
+    return {f.__name__: f for f in (op1_pieces, op2_sharding, op3_chat, op4_urls, op5_quality, op6_decontam, op7_suffix, op8_spans, op9_secrets, op10_jaccard)}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -28,18 +29,19 @@ def cut(frame: DataFrame, label: str) -> DataFrame:
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    back = spark.read.schema(frame.schema).parquet(path)
+    back._cut_path = path
+    return back
 
 
 def drop(frame: DataFrame) -> None:
-    """Remove the files of a table made by ``cut`` that nothing reads any more."""
+    """Remove the files of a table made by ``cut`` that nothing reads any more, and let Spark remove shuffle files of finished plans."""
     spark = frame.sparkSession
     jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
-        if not folder.split(":", 1)[-1].startswith(shared_folder(spark).split(":", 1)[-1].replace("//", "/")):
-            continue
-        at = jvm.org.apache.hadoop.fs.Path(folder)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    at = jvm.org.apache.hadoop.fs.Path(frame._cut_path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    gc.collect()
+    jvm.System.gc()
 
 
 def bind(value: Column, body) -> Column:
