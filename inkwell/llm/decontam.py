@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.jaccard import texts_of
+from inkwell.llm.counts import texts_of
 from inkwell.llm.store import cut
 
 BLOCK_BYTES = 16 << 20
@@ -144,7 +144,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, per_edit: int = 10, min_chars:
             search = Items(held.value, per_edit)
             for batch in batches:
                 ids = batch.column(0)
-                for a, b, texts in texts_of(batch, "text"):
+                for a, b, texts in texts_of(batch):
                     got = [(ids[a + k].as_py(), *f) for k, t in enumerate(texts) for f in search.find(folded(t))]
                     yield pa.RecordBatch.from_arrays([pa.array([g[c] for g in got], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=["doc_id", "item_id", "start", "end", "distance"])
 

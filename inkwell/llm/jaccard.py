@@ -10,10 +10,9 @@ for which that many shared tokens are not certain, use single tokens throughout;
 The order needs each token's class only, which is read from two bitmaps of fixed size; hashes that meet in a slot make a token look
 more frequent than it is, which costs time and no pair. Tokens are counted by a shuffle of four bytes each.
 
-Equal sets are one vertex. A signature's vertices are not paired with each other: each is compared with one pivot, the links found
-are joined to components, and only vertices of one signature that are in different components are compared further, in more pivot
-rounds and at last pair by pair. So every pair that shares a signature was compared or is already in one component, which is
-complete, while a group of a thousand near copies costs a thousand comparisons.
+Equal sets are one vertex. A signature's vertices are first compared with one pivot, which joins groups of copies at a row per copy.
+What still shares a signature across components is compared in full: see ``links``. So every pair that shares a signature was compared
+or is in one component, which is complete; no pair within a joined group is ever made.
 
 Defined results: without words or text a document has no shingles, no links and itself as component; fewer than five words are one
 shingle; ties cannot occur; rows that share an id are one document linked through the text of either; a null id gets a null
@@ -24,22 +23,19 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.llm import counts
 from inkwell.llm.store import cut
 
 WIDTH = 5
 PERCENT = 80
-SLOTS_LOG2 = 27
 SMALL = 64
-SLICE_BYTES = 1 << 22
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -88,68 +84,6 @@ def shingle_sets(texts: list[bytes | None], width: int = WIDTH) -> list[np.ndarr
     return out
 
 
-def _slices(sizes: list[int], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    at, total = 0, 0
-    for k, n in enumerate(sizes):
-        if total and total + n > limit:
-            yield at, k
-            at, total = k, 0
-        total += n
-    if at < len(sizes):
-        yield at, len(sizes)
-
-
-def texts_of(batch: pa.RecordBatch, name: str) -> Iterator[tuple[int, int, list[bytes | None]]]:
-    column = batch.column(batch.schema.get_field_index(name))
-    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
-    for a, b in _slices(sizes):
-        yield a, b, column.slice(a, b - a).cast(pa.binary()).to_pylist()
-
-
-def token_classes(docs: DataFrame, frequent: int, buckets_log2: int, slots_log2: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two bitmaps by a token's leading bits: held by several documents, held by more than ``frequent``.
-
-    A task sends each of its tokens once per document, at most ``frequent + 1`` times, as four bytes to the bucket of its leading
-    bits. A bucket has an even share of hash space, so no document or token makes it large, and its number follows the row count.
-    """
-
-    def send(batches):
-        for batch in batches:
-            for _, _, texts in texts_of(batch, "text"):
-                tokens = np.concatenate([np.zeros(0, np.uint64), *shingle_sets(texts)])
-                tokens = np.sort(tokens >> np.uint64(32 - buckets_log2))  # bucket and 32 more bits
-                rank = np.arange(len(tokens)) - np.searchsorted(tokens, tokens)
-                tokens = tokens[rank <= frequent]
-                bucket = (tokens >> np.uint64(32)).astype(np.int64)
-                cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-                low = (tokens & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()
-                ends = [*cuts[1:].tolist(), len(tokens)]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts].astype(np.int32)), pa.array([low[4 * a : 4 * b] for a, b in zip(cuts.tolist(), ends, strict=True)], pa.binary())], names=["bucket", "tokens"])
-
-    def count(table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket")[0].as_py()
-        tokens = np.sort(np.frombuffer(b"".join(table.column("tokens").to_pylist()), "<u4"))
-        first = np.flatnonzero(np.diff(tokens.astype(np.int64), prepend=-1))
-        times = np.diff(np.append(first, len(tokens)))
-        slots = 1 << (slots_log2 - buckets_log2)
-        bits = []
-        for least in (2, frequent + 1):
-            held = np.zeros(slots, bool)
-            held[tokens[first[times >= least]] >> np.uint32(32 - slots_log2 + buckets_log2)] = True
-            bits.append(np.packbits(held, bitorder="little").tobytes())
-        return pa.table({"bucket": pa.array([bucket], pa.int32()), "several": pa.array([bits[0]], pa.binary()), "many": pa.array([bits[1]], pa.binary())})
-
-    sent = docs.select("text").mapInArrow(send, "bucket int, tokens binary")
-    chunks = sent.groupBy("bucket").applyInArrow(count, "bucket int, several binary, many binary")
-    several, many = (np.zeros(1 << (slots_log2 - 3), np.uint8) for _ in range(2))
-    size = 1 << (slots_log2 - buckets_log2 - 3)
-    for row in chunks.toLocalIterator():  # fixed size: the two bitmaps, whatever the input
-        at = row["bucket"] * size
-        several[at : at + size] = np.frombuffer(row["several"], np.uint8)
-        many[at : at + size] = np.frombuffer(row["many"], np.uint8)
-    return several, many
-
-
 def signatures(tokens: np.ndarray, kind: np.ndarray, percent: int, classes: int) -> np.ndarray:
     """Signatures of a set; ``kind`` is 0, 1 or 2 for each token: unique, rare, frequent."""
     n = len(tokens)
@@ -183,18 +117,15 @@ def signatures(tokens: np.ndarray, kind: np.ndarray, percent: int, classes: int)
 def signed(docs: DataFrame, several: np.ndarray, many: np.ndarray, slots_log2: int, percent: int, classes: int) -> DataFrame:
     """(doc_id, n, node, sigs): the set's size, a 128-bit digest of the set, and its signatures."""
     maps = docs.sparkSession.sparkContext.broadcast((several, many))
-    shift = np.uint64(64 - slots_log2)
 
     def run(batches):
         several, many = maps.value
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id"))
-            for a, b, texts in texts_of(batch, "text"):
+            for a, b, texts in counts.texts_of(batch):
                 sizes, nodes, sigs = [], [], []
                 for s in shingle_sets(texts):
-                    slot = (s >> shift).astype(np.int64)
-                    byte, bit = slot >> 3, (slot & 7).astype(np.uint8)
-                    kind = ((several[byte] >> bit) & 1) + ((many[byte] >> bit) & 1)
+                    kind = counts.held(several, s, slots_log2) + counts.held(many, s, slots_log2)
                     sizes.append(len(s))
                     nodes.append(hashlib.md5(s.tobytes()).digest() if len(s) else None)
                     sigs.append(signatures(s, kind, percent, classes).view(np.int64) if len(s) and kind.any() else None)
@@ -205,29 +136,18 @@ def signed(docs: DataFrame, several: np.ndarray, many: np.ndarray, slots_log2: i
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, node binary, sigs array<long>")
 
 
-def _bitmap(ids: DataFrame, column: str, slots_log2: int) -> np.ndarray:
-    """A bitmap of fixed size over hashed values; its words are made by a distributed ``bit_or``."""
-    slot = F.shiftrightunsigned(F.xxhash64(column), 64 - slots_log2)
-    words = ids.select(F.shiftright(slot, 5).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(31)).cast("int")).alias("b"))
-    out = np.zeros(1 << (slots_log2 - 5), "<u4")
-    for batch in words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow().to_batches():
-        out[batch.column(0).to_numpy()] = batch.column(1).to_numpy().astype("<u4")
-    return out
-
-
 def sets_of(docs: DataFrame, wanted: DataFrame, slots_log2: int = 24) -> DataFrame:
     """(rep, tokens) of the documents in ``wanted.rep``. A bitmap of ids, fixed in size, spares the others' texts; an exact join follows."""
-    held = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted, "rep", slots_log2))
+    held = docs.sparkSession.sparkContext.broadcast(counts.bitmap(wanted, F.xxhash64("rep"), slots_log2))
 
     def run(batches):
         words = held.value
         for batch in batches:
-            slot = batch.column(2).to_numpy()
-            batch = batch.filter(pa.array((words[slot >> 5] >> (slot & 31).astype("<u4")) & 1 == 1))
-            for a, b, texts in texts_of(batch, "text"):
+            batch = batch.filter(pa.array(counts.held(words, batch.column(2).to_numpy().view(np.uint64), slots_log2) == 1))
+            for a, b, texts in counts.texts_of(batch):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())], names=["doc", "tokens"])
 
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc"), "text").withColumn("slot", F.shiftrightunsigned(F.xxhash64("doc"), 64 - slots_log2))
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc"), "text").withColumn("hash", F.xxhash64("doc"))
     found = rows.mapInArrow(run, "doc long, tokens binary")
     return found.join(wanted, found["doc"] == wanted["rep"]).select("rep", "tokens")
 
@@ -278,46 +198,90 @@ def _pairs(left: str, right: str, percent: int):
     return fits, F.least(left, right).alias("a"), F.greatest(left, right).alias("b")
 
 
-def links(members: DataFrame, sets: DataFrame, percent: int, rounds: int) -> DataFrame:
-    """(node, component) over all verified links among vertices that share a signature; see the module's head."""
+def _compared(rows: DataFrame, percent: int) -> DataFrame:
+    """The similar pairs (a, b) of different components among the vertices (rep, comp, block, tokens) of each (pivot, lo, hi).
+
+    A group is two blocks of bounded size, or one. Shared tokens are counted by products of slices of the token matrix.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        rep, comp, block = (table.column(c).to_numpy() for c in ("rep", "comp", "block"))
+        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for chunk in table.column("tokens").chunks for x in chunk]
+        size = np.array([len(s) for s in sets], np.int64)
+        owner = np.repeat(np.arange(len(sets)), size)
+        _, token, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = times[token] > 1
+        owner, token = owner[shared], (np.cumsum(times > 1) - 1)[token[shared]]
+        by = np.argsort(token, kind="stable")
+        owner, token = owner[by], token[by]
+        common = np.zeros((len(sets), len(sets)), np.float32)
+        for a in range(0, int(token[-1]) + 1 if len(token) else 0, 4096):
+            x, y = np.searchsorted(token, [a, a + 4096])
+            part = np.zeros((len(sets), 4096), np.float32)
+            part[owner[x:y], token[x:y] - a] = 1
+            common += part @ part.T
+        near = 100 * common >= percent * (size[:, None] + size[None, :] - common)
+        near &= (comp[:, None] != comp[None, :]) & (rep[:, None] < rep[None, :])
+        if lo != hi:
+            near &= block[:, None] != block[None, :]
+        i, j = np.nonzero(near)
+        return pa.table({"a": pa.array(rep[i], pa.int64()), "b": pa.array(rep[j], pa.int64())})
+
+    return rows.groupBy("pivot", "lo", "hi").applyInArrow(run, "a long, b long").distinct()
+
+
+def _stars(labelled: DataFrame) -> DataFrame:
+    """(s, c, k, p, n_p) of each signature: its vertices, components, and as pivot the vertex with the least hash.
+
+    The least hash of all gives signatures with nearly the same vertices the same pivot.
+    """
+    pivot = F.min(F.struct(F.hash("rep").alias("h"), F.col("rep").alias("p"), F.col("n").alias("n_p"))).alias("pivot")
+    parts = labelled.groupBy("sig", "comp").agg(F.count("*").alias("c"), pivot)
+    stars = parts.groupBy("sig").agg(F.sum("c").alias("c"), F.count("*").alias("k"), F.min("pivot").alias("pivot"))
+    return stars.where("k > 1").select(F.col("sig").alias("s"), "c", "pivot.p", "pivot.n_p")
+
+
+def links(members: DataFrame, sets: DataFrame, percent: int, few: int = 32, block: int = 128, block_tokens: int = 500_000) -> DataFrame:
+    """(node, component) over all links among vertices that share a signature.
+
+    First each vertex is compared with the pivots of its signatures, which joins groups of copies at the cost of a row per copy. Then
+    whatever shares a signature across components is compared: pair by pair where a signature has up to ``few`` vertices; else the
+    vertices that have a pivot in common are dealt into blocks, and two blocks at a time are compared in one task, which returns links
+    only. A block has about ``block`` vertices and ``block_tokens`` tokens, however many share the signature.
+    """
     spark = members.sparkSession
-    edges = spark.createDataFrame([], "a long, b long")
-    seen = spark.createDataFrame([], "a long, b long")
-    found = spark.createDataFrame([], "node long, component long")
-    for turn in range(rounds + 1):
-        labelled = _labelled(members, found)
-        # signatures whose vertices are of one component are finished
-        parts = labelled.groupBy("sig", "comp").agg(F.count("*").alias("c"), F.min(F.struct(F.hash("rep", F.lit(turn)).alias("h"), F.col("rep").alias("p"), F.col("n").alias("n_p"))).alias("best"))
-        first = F.min(F.struct(F.hash("comp", F.lit(turn)).alias("h"), F.col("comp").alias("c_p"), F.col("best.p").alias("p"), F.col("best.n_p").alias("n_p"))).alias("pivot")
-        open_ = parts.groupBy("sig").agg(F.count("*").alias("k"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"), first).where("k > 1")
-        open_ = cut(open_.select(F.col("sig").alias("s"), "c", "cc", "pivot.c_p", "pivot.p", "pivot.n_p"), "jaccard-open")
-        total = open_.agg(F.sum((F.col("c") * F.col("c") - F.col("cc")) / 2).alias("pairs"), F.sum("c").alias("rows")).first()
-        if not total["rows"]:
-            break
-        last = turn == rounds or total["pairs"] <= 2 * total["rows"]
-        if last:
-            live = labelled.join(open_.select("s"), F.col("sig") == F.col("s"), "left_semi")
-            x = live.select("sig", F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("comp").alias("c_x"))
-            y = live.select(F.col("sig").alias("s"), F.col("rep").alias("y"), F.col("n").alias("n_y"), F.col("comp").alias("c_y"))
-            fits, a, b = _pairs("x", "y", percent)
-            pairs = x.join(y, (F.col("sig") == F.col("s")) & (F.col("c_x") < F.col("c_y")) & fits).select(a, b).distinct()
-        else:
-            fits, a, b = _pairs("rep", "p", percent)
-            near = labelled.withColumnRenamed("n", "n_rep").join(open_.select("s", "c_p", "p", "n_p"), F.col("sig") == F.col("s"))
-            pairs = near.where((F.col("comp") != F.col("c_p")) & fits).select(a, b).distinct()
-        pairs = cut(pairs.join(seen, ["a", "b"], "left_anti"), "jaccard-pairs")
-        edges = cut(edges.unionByName(verified(pairs, sets, percent)), "jaccard-edges")
-        seen = seen.unionByName(pairs)
-        found = components(edges)
-        if last:
-            break
-    return found
-
-
-def join(docs: DataFrame, percent: int = PERCENT, frequent: int = 32, classes: int = 16, rounds: int = 4, slots_log2: int = SLOTS_LOG2) -> DataFrame:
+    sig = F.col("sig") == F.col("s")
+    labelled = members.withColumn("comp", F.col("rep"))
+    near = labelled.withColumnRenamed("n", "n_rep").join(_stars(labelled), sig).where("rep <> p")
+    fits, a, b = _pairs("rep", "p", percent)
+    first = cut(near.where(fits).select(a, b).distinct(), "jaccard-pairs")
+    edges = cut(verified(first, sets, percent), "jaccard-edges")
+    found = components(edges)
+
+    labelled = cut(_labelled(members, found), "jaccard-labelled")
+    open_ = cut(_stars(labelled), "jaccard-open")
+    small = labelled.join(open_.where(F.col("c") <= few).select("s"), sig, "left_semi")
+    x = small.select("sig", F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("comp").alias("c_x"))
+    y = small.select(F.col("sig").alias("s"), F.col("rep").alias("y"), F.col("n").alias("n_y"), F.col("comp").alias("c_y"))
+    fits, a, b = _pairs("x", "y", percent)
+    second = cut(x.join(y, sig & (F.col("c_x") < F.col("c_y")) & fits).select(a, b).distinct().join(first, ["a", "b"], "left_anti"), "jaccard-pairs")
+
+    large = labelled.join(open_.where(F.col("c") > few).select("s", F.col("p").alias("pivot")), sig)
+    large = cut(large.select("pivot", "rep", "n", "comp").distinct(), "jaccard-large")
+    blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / block_tokens)).cast("int")
+    dealt = large.join(large.groupBy("pivot").agg(blocks.alias("blocks")).withColumnRenamed("pivot", "g"), F.col("pivot") == F.col("g"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("pivot", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "comp")
+    dealt = dealt.join(sets.withColumnRenamed("rep", "t"), F.col("rep") == F.col("t")).drop("t")
+    more = cut(verified(second, sets, percent).unionByName(_compared(dealt, percent)), "jaccard-edges")
+    return components(edges.unionByName(more)) if more.limit(1).count() else found
+
+
+def join(docs: DataFrame, percent: int = PERCENT, frequent: int = 32, classes: int = 16, slots_log2: int = counts.SLOTS_LOG2) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``; documents link at ``percent`` per cent and more."""
-    buckets = min(slots_log2 - 3, max(8, math.ceil(math.log2(max(1, docs.count()) / 2000))))
-    several, many = token_classes(docs, frequent, buckets, slots_log2)
+    several, many = counts.classes(docs, shingle_sets, (2, frequent + 1), slots_log2)
     rows = cut(signed(docs, several, many, slots_log2, percent, classes), "jaccard-docs")
     reps = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep")).select(F.col("node").alias("r_node"), "rep")
     flat = rows.where("sigs is not null").select("node", "n", F.explode("sigs").alias("sig")).distinct()
@@ -325,7 +289,7 @@ def join(docs: DataFrame, percent: int = PERCENT, frequent: int = 32, classes: i
     members = flat.join(often, F.col("sig") == F.col("s"), "left_semi").join(reps, F.col("node") == F.col("r_node")).where("rep is not null")
     members = cut(members.select("sig", "rep", "n").distinct(), "jaccard-members")
     sets = cut(sets_of(docs, members.select("rep").distinct()), "jaccard-sets")
-    found = links(members, sets, percent, rounds)
+    found = links(members, sets, percent)
     named = reps.join(found, F.col("rep") == F.col("node"), "left").select("r_node", F.coalesce("component", "rep").alias("c"))
     out = rows.join(named, F.col("node") == F.col("r_node"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
