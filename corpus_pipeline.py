@@ -6,7 +6,7 @@ and read again as the next one's ``docs``. All but the last return the columns o
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.llm import decontam, jaccard, pieces, quality, secrets
@@ -19,10 +19,11 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids, docs["doc_id"].eqNullSafe(ids["id"]), "left_semi")
 
 
-def _recounted(docs: DataFrame, text) -> DataFrame:
-    """``docs`` with a new text, and ``n_chars`` with its length where the table has that column."""
-    new = {"text": text} | ({"n_chars": F.when(text.eqNullSafe(docs["text"]), docs["n_chars"]).otherwise(F.length(text).cast("long"))} if "n_chars" in docs.columns else {})
-    return docs.withColumns(new)
+def _recounted(joined: DataFrame, docs: DataFrame, text: Column) -> DataFrame:
+    """The columns of ``docs`` out of ``joined`` with a new text, and its length as ``n_chars`` where it changed."""
+    count = F.when(text.eqNullSafe(docs["text"]), docs["n_chars"]).otherwise(F.length(text).cast("long")) if "n_chars" in docs.columns else None
+    new = {"text": text, "n_chars": count}
+    return joined.select(*[new[c].alias(c) if c in new else docs[f"`{c}`"] for c in docs.columns])
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +52,9 @@ def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     paths, _ = secrets.scan(docs.select("doc_id", "text"))
     hits = paths.where(F.size("found") > 0).select(F.col("path").alias("h_path"), F.col("blob").alias("h_blob"), "found").dropDuplicates(["h_path", "h_blob"])
     blob = F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256)
-    joined = docs.join(hits, docs["doc_id"].eqNullSafe(F.col("h_path")) & (blob == F.col("h_blob")), "left")
-    text = F.when(F.col("found").isNotNull(), secrets.redact(F.col("text"), F.col("found"))).otherwise(F.col("text"))
-    return _recounted(joined, text).select(*docs.columns)
+    joined = docs.join(hits, docs["doc_id"].eqNullSafe(hits["h_path"]) & (blob == hits["h_blob"]), "left")
+    text = F.when(hits["found"].isNotNull(), secrets.redact(docs["text"], hits["found"])).otherwise(docs["text"])
+    return _recounted(joined, docs, text)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

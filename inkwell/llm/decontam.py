@@ -165,6 +165,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` with every found passage cut out of its text; other columns and rows stay as they are."""
     found = cut(leaks(docs, benchmark, **options), "decontam-leaks")
     spans = found.groupBy(F.col("doc_id").alias("l_doc")).agg(F.collect_set(F.struct("start", "end")).alias("l_spans"))
-    joined = docs.join(spans, docs["doc_id"].cast("long") == F.col("l_doc"), "left")
-    text = F.when(F.col("l_spans").isNotNull(), _without(docs["text"], F.col("l_spans"))).otherwise(docs["text"])
+    joined = docs.join(spans, docs["doc_id"].cast("long") == spans["l_doc"], "left")
+    text = F.when(spans["l_spans"].isNotNull(), _without(docs["text"], spans["l_spans"])).otherwise(docs["text"])
     return joined.select(*[text.alias(c) if c == "text" else docs[f"`{c}`"] for c in docs.columns])

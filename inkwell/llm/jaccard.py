@@ -66,7 +66,7 @@ def shingle_sets(texts: list[bytes | None], width: int = WIDTH) -> list[np.ndarr
     with np.errstate(over="ignore"):
         n = len(flat)
         whole = np.zeros(max(0, n - width + 1), np.uint64)
-        for k in range(width):
+        for k in range(width if n >= width else 0):
             whole = (whole * ODD) + _mix(flat[k : n - width + 1 + k] + np.uint64(k))
         whole = _mix(whole)
         out, at = [], 0

@@ -76,18 +76,19 @@ def repeated(docs: DataFrame, runs=RUNS) -> DataFrame:
 
 def dedupe(docs: DataFrame, runs=RUNS) -> DataFrame:
     """``docs`` with ``kept_text``, ``n_sentences`` and ``n_removed``; one shuffle of the texts, by document."""
-    gone = repeated(docs, runs).select(F.col("doc").alias("g_doc"), "gone")
+    gone = repeated(docs, runs)
     carried = [c for c in docs.columns if c.lower() not in {"kept_text", "n_sentences", "n_removed"}]
-    joined = docs.select(*[F.col(f"`{c}`") for c in carried]).join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("g_doc")), "left")
+    joined = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["doc"]), "left")
+    own, text = gone["gone"], docs["text"]
 
     def rebuilt(parts: Column) -> Column:
         def cleaned(sentences: Column) -> Column:
-            drop = F.transform(F.filter("gone", lambda g: g < F.size(sentences)), lambda g: F.get(sentences, g)["i"])
+            drop = F.transform(F.filter(own, lambda g: g < F.size(sentences)), lambda g: F.get(sentences, g)["i"])
             keep = F.array_except(F.transform(parts, lambda _, i: i), drop)
-            text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(F.sort_array(keep), lambda i: F.get(parts, i)), ""))
-            return F.struct(text.alias("kept_text"), F.size(sentences).cast("long").alias("n_sentences"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+            kept = F.when(own.isNull(), text).otherwise(F.array_join(F.transform(F.sort_array(keep), lambda i: F.get(parts, i)), ""))
+            return F.struct(kept.alias("kept_text"), F.size(sentences).cast("long").alias("n_sentences"), F.coalesce(F.size(own), F.lit(0)).cast("long").alias("n_removed"))
 
         return bind(_sentences(parts), cleaned)
 
-    done = joined.withColumn("d", bind(pieces(F.col("text")), rebuilt))
-    return done.select(*[F.col(f"`{c}`") for c in carried], "d.kept_text", "d.n_sentences", "d.n_removed")
+    done = joined.select(*[docs[f"`{c}`"] for c in carried], bind(pieces(text), rebuilt).alias("d__"))
+    return done.select(*[F.col(f"`{c}`") for c in carried], "d__.kept_text", "d__.n_sentences", "d__.n_removed")

@@ -55,7 +55,7 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
         )
         for verdict, h, p in rules
     ]
-    return F.array_max(F.array(*fitting))
+    return F.array_max(F.array(*fitting).cast("array<struct<n:int,rule:string,verdict:string>>"))
 
 
 def _block(key: Column, blocks: int) -> Column:
