@@ -30,11 +30,11 @@ from pyspark.sql import types as T
 MARK = "▁"
 #: Parts the words of an index; a private-use character.
 SEPARATOR = "\ue000"
-SLICE_CHARS = 1 << 21
-MAX_WORDS = 400_000
-MAX_PAIRS = 1_000_000
+SLICE_CHARS = 1 << 20
+MAX_WORDS = 200_000
+MAX_PAIRS = 50_000
 SLOT_BITS = 20
-BLOCK_CHARS = 1 << 19
+BLOCK_CHARS = 1 << 18
 LONG_WORD = 4096
 
 

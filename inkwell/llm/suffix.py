@@ -33,7 +33,7 @@ from inkwell.llm.store import cut, drop
 THRESHOLD = 50
 GRAM = 26
 ODD = np.uint64(0x9E3779B97F4A7C15)
-PLACES = 20
+PLACES = 18
 STEP = 1 << PLACES
 LAST = (1 << 63) - 1
 
@@ -44,6 +44,10 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: A random number for each byte.
+BYTES = _mix(np.arange(1, 257, dtype=np.uint64) * ODD)
+
+
 class Block:
     """The windows of a block of texts, at most ``STEP`` bytes, with their anchors and runs; ``begin`` has each text's first byte."""
 
@@ -54,7 +58,7 @@ class Block:
             self.begin = np.cumsum(size) - size
             self.threshold, n = threshold, len(data)
             # hashes of strings of 1, 2, 4, ... bytes, each from two of the half length
-            self.level = {1: _mix(data.astype(np.uint64) + np.uint64(1))}
+            self.level = {1: BYTES[data]}
             self.power, length = {1: ODD}, 1
             while 2 * length <= min(threshold, n):
                 h, p = self.level[length], self.power[length]
@@ -72,15 +76,21 @@ class Block:
                 length *= 2
             if width > length:
                 least = np.minimum(least[: length - width], least[width - length :])
-            owner = np.repeat(np.arange(len(texts)), size)
-            starts = np.flatnonzero(owner[: n - threshold + 1] == owner[threshold - 1 :])  # windows within one text
-            if not len(starts):
-                return
-            at = (least[starts] & np.uint64(STEP - 1)).astype(np.int64)
-            new = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(starts, prepend=-2) != 1))
-            end = np.append(new[1:], len(starts)) - 1
-            self.first, self.count = starts[new], starts[end] - starts[new] + 1
-            self.text, self.anchor = owner[self.first], grams[at[new]]
+            at = (least & np.uint64(STEP - 1)).astype(np.int32)
+            # a run ends where the anchor changes and where the windows of a text end
+            windows = np.maximum(size - threshold + 1, 0)
+            change = np.empty(len(at), bool)
+            change[0] = True
+            np.not_equal(at[1:], at[:-1], out=change[1:])
+            change[self.begin[windows > 0]] = True
+            ends = self.begin + windows
+            change[ends[ends < len(at)]] = True
+            new = np.flatnonzero(change)
+            count = np.diff(np.append(new, len(at)))
+            text = np.searchsorted(self.begin, new, "right") - 1
+            inside = new - self.begin[text] < windows[text]
+            self.first, self.count, self.text = new[inside], count[inside], text[inside]
+            self.anchor = grams[at[self.first]]
             # a run's first and last windows overlap, and so cover it
             whole = self.hashes(threshold)
             self.name = _mix(whole[self.first] * ODD + _mix(whole[self.first + self.count - 1] + self.count.astype(np.uint64)))
@@ -99,11 +109,11 @@ class Block:
     def halves(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(run, position, name of the first half, name of the second) of every window of the chosen runs."""
         half = self.threshold - self.threshold // 2
-        names = _mix(self.hashes(half))
+        names = self.hashes(half)
         n = self.count[runs]
         which = np.repeat(runs, n)
         at = np.repeat(self.first[runs] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        return which, at, names[at], names[at + self.threshold - half]
+        return which, at, _mix(names[at]), _mix(names[at + self.threshold - half])
 
 
 def blocks(texts: list[bytes | None], threshold: int, gram: int):
@@ -144,7 +154,7 @@ def runs_of(rows: DataFrame, repeated: np.ndarray, threshold: int, gram: int) ->
     def run(batches):
         for batch in batches:
             ids = batch.column(0)
-            for a, b, texts in counts.texts_of(batch):
+            for a, b, texts in counts.texts_of(batch, limit=STEP):
                 own = ids.slice(a, b - a).to_numpy()
                 for numbers, offsets, block in blocks(texts, threshold, gram):
                     keep = counts.held(bits.value, block.anchor).astype(bool)
@@ -156,21 +166,24 @@ def runs_of(rows: DataFrame, repeated: np.ndarray, threshold: int, gram: int) ->
     return rows.mapInArrow(run, "anchor long, name long, doc long, at long, n int")
 
 
-def windows_of(rows: DataFrame, wanted: np.ndarray, wanted_log2: int, threshold: int, gram: int) -> DataFrame:
-    """(one, two, doc, at): the windows of the runs whose (anchor, name) is in the bitmap ``wanted``, each named by its halves."""
-    bits = rows.sparkSession.sparkContext.broadcast(wanted)
+def windows_of(rows: DataFrame, repeated: np.ndarray, wanted: np.ndarray, wanted_log2: int, some: np.ndarray, threshold: int, gram: int) -> DataFrame:
+    """(one, two, doc, at): the windows of the runs whose (anchor, name, doc) is in the bitmap ``wanted``, each named by its halves."""
+    maps = rows.sparkSession.sparkContext.broadcast((repeated, wanted, some))
 
     def run(batches):
         for batch in batches:
+            # a bitmap of documents spares the texts of the others
+            batch = batch.filter(pa.array(counts.held(maps.value[2], batch.column(2).to_numpy().view(np.uint64), 24) == 1))
             ids = batch.column(0)
-            for a, b, texts in counts.texts_of(batch):
+            for a, b, texts in counts.texts_of(batch, limit=STEP):
                 own = ids.slice(a, b - a).to_numpy()
                 for numbers, offsets, block in blocks(texts, threshold, gram):
-                    if not len(block.anchor):
+                    runs = np.flatnonzero(counts.held(maps.value[0], block.anchor))
+                    if not len(runs):
                         continue
                     with np.errstate(over="ignore"):
-                        key = _key(block.anchor, block.name, own[numbers[block.text]].astype(np.uint64))
-                    runs = np.flatnonzero(counts.held(bits.value, key, wanted_log2))
+                        key = _key(block.anchor[runs], block.name[runs], own[numbers[block.text[runs]]].astype(np.uint64))
+                    runs = runs[counts.held(maps.value[1], key, wanted_log2).astype(bool)]
                     if not len(runs):
                         continue
                     which, at, one, two = block.halves(runs)
@@ -178,7 +191,7 @@ def windows_of(rows: DataFrame, wanted: np.ndarray, wanted_log2: int, threshold:
                     columns = [one.view(np.int64), two.view(np.int64), own[numbers[text]], at - block.begin[text] + offsets[text]]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["one", "two", "doc", "at"])
 
-    return rows.mapInArrow(run, "one long, two long, doc long, at long")
+    return rows.withColumn("hash", F.xxhash64("doc")).mapInArrow(run, "one long, two long, doc long, at long")
 
 
 def _key(anchor: np.ndarray, name: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -197,23 +210,25 @@ def _wanted(edge: DataFrame, slots_log2: int) -> np.ndarray:
     return counts.bitmap(edge.select("anchor", "name", "doc").mapInArrow(keys, "key long"), F.col("key"), slots_log2)
 
 
-def repeats(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM, slots_log2: int = counts.SLOTS_LOG2, wanted_log2: int = 25) -> DataFrame:
+def repeats(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM, slots_log2: int = counts.SLOTS_LOG2, wanted_log2: int = 27) -> DataFrame:
     """(doc, at, n): byte ranges, possibly overlapping, that stand in documents with smaller ids."""
     rows = _shuffled(docs)
     (repeated,) = counts.classes(rows, lambda texts: _anchors(texts, threshold, gram), (2,), slots_log2)
     runs = cut(runs_of(rows, repeated, threshold, gram), "suffix-runs")
     named = runs.groupBy("anchor", "name").agg(F.min("doc").alias("doc"), F.count("*").alias("c"))
     named = cut(named, "suffix-names")
-    heads = named.groupBy("anchor").agg(F.min("doc").alias("least"), F.count("*").alias("names")).where("names > 1").select(F.col("anchor").alias("h_anchor"), "least")
+    heads = named.groupBy("anchor").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("most > least").select(F.col("anchor").alias("h_anchor"))
     later = named.where("c > 1").select(F.col("anchor").alias("k_anchor"), F.col("name").alias("k_name"), F.col("doc").alias("k_doc"))
     whole = runs.join(later, (F.col("anchor") == F.col("k_anchor")) & (F.col("name") == F.col("k_name")) & (F.col("doc") > F.col("k_doc")))
     whole = cut(whole.groupBy("doc").agg(F.collect_list(F.struct("at", (F.col("n") + threshold - 1).alias("n"))).alias("gone")), "suffix-whole")
     drop(runs)
-    # one copy of each run of an anchor that has several: the windows of all of them, as an earlier one's are what others are compared with
+    # one copy of each run of an anchor whose runs begin in several documents: an earlier one's windows are what others are compared with
     edge = cut(named.join(heads, F.col("anchor") == F.col("h_anchor")).select("anchor", "name", "doc"), "suffix-edges")
     drop(named)
-    windows = windows_of(rows, _wanted(edge, wanted_log2), wanted_log2, threshold, gram)
+    wanted = _wanted(edge, wanted_log2)
+    some = counts.bitmap(edge.select("doc").distinct(), F.xxhash64("doc"), 24)
     drop(edge)
+    windows = windows_of(rows, repeated, wanted, wanted_log2, some, threshold, gram)
     pairs = windows.groupBy("one", "two").agg(F.min("doc").alias("p_doc"), F.max("doc").alias("most")).where("most > p_doc")
     pairs = cut(pairs.select(F.col("one").alias("p_one"), F.col("two").alias("p_two"), "p_doc"), "suffix-pairs")
     part = windows.join(pairs, (F.col("one") == F.col("p_one")) & (F.col("two") == F.col("p_two")) & (F.col("doc") > F.col("p_doc")))
