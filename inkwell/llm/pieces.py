@@ -34,7 +34,7 @@ SLICE_CHARS = 1 << 20
 MAX_WORDS = 200_000
 MAX_PAIRS = 50_000
 SLOT_BITS = 20
-BLOCK_CHARS = 1 << 18
+BLOCK_CHARS = 1 << 19
 LONG_WORD = 4096
 
 
@@ -102,37 +102,56 @@ class Model:
         return known
 
     def edges(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(end, start, id) of every occurrence of every piece, sorted by end, then start."""
-        codes = np.array([ord(c) for c in text] if len(text) < 64 else np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), np.int64)
-        n = len(codes)
-        rank, width = np.unique(codes, return_inverse=True)[1].astype(np.int64) + 1, 1
-        while width < self.longest:
-            after = np.zeros(n, np.int64)
-            after[: max(0, n - width)] = rank[width:]
-            rank = np.unique(rank * (n + 2) + after, return_inverse=True)[1].astype(np.int64) + 1
-            width *= 2
-        suffixes = np.argsort(rank, kind="stable")
-        padded = np.concatenate([codes, np.full(self.longest, -2)])
-        bounds = []
-        for upper in (False, True):
-            lo, hi = np.zeros(len(self.order), np.int64), np.full(len(self.order), n, np.int64)
-            while (open_ := lo < hi).any():
-                mid = np.minimum((lo + hi) // 2, n - 1)
-                seen = padded[suffixes[mid][:, None] + np.arange(self.longest)[None, :]]
-                diff = (seen != self.codes) & (self.codes >= 0)
-                first = diff.argmax(1)
-                rows = np.arange(len(mid))
-                differs = diff[rows, first]
-                less = np.where(differs, seen[rows, first] < self.codes[rows, first], upper)
-                lo, hi = np.where(open_ & less, mid + 1, lo), np.where(open_ & ~less, mid, hi)
-            bounds.append(lo)
-        count = bounds[1] - bounds[0]
+        """(end, start, id) of every occurrence of every piece.
+
+        The suffix array is sorted to the longest piece's length by keys that pack as many characters as a word holds; pieces are
+        searched in it key by key, each in the range that its keys so far have left.
+        """
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        letters, dense = np.unique(codes, return_inverse=True)
+        bits = int(len(letters)).bit_length()
+        per, n = 62 // bits, len(codes)
+        place = np.searchsorted(letters, self.codes)
+        known = (self.codes < 0) | (letters[np.minimum(place, len(letters) - 1)] == self.codes)
+        alive = np.flatnonzero(known.all(1))  # a piece with a character that the text has not cannot occur
+        spelled = np.where(self.codes[alive] < 0, 0, place[alive] + 1)
+        padded = np.concatenate([dense + 1, np.zeros(self.longest + per, np.int64)]).astype(np.int64)
+        width = -(-self.longest // per)
+        keys = []
+        for k in range(width):
+            key = np.zeros(n, np.int64)
+            for c in range(k * per, (k + 1) * per):
+                key = key << bits | padded[c : c + n]
+            keys.append(key)
+        suffixes = np.lexsort(keys[::-1])
+        lo, hi = np.zeros(len(alive), np.int64), np.full(len(alive), n, np.int64)
+        length = self.lengths[alive]
+        for k, key in enumerate(keys):
+            todo = np.flatnonzero((length > k * per) & (lo < hi))
+            if not len(todo):
+                break
+            least, span = np.zeros(len(todo), np.int64), np.ones(len(todo), np.int64)
+            for c in range(k * per, (k + 1) * per):
+                least = least << bits | (spelled[todo, c] if c < self.longest else 0)
+                span = np.where(c < length[todo], 1, span << bits)
+            ordered = key[suffixes]
+            for bound, wanted in ((lo, least), (hi, least + span)):
+                if k == 0:
+                    bound[todo] = np.searchsorted(ordered, wanted)
+                    continue
+                x, y = (first[todo].copy(), last[todo].copy()) if bound is hi else (lo[todo].copy(), hi[todo].copy())
+                if bound is lo:
+                    first, last = lo.copy(), hi.copy()
+                while (open_ := x < y).any():
+                    mid = np.minimum((x + y) // 2, n - 1)
+                    less = ordered[mid] < wanted
+                    x, y = np.where(open_ & less, mid + 1, x), np.where(open_ & ~less, mid, y)
+                bound[todo] = x
+        count = hi - lo
         which = np.repeat(np.arange(len(count)), count)
-        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(bounds[0], count)
+        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - lo, count)
         start = suffixes[at]
-        end = start + self.lengths[which]
-        by = np.lexsort((start, end))
-        return end[by], start[by], self.order[which][by]
+        return start + length[which], start, self.order[alive][which]
 
     def may_follow(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """``follows`` for arrays, through a table of fixed size in which a newer pair takes an older one's slot."""
@@ -176,9 +195,10 @@ class Model:
             self._relax_one_by_one(len(text), end, start, ids, last, back, bare)
         else:
             place = np.arange(len(text) + 1) - np.repeat(np.append(begin, len(text)), np.append(size + 1, 1))  # of each boundary in its word
-            by = np.argsort(place[end], kind="stable")
-            end, start, ids = end[by], start[by], ids[by]
-            cuts = np.searchsorted(place[end], np.arange(1, int(size.max()) + 2))
+            depth = place[end].astype(np.int16)
+            by = np.argsort(depth, kind="stable")
+            end, start, ids, depth = end[by], start[by], ids[by], depth[by]
+            cuts = np.searchsorted(depth, np.arange(1, int(size.max()) + 2))
             for d, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True), 1):
                 ok = self.may_follow(last[start[x:y]], ids[x:y])
                 last[end[x:y][ok]], back[end[x:y][ok]] = ids[x:y][ok], start[x:y][ok]
@@ -204,6 +224,8 @@ class Model:
 
     def _relax_one_by_one(self, n, end, start, ids, last, back, bare) -> None:
         """The same relaxation edge by edge, for an index with a word so long that a step per place of a word would be slower."""
+        by = np.lexsort((start, end))
+        end, start, ids = end[by], start[by], ids[by]
         k, ends, starts, pieces, chosen, origin, m = 0, end.tolist(), start.tolist(), ids.tolist(), last.tolist(), back.tolist(), len(end)
         for e in range(1, n):
             while k < m and ends[k] == e:
@@ -239,7 +261,9 @@ class Encoder:
         if len(self.known) + len(words) > MAX_WORDS:
             self.clear()
         # sorted, so that a rerun meets the same order; in blocks, so that the index stays small; long words come last in one of their own
-        todo = sorted(words, key=lambda w: (len(w) > LONG_WORD, w))
+        todo = sorted(words)
+        if max(map(len, todo)) > LONG_WORD:
+            todo.sort(key=lambda w: len(w) > LONG_WORD)
         size = np.cumsum([len(w) + 1 for w in todo])
         block = size // BLOCK_CHARS + (size[-1] + 1) * np.array([len(w) > LONG_WORD for w in todo])
         cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(todo)]
