@@ -35,17 +35,24 @@ def cut(frame: DataFrame, label: str) -> DataFrame:
     frame.write.parquet(path)
     back = spark.read.schema(frame.schema).parquet(path)
     back._cut_path = path
+    del frame
+    release(spark)
     return back
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that nothing refers to any more; it does so when objects are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop(frame: DataFrame) -> None:
     """Remove the files of a table made by ``cut`` that nothing reads any more, and let Spark remove shuffle files of finished plans."""
     spark = frame.sparkSession
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(frame._cut_path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    gc.collect()
-    jvm.System.gc()
+    release(spark)
 
 
 def bind(value: Column, body) -> Column:

@@ -12,8 +12,8 @@ early as they can, since sorting all of a corpus's positions at each step would
 3. The doubling step. What remains are the windows at the edges of a repeat, one copy of each distinct run. A window's rank is the pair
    of its halves' names; Spark groups the pairs, and a window stands in an earlier document where the least id of its pair is smaller.
 
-Every grouping aggregates before its shuffle and is joined back, so a string in a third of all documents is no task's own. Names have
-64 bits each and are compared together with their anchor or other half, that is 128 bits.
+Every grouping aggregates before its shuffle and is joined back, so a string in a third of all documents is no task's own. A run is
+compared by 96 bits, its anchor and its name, and a window by 128, the names of its halves.
 
 Defined results: a null text is empty; texts shorter than the threshold stay; equal ids never remove each other's bytes; a null id
 counts as larger than all others; repeated rows are treated alike; an empty table gives an empty result; further columns are not carried.
@@ -31,7 +31,9 @@ from inkwell.llm import counts
 from inkwell.llm.store import cut, drop
 
 THRESHOLD = 50
-GRAM = 26
+GRAM = 38
+#: A bitmap of anchors of 32 MB.
+SLOTS_LOG2 = 28
 ODD = np.uint64(0x9E3779B97F4A7C15)
 PLACES = 18
 STEP = 1 << PLACES
@@ -65,7 +67,7 @@ class Block:
                 self.level[2 * length], self.power[2 * length] = h[: len(h) - length] * p + h[length:], p * p
                 length *= 2
             empty = np.zeros(0, np.int64)
-            self.text, self.first, self.count, self.anchor, self.name = empty, empty, empty, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+            self.text, self.first, self.count, self.anchor, self.name = empty, empty, empty, np.zeros(0, np.uint64), np.zeros(0, np.uint32)
             if n < threshold:
                 return
             grams = _mix(self.hashes(gram))
@@ -93,7 +95,7 @@ class Block:
             self.anchor = grams[at[self.first]]
             # a run's first and last windows overlap, and so cover it
             whole = self.hashes(threshold)
-            self.name = _mix(whole[self.first] * ODD + _mix(whole[self.first + self.count - 1] + self.count.astype(np.uint64)))
+            self.name = (_mix(whole[self.first] * ODD + _mix(whole[self.first + self.count - 1] + self.count.astype(np.uint64))) >> np.uint64(32)).astype(np.uint32)
 
     def hashes(self, length: int) -> np.ndarray:
         """The hash of every string of ``length`` bytes, out of strings whose lengths are powers of two."""
@@ -147,7 +149,7 @@ def _shuffled(rows: DataFrame) -> DataFrame:
     return rows.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), "text")
 
 
-def runs_of(rows: DataFrame, repeated: np.ndarray, threshold: int, gram: int) -> DataFrame:
+def runs_of(rows: DataFrame, repeated: np.ndarray, slots_log2: int, threshold: int, gram: int) -> DataFrame:
     """(anchor, name, doc, at, n): the runs whose anchor several documents may hold; ``n`` windows from byte ``at``."""
     bits = rows.sparkSession.sparkContext.broadcast(repeated)
 
@@ -157,16 +159,16 @@ def runs_of(rows: DataFrame, repeated: np.ndarray, threshold: int, gram: int) ->
             for a, b, texts in counts.texts_of(batch, limit=STEP):
                 own = ids.slice(a, b - a).to_numpy()
                 for numbers, offsets, block in blocks(texts, threshold, gram):
-                    keep = counts.held(bits.value, block.anchor).astype(bool)
+                    keep = counts.held(bits.value, block.anchor, slots_log2).astype(bool)
                     text = block.text[keep]
                     at = block.first[keep] - block.begin[text] + offsets[text] if len(text) else np.zeros(0, np.int64)
-                    columns = [block.anchor[keep].view(np.int64), block.name[keep].view(np.int64), own[numbers[text]] if len(text) else at, at, block.count[keep].astype(np.int32)]
+                    columns = [block.anchor[keep].view(np.int64), block.name[keep].view(np.int32), own[numbers[text]] if len(text) else at, at, block.count[keep].astype(np.int32)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "name", "doc", "at", "n"])
 
-    return rows.mapInArrow(run, "anchor long, name long, doc long, at long, n int")
+    return rows.mapInArrow(run, "anchor long, name int, doc long, at long, n int")
 
 
-def windows_of(rows: DataFrame, repeated: np.ndarray, wanted: np.ndarray, wanted_log2: int, some: np.ndarray, threshold: int, gram: int) -> DataFrame:
+def windows_of(rows: DataFrame, repeated: np.ndarray, slots_log2: int, wanted: np.ndarray, wanted_log2: int, some: np.ndarray, threshold: int, gram: int) -> DataFrame:
     """(one, two, doc, at): the windows of the runs whose (anchor, name, doc) is in the bitmap ``wanted``, each named by its halves."""
     maps = rows.sparkSession.sparkContext.broadcast((repeated, wanted, some))
 
@@ -178,7 +180,7 @@ def windows_of(rows: DataFrame, repeated: np.ndarray, wanted: np.ndarray, wanted
             for a, b, texts in counts.texts_of(batch, limit=STEP):
                 own = ids.slice(a, b - a).to_numpy()
                 for numbers, offsets, block in blocks(texts, threshold, gram):
-                    runs = np.flatnonzero(counts.held(maps.value[0], block.anchor))
+                    runs = np.flatnonzero(counts.held(maps.value[0], block.anchor, slots_log2))
                     if not len(runs):
                         continue
                     with np.errstate(over="ignore"):
@@ -195,7 +197,7 @@ def windows_of(rows: DataFrame, repeated: np.ndarray, wanted: np.ndarray, wanted
 
 
 def _key(anchor: np.ndarray, name: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    return _mix(anchor * ODD + _mix(name + _mix(doc)))
+    return _mix(anchor * ODD + _mix(name.astype(np.uint64) + _mix(doc)))
 
 
 def _wanted(edge: DataFrame, slots_log2: int) -> np.ndarray:
@@ -204,17 +206,18 @@ def _wanted(edge: DataFrame, slots_log2: int) -> np.ndarray:
     def keys(batches):
         for batch in batches:
             with np.errstate(over="ignore"):
-                key = _key(*(batch.column(k).to_numpy().view(np.uint64) for k in range(3)))
+                anchor, name, doc = (batch.column(k).to_numpy() for k in range(3))
+                key = _key(anchor.view(np.uint64), name.view(np.uint32), doc.view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], names=["key"])
 
     return counts.bitmap(edge.select("anchor", "name", "doc").mapInArrow(keys, "key long"), F.col("key"), slots_log2)
 
 
-def repeats(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM, slots_log2: int = counts.SLOTS_LOG2, wanted_log2: int = 27) -> DataFrame:
+def repeats(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM, slots_log2: int = SLOTS_LOG2, wanted_log2: int = 27) -> DataFrame:
     """(doc, at, n): byte ranges, possibly overlapping, that stand in documents with smaller ids."""
     rows = _shuffled(docs)
     (repeated,) = counts.classes(rows, lambda texts: _anchors(texts, threshold, gram), (2,), slots_log2)
-    runs = cut(runs_of(rows, repeated, threshold, gram), "suffix-runs")
+    runs = cut(runs_of(rows, repeated, slots_log2, threshold, gram), "suffix-runs")
     named = runs.groupBy("anchor", "name").agg(F.min("doc").alias("doc"), F.count("*").alias("c"))
     named = cut(named, "suffix-names")
     heads = named.groupBy("anchor").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("most > least").select(F.col("anchor").alias("h_anchor"))
@@ -228,12 +231,13 @@ def repeats(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM, slots
     wanted = _wanted(edge, wanted_log2)
     some = counts.bitmap(edge.select("doc").distinct(), F.xxhash64("doc"), 24)
     drop(edge)
-    windows = windows_of(rows, repeated, wanted, wanted_log2, some, threshold, gram)
+    windows = cut(windows_of(rows, repeated, slots_log2, wanted, wanted_log2, some, threshold, gram), "suffix-windows")
     pairs = windows.groupBy("one", "two").agg(F.min("doc").alias("p_doc"), F.max("doc").alias("most")).where("most > p_doc")
     pairs = cut(pairs.select(F.col("one").alias("p_one"), F.col("two").alias("p_two"), "p_doc"), "suffix-pairs")
     part = windows.join(pairs, (F.col("one") == F.col("p_one")) & (F.col("two") == F.col("p_two")) & (F.col("doc") > F.col("p_doc")))
     part = cut(part.groupBy("doc").agg(F.collect_list(F.struct("at", F.lit(threshold).alias("n"))).alias("gone")), "suffix-parts")
     drop(pairs)
+    drop(windows)
     return whole.unionByName(part)
 
 
