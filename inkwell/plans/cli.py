@@ -33,7 +33,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--hidden", action="store_true")
     p.add_argument("--no-test-blocks", action="store_true")
     p.add_argument("--doc-strings-as-code", action="store_true")
-    p.add_argument("-j", "--jobs", type=int, default=64, metavar="N", help="at least so many partitions are read at a time")
+    p.add_argument("-j", "--jobs", type=int, default=64, metavar="N", help="accepted for compatibility; Spark reads as many partitions at a time as it has cores")
     group = p.add_mutually_exclusive_group()
     group.add_argument("--by", choices=report.DIMENSIONS)
     group.add_argument("--files", action="store_true")
