@@ -60,7 +60,7 @@ def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every text, and whether decoding gives it back."""
     proto = pieces.read_model(MODEL)
-    back = pieces.decode(pieces.encode(docs.select("doc_id", "lang", "source", "text"), proto), proto)
+    back = pieces.encode(docs.select("doc_id", "lang", "source", "text"), proto, back="decoded")
     return back.select("doc_id", "lang", "source", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"), "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("same"))
 
 

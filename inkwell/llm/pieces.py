@@ -351,10 +351,24 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, proto: bytes, text: str = "text", out: str = "ids") -> DataFrame:
-    """``docs`` with an array of ids in ``out``. No shuffle; a task holds a slice of about ``SLICE_CHARS`` characters."""
+def _texts(model: Model, flat: np.ndarray, lengths: np.ndarray, nulls: list[bool]) -> pa.Array:
+    """The texts of ids that stand one text after another; the first text's space mark goes."""
+    size = model.unit_len[flat]
+    raw = _gather(model.units, model.unit_at[flat], size).tobytes()
+    upto = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(lengths)])].tolist()
+    texts = [None if null else raw[x + (raw[x : x + 1] == b" ") : y].decode("utf-8", "replace") for null, x, y in zip(nulls, upto[:-1], upto[1:], strict=True)]
+    return pa.array(texts, pa.string())
+
+
+def encode(docs: DataFrame, proto: bytes, text: str = "text", out: str = "ids", back: str | None = None) -> DataFrame:
+    """``docs`` with an array of ids in ``out`` and, if named, the text decoded from them in ``back``.
+
+    No shuffle; a task holds a slice of about ``SLICE_CHARS`` characters.
+    """
     schema = _appended(docs, out, T.ArrayType(T.IntegerType()))
-    keep = schema.names[:-1]
+    if back:
+        schema = T.StructType([f for f in schema.fields if f.name.lower() != back.lower()] + [T.StructField(back, T.StringType())])
+    keep = [n for n in schema.names if n not in (out, back)]
 
     def run(batches):
         encoder = _encoder(proto)
@@ -363,10 +377,11 @@ def encode(docs: DataFrame, proto: bytes, text: str = "text", out: str = "ids")
             sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
             for a, b in _slices(batch, sizes, SLICE_CHARS):
                 part = column.slice(a, b - a)
-                ids, counts = encoder.encode(part.to_pylist())
-                offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), mask=np.append(part.is_null().to_numpy(zero_copy_only=False), False))
-                values = pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))
-                yield _with(batch.slice(a, b - a), keep, values, out)
+                ids, lengths = encoder.encode(part.to_pylist())
+                nulls = part.is_null()
+                offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), mask=np.append(nulls.to_numpy(zero_copy_only=False), False))
+                coded = _with(batch.slice(a, b - a), keep, pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())), out)
+                yield coded.append_column(back, _texts(encoder.model, ids, lengths, nulls.to_pylist())) if back else coded
 
     return docs.mapInArrow(run, schema)
 
@@ -385,11 +400,6 @@ def decode(docs: DataFrame, proto: bytes, ids: str = "ids", out: str = "decoded"
                 part = column.slice(a, b - a)
                 lengths = np.array(sizes[a:b], np.int64)
                 flat = part.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                size = model.unit_len[flat]
-                raw = _gather(model.units, model.unit_at[flat], size).tobytes()
-                upto = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(lengths)])].tolist()
-                nulls = part.is_null().to_pylist()
-                texts = [None if null else raw[x + (raw[x : x + 1] == b" ") : y].decode("utf-8", "replace") for null, x, y in zip(nulls, upto[:-1], upto[1:], strict=True)]
-                yield _with(batch.slice(a, b - a), keep, pa.array(texts, pa.string()), out)
+                yield _with(batch.slice(a, b - a), keep, _texts(model, flat, lengths, part.is_null().to_pylist()), out)
 
     return docs.mapInArrow(run, schema)

@@ -22,7 +22,7 @@ def op1_pieces(spark: SparkSession, sf_dir: str, model: str = MODEL) -> DataFram
     """Ids of every text, and whether decoding them gives the text back."""
     proto = pieces.read_model(model)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    back = pieces.decode(pieces.encode(docs, proto), proto)
+    back = pieces.encode(docs, proto, back="decoded")
     digest: Callable[[Column], Column] = lambda c: F.crc32(F.coalesce(c, F.lit("")).cast("binary"))
     return back.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"), "ids", digest(F.col("decoded")).alias("decoded_crc32"), F.col("decoded").eqNullSafe(F.col("text")).alias("same"))
 

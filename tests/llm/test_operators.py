@@ -219,6 +219,9 @@ class TestPieces:
             text = said[row.doc_id]
             assert row.ids == (None if text is None else library.encode(text))
             assert row.decoded == (None if text is None else text.replace("▁", " "))
+        both = pieces.encode(frame, proto, back="text")
+        assert both.columns == ["doc_id", "ids", "text"]
+        assert {r.doc_id: r.text for r in both.collect()} == {i: None if t is None else t.replace("▁", " ") for i, t in enumerate(said)}
 
     def test_other_columns_stay(self, spark):
         frame = spark.createDataFrame([("a b", 1, "x")], "text string, ids long, decoded string")
