@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm import counts
-from inkwell.llm.store import cut
+from inkwell.llm.store import cut, drop
 
 WIDTH = 5
 PERCENT = 80
@@ -182,10 +182,13 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
         small = large.join(down, F.col("u") == F.col("c"))
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select(F.col("c").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
-        now = cut(small, "stars")
+        last, now = now, cut(small, "stars")
+        drop(last)
         seen = now.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.hash("v", "u").cast("long"))).first()
         if seen == mark:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            found = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            found._cut_path = now._cut_path
+            return found
         mark = seen
 
 
@@ -276,7 +279,11 @@ def links(members: DataFrame, sets: DataFrame, percent: int, few: int = 32, bloc
     dealt = dealt.select("pivot", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "comp")
     dealt = dealt.join(sets.withColumnRenamed("rep", "t"), F.col("rep") == F.col("t")).drop("t")
     more = cut(verified(second, sets, percent).unionByName(_compared(dealt, percent)), "jaccard-edges")
-    return components(edges.unionByName(more)) if more.limit(1).count() else found
+    if more.limit(1).count():
+        drop(found)
+        found = components(edges.unionByName(more))
+    drop(first, second, large, labelled, open_, edges, more)
+    return found
 
 
 def join(docs: DataFrame, percent: int = PERCENT, frequent: int = 32, classes: int = 16, slots_log2: int = counts.SLOTS_LOG2) -> DataFrame:
@@ -290,6 +297,7 @@ def join(docs: DataFrame, percent: int = PERCENT, frequent: int = 32, classes: i
     members = cut(members.select("sig", "rep", "n").distinct(), "jaccard-members")
     sets = cut(sets_of(docs, members.select("rep").distinct()), "jaccard-sets")
     found = links(members, sets, percent)
+    drop(members, sets)
     named = reps.join(found, F.col("rep") == F.col("node"), "left").select("r_node", F.coalesce("component", "rep").alias("c"))
     out = rows.join(named, F.col("node") == F.col("r_node"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))

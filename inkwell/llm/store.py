@@ -46,12 +46,13 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def drop(frame: DataFrame) -> None:
-    """Remove the files of a table made by ``cut`` that nothing reads any more, and let Spark remove shuffle files of finished plans."""
-    spark = frame.sparkSession
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(frame._cut_path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def drop(*frames: DataFrame) -> None:
+    """Remove the files of tables made by ``cut`` that nothing reads any more."""
+    spark = frames[0].sparkSession
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for frame in frames:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(frame._cut_path)
+        at.getFileSystem(hadoop).delete(at, True)
     release(spark)
 
 
