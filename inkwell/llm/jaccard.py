@@ -43,7 +43,7 @@ class _Words(dict):
     """64-bit hashes of words, forgotten when there are many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         got = self[word] = xxhash.xxh64_intdigest(word)
         return got

@@ -382,6 +382,7 @@ def encode(docs: DataFrame, proto: bytes, text: str = "text", out: str = "ids",
                 offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), mask=np.append(nulls.to_numpy(zero_copy_only=False), False))
                 coded = _with(batch.slice(a, b - a), keep, pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())), out)
                 yield coded.append_column(back, _texts(encoder.model, ids, lengths, nulls.to_pylist())) if back else coded
+        encoder.clear()  # Spark keeps the process for later tasks
 
     return docs.mapInArrow(run, schema)
 
