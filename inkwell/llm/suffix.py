@@ -13,7 +13,7 @@ early as they can, since sorting all of a corpus's positions at each step would
    of its halves' names; Spark groups the pairs, and a window stands in an earlier document where the least id of its pair is smaller.
 
 Every grouping aggregates before its shuffle and is joined back, so a string in a third of all documents is no task's own. A run is
-compared by 96 bits, its anchor and its name, and a window by 128, the names of its halves.
+compared by 128 bits, its anchor and its name, of which 64 tell apart the runs of one anchor, and a window by 128, the names of its halves.
 
 Defined results: a null text is empty; texts shorter than the threshold stay; equal ids never remove each other's bytes; a null id
 counts as larger than all others; repeated rows are treated alike; an empty table gives an empty result; further columns are not carried.
@@ -67,7 +67,7 @@ class Block:
                 self.level[2 * length], self.power[2 * length] = h[: len(h) - length] * p + h[length:], p * p
                 length *= 2
             empty = np.zeros(0, np.int64)
-            self.text, self.first, self.count, self.anchor, self.name = empty, empty, empty, np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+            self.text, self.first, self.count, self.anchor, self.name = empty, empty, empty, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
             if n < threshold:
                 return
             grams = _mix(self.hashes(gram))
@@ -95,7 +95,7 @@ class Block:
             self.anchor = grams[at[self.first]]
             # a run's first and last windows overlap, and so cover it
             whole = self.hashes(threshold)
-            self.name = (_mix(whole[self.first] * ODD + _mix(whole[self.first + self.count - 1] + self.count.astype(np.uint64))) >> np.uint64(32)).astype(np.uint32)
+            self.name = _mix(whole[self.first] * ODD + _mix(whole[self.first + self.count - 1] + self.count.astype(np.uint64)))
 
     def hashes(self, length: int) -> np.ndarray:
         """The hash of every string of ``length`` bytes, out of strings whose lengths are powers of two."""
@@ -162,10 +162,10 @@ def runs_of(rows: DataFrame, repeated: np.ndarray, slots_log2: int, threshold: i
                     keep = counts.held(bits.value, block.anchor, slots_log2).astype(bool)
                     text = block.text[keep]
                     at = block.first[keep] - block.begin[text] + offsets[text] if len(text) else np.zeros(0, np.int64)
-                    columns = [block.anchor[keep].view(np.int64), block.name[keep].view(np.int32), own[numbers[text]] if len(text) else at, at, block.count[keep].astype(np.int32)]
+                    columns = [block.anchor[keep].view(np.int64), block.name[keep].view(np.int64), own[numbers[text]] if len(text) else at, at, block.count[keep].astype(np.int32)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "name", "doc", "at", "n"])
 
-    return rows.mapInArrow(run, "anchor long, name int, doc long, at long, n int")
+    return rows.mapInArrow(run, "anchor long, name long, doc long, at long, n int")
 
 
 def windows_of(rows: DataFrame, repeated: np.ndarray, slots_log2: int, wanted: np.ndarray, wanted_log2: int, some: np.ndarray, threshold: int, gram: int) -> DataFrame:
@@ -197,7 +197,7 @@ def windows_of(rows: DataFrame, repeated: np.ndarray, slots_log2: int, wanted: n
 
 
 def _key(anchor: np.ndarray, name: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    return _mix(anchor * ODD + _mix(name.astype(np.uint64) + _mix(doc)))
+    return _mix(anchor * ODD + _mix(name + _mix(doc)))
 
 
 def _wanted(edge: DataFrame, slots_log2: int) -> np.ndarray:
@@ -207,7 +207,7 @@ def _wanted(edge: DataFrame, slots_log2: int) -> np.ndarray:
         for batch in batches:
             with np.errstate(over="ignore"):
                 anchor, name, doc = (batch.column(k).to_numpy() for k in range(3))
-                key = _key(anchor.view(np.uint64), name.view(np.uint32), doc.view(np.uint64))
+                key = _key(anchor.view(np.uint64), name.view(np.uint64), doc.view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], names=["key"])
 
     return counts.bitmap(edge.select("anchor", "name", "doc").mapInArrow(keys, "key long"), F.col("key"), slots_log2)

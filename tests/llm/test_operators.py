@@ -292,6 +292,14 @@ class TestSuffix:
         assert sorted(r.n_removed for r in suffix.dedupe(rows).collect()) == [0, 0, len(text)]
         assert suffix.dedupe(empty(spark)).count() == 0
 
+    def test_runs_of_one_anchor_are_told_apart_by_64_bits(self, spark):
+        said = [f"e rgkdgcxvajgioyyznhaduqgaukpzwyxsjkga{end}" for end in ("057104499654", "966132953255")]
+        block = suffix.Block([t.encode() for t in said], suffix.THRESHOLD, suffix.GRAM)
+        names = [int(n) >> 32 for n in block.name]
+        assert block.anchor[0] == block.anchor[1] and names[0] == names[1]  # the leading 32 bits agree
+        frame = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+        assert [r.n_removed for r in suffix.dedupe(frame).collect()] == [0, 0]
+
 
 class TestSpans:
     def test_against_brute_force(self, spark, docs, texts):
