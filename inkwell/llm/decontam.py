@@ -10,7 +10,8 @@ Texts and items are compared with A-Z lower-cased and each blank as a space, whi
 blocks of at most ``BLOCK_BYTES``, each of which takes a pass over the texts: one block for the usual benchmark.
 
 Defined results: null or empty texts have no passages; null items and items under ``min_chars`` characters are not searched for;
-repeated rows of either side give repeated results; overlapping occurrences of one item give the one with fewest edits, of those the
+repeated rows of either side give repeated results; a passage is cut out of the row it was found in, known by its id, null or not, and a
+hash of its text; overlapping occurrences of one item give the one with fewest edits, of those the
 first; empty tables give an empty result; further columns are not carried.
 """
 
@@ -26,7 +27,7 @@ from inkwell.llm.store import cut
 
 BLOCK_BYTES = 16 << 20
 FOLD = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz     "))
-SCHEMA = "doc_id long, item_id long, start int, end int, distance int"
+SCHEMA = "doc_id long, row long, item_id long, start int, end int, distance int"
 
 
 def folded(raw: bytes | None) -> str:
@@ -129,12 +130,17 @@ class Items:
         return taken
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, per_edit: int = 10, min_chars: int = 24) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """(doc_id, item_id, start, end, distance) of all passages, in code points. One narrow pass over the texts, no shuffle."""
+    return _leaks(docs, benchmark, **options).drop("row")
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, per_edit: int = 10, min_chars: int = 24) -> DataFrame:
+    """``leaks`` with ``row``, the hash of the text."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.length("text") >= max(min_chars, per_edit))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("row"))
     out = None
     for no in range(blocks):
         block = [(r["item_id"], folded(r["text"].encode())) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == no).toLocalIterator()]
@@ -143,10 +149,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, per_edit: int = 10, min_chars:
         def run(batches, held=held):
             search = Items(held.value, per_edit)
             for batch in batches:
-                ids = batch.column(0)
+                ids, hashes = batch.column(0), batch.column(2)
                 for a, b, texts in texts_of(batch):
-                    got = [(ids[a + k].as_py(), *f) for k, t in enumerate(texts) for f in search.find(folded(t))]
-                    yield pa.RecordBatch.from_arrays([pa.array([g[c] for g in got], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=["doc_id", "item_id", "start", "end", "distance"])
+                    got = [(ids[a + k].as_py(), hashes[a + k].as_py(), *f) for k, t in enumerate(texts) for f in search.find(folded(t))]
+                    yield pa.RecordBatch.from_arrays([pa.array([g[c] for g in got], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=["doc_id", "row", "item_id", "start", "end", "distance"])
 
         part = rows.mapInArrow(run, SCHEMA)
         out = part if out is None else out.unionByName(part)
@@ -163,8 +169,8 @@ def _without(text: Column, spans: Column) -> Column:
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` with every found passage cut out of its text; other columns and rows stay as they are."""
-    found = cut(leaks(docs, benchmark, **options), "decontam-leaks")
-    spans = found.groupBy(F.col("doc_id").alias("l_doc")).agg(F.collect_set(F.struct("start", "end")).alias("l_spans"))
-    joined = docs.join(spans, docs["doc_id"].cast("long") == spans["l_doc"], "left")
+    found = cut(_leaks(docs, benchmark, **options), "decontam-leaks")
+    spans = found.groupBy(F.col("doc_id").alias("l_doc"), F.col("row").alias("l_row")).agg(F.collect_set(F.struct("start", "end")).alias("l_spans"))
+    joined = docs.join(spans, docs["doc_id"].cast("long").eqNullSafe(spans["l_doc"]) & (F.xxhash64(docs["text"]) == spans["l_row"]), "left")
     text = F.when(spans["l_spans"].isNotNull(), _without(docs["text"], spans["l_spans"])).otherwise(docs["text"])
     return joined.select(*[text.alias(c) if c == "text" else docs[f"`{c}`"] for c in docs.columns])

@@ -10,7 +10,7 @@ grouping with partial aggregation, so a run that a third of all documents hold c
 on to the second join, whose hot keys Spark splits.
 
 Defined results: a null text has no sentences and stays null; a null id counts as the largest; rows that share id and text each keep
-the first run; a text shorter than a run stays; an empty table gives an empty result; other columns are carried unless they have the
+the first run; sentences go from the row they were found in, known by its id and a hash of its text; a text shorter than a run stays; an empty table gives an empty result; other columns are carried unless they have the
 name of a result column, which then wins.
 """
 
@@ -58,27 +58,27 @@ def _runs(sentences: Column, runs) -> Column:
 
 def _keyed(docs: DataFrame, runs) -> DataFrame:
     found = bind(_sentences(pieces(F.col("text"))), lambda s: _runs(s, runs))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.explode(found).alias("r")).select("doc", "r.*")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("row"), F.explode(found).alias("r")).select("doc", "row", "r.*")
     # one number that orders as (doc, place) does: a decimal is aggregated in place where a struct would be sorted
     order = F.coalesce("doc", F.lit((1 << 63) - 1)).cast("decimal(20,0)") * F.lit(PLACE).cast("decimal(10,0)") + F.col("i").cast("decimal(10,0)")
     return rows.withColumn("at", order.cast("decimal(38,0)"))
 
 
 def repeated(docs: DataFrame, runs=RUNS) -> DataFrame:
-    """(doc, gone): for each document with a non-first repeated run, the sentence numbers that such runs cover."""
+    """(doc, row, gone): for each text with a non-first repeated run, its hash and the sentence numbers that such runs cover."""
     rows = _keyed(docs, runs)
     first = rows.groupBy("h", "g").agg(F.min("at").alias("first"), F.count("*").alias("c")).where("c > 1")
     first = first.select(F.col("h").alias("f_h"), F.col("g").alias("f_g"), "first")
     later = rows.join(first, (F.col("h") == F.col("f_h")) & (F.col("g") == F.col("f_g"))).where(F.col("at") > F.col("first"))
-    covered = later.select("doc", F.explode(F.sequence(F.col("i"), F.col("i") + F.col("n") - 1)).alias("s"))
-    return covered.groupBy("doc").agg(F.collect_set("s").alias("gone"))
+    covered = later.select("doc", "row", F.explode(F.sequence(F.col("i"), F.col("i") + F.col("n") - 1)).alias("s"))
+    return covered.groupBy("doc", "row").agg(F.collect_set("s").alias("gone"))
 
 
 def dedupe(docs: DataFrame, runs=RUNS) -> DataFrame:
     """``docs`` with ``kept_text``, ``n_sentences`` and ``n_removed``; one shuffle of the texts, by document."""
     gone = repeated(docs, runs)
     carried = [c for c in docs.columns if c.lower() not in {"kept_text", "n_sentences", "n_removed"}]
-    joined = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["doc"]), "left")
+    joined = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["doc"]) & (F.xxhash64(docs["text"]) == gone["row"]), "left")
     own, text = gone["gone"], docs["text"]
 
     def rebuilt(parts: Column) -> Column:

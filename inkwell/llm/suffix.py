@@ -16,7 +16,8 @@ Every grouping aggregates before its shuffle and is joined back, so a string in
 compared by 128 bits, its anchor and its name, of which 64 tell apart the runs of one anchor, and a window by 128, the names of its halves.
 
 Defined results: a null text is empty; texts shorter than the threshold stay; equal ids never remove each other's bytes; a null id
-counts as larger than all others; repeated rows are treated alike; an empty table gives an empty result; further columns are not carried.
+counts as larger than all others; bytes go from the row they were found in, known by its id and a hash of its text, so repeated rows
+are treated alike and other rows of the same id keep theirs; an empty table gives an empty result; further columns are not carried.
 """
 
 from __future__ import annotations
@@ -146,39 +147,39 @@ def _anchors(texts, threshold: int, gram: int) -> list[np.ndarray]:
 
 
 def _shuffled(rows: DataFrame) -> DataFrame:
-    return rows.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), "text")
+    return rows.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), "text", F.xxhash64("text").alias("row"))
 
 
 def runs_of(rows: DataFrame, repeated: np.ndarray, slots_log2: int, threshold: int, gram: int) -> DataFrame:
-    """(anchor, name, doc, at, n): the runs whose anchor several documents may hold; ``n`` windows from byte ``at``."""
+    """(anchor, name, doc, row, at, n): the runs whose anchor several documents may hold; ``n`` windows from byte ``at``."""
     bits = rows.sparkSession.sparkContext.broadcast(repeated)
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(0)
+            ids, hashes = batch.column(0), batch.column(2)
             for a, b, texts in counts.texts_of(batch, limit=STEP):
-                own = ids.slice(a, b - a).to_numpy()
+                own, row = ids.slice(a, b - a).to_numpy(), hashes.slice(a, b - a).to_numpy()
                 for numbers, offsets, block in blocks(texts, threshold, gram):
                     keep = counts.held(bits.value, block.anchor, slots_log2).astype(bool)
                     text = block.text[keep]
                     at = block.first[keep] - block.begin[text] + offsets[text] if len(text) else np.zeros(0, np.int64)
-                    columns = [block.anchor[keep].view(np.int64), block.name[keep].view(np.int64), own[numbers[text]] if len(text) else at, at, block.count[keep].astype(np.int32)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "name", "doc", "at", "n"])
+                    columns = [block.anchor[keep].view(np.int64), block.name[keep].view(np.int64), own[numbers[text]] if len(text) else at, row[numbers[text]] if len(text) else at, at, block.count[keep].astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "name", "doc", "row", "at", "n"])
 
-    return rows.mapInArrow(run, "anchor long, name long, doc long, at long, n int")
+    return rows.mapInArrow(run, "anchor long, name long, doc long, row long, at long, n int")
 
 
 def windows_of(rows: DataFrame, repeated: np.ndarray, slots_log2: int, wanted: np.ndarray, wanted_log2: int, some: np.ndarray, threshold: int, gram: int) -> DataFrame:
-    """(one, two, doc, at): the windows of the runs whose (anchor, name, doc) is in the bitmap ``wanted``, each named by its halves."""
+    """(one, two, doc, row, at): the windows of the runs whose (anchor, name, doc) is in the bitmap ``wanted``, each named by its halves."""
     maps = rows.sparkSession.sparkContext.broadcast((repeated, wanted, some))
 
     def run(batches):
         for batch in batches:
             # a bitmap of documents spares the texts of the others
-            batch = batch.filter(pa.array(counts.held(maps.value[2], batch.column(2).to_numpy().view(np.uint64), 24) == 1))
-            ids = batch.column(0)
+            batch = batch.filter(pa.array(counts.held(maps.value[2], batch.column(3).to_numpy().view(np.uint64), 24) == 1))
+            ids, hashes = batch.column(0), batch.column(2)
             for a, b, texts in counts.texts_of(batch, limit=STEP):
-                own = ids.slice(a, b - a).to_numpy()
+                own, row = ids.slice(a, b - a).to_numpy(), hashes.slice(a, b - a).to_numpy()
                 for numbers, offsets, block in blocks(texts, threshold, gram):
                     runs = np.flatnonzero(counts.held(maps.value[0], block.anchor, slots_log2))
                     if not len(runs):
@@ -190,10 +191,10 @@ def windows_of(rows: DataFrame, repeated: np.ndarray, slots_log2: int, wanted: n
                         continue
                     which, at, one, two = block.halves(runs)
                     text = block.text[which]
-                    columns = [one.view(np.int64), two.view(np.int64), own[numbers[text]], at - block.begin[text] + offsets[text]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["one", "two", "doc", "at"])
+                    columns = [one.view(np.int64), two.view(np.int64), own[numbers[text]], row[numbers[text]], at - block.begin[text] + offsets[text]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["one", "two", "doc", "row", "at"])
 
-    return rows.withColumn("hash", F.xxhash64("doc")).mapInArrow(run, "one long, two long, doc long, at long")
+    return rows.withColumn("hash", F.xxhash64("doc")).mapInArrow(run, "one long, two long, doc long, row long, at long")
 
 
 def _key(anchor: np.ndarray, name: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -214,7 +215,7 @@ def _wanted(edge: DataFrame, slots_log2: int) -> np.ndarray:
 
 
 def repeats(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM, slots_log2: int = SLOTS_LOG2, wanted_log2: int = 27) -> DataFrame:
-    """(doc, at, n): byte ranges, possibly overlapping, that stand in documents with smaller ids."""
+    """(doc, row, gone): byte ranges (at, n), possibly overlapping, that stand in documents with smaller ids."""
     rows = _shuffled(docs)
     (repeated,) = counts.classes(rows, lambda texts: _anchors(texts, threshold, gram), (2,), slots_log2)
     runs = cut(runs_of(rows, repeated, slots_log2, threshold, gram), "suffix-runs")
@@ -223,7 +224,7 @@ def repeats(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM, slots
     heads = named.groupBy("anchor").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("most > least").select(F.col("anchor").alias("h_anchor"))
     later = named.where("c > 1").select(F.col("anchor").alias("k_anchor"), F.col("name").alias("k_name"), F.col("doc").alias("k_doc"))
     whole = runs.join(later, (F.col("anchor") == F.col("k_anchor")) & (F.col("name") == F.col("k_name")) & (F.col("doc") > F.col("k_doc")))
-    whole = cut(whole.groupBy("doc").agg(F.collect_list(F.struct("at", (F.col("n") + threshold - 1).alias("n"))).alias("gone")), "suffix-whole")
+    whole = cut(whole.groupBy("doc", "row").agg(F.collect_set(F.struct("at", (F.col("n") + threshold - 1).alias("n"))).alias("gone")), "suffix-whole")
     drop(runs)
     # one copy of each run of an anchor whose runs begin in several documents: an earlier one's windows are what others are compared with
     edge = cut(named.join(heads, F.col("anchor") == F.col("h_anchor")).select("anchor", "name", "doc"), "suffix-edges")
@@ -235,7 +236,7 @@ def repeats(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM, slots
     pairs = windows.groupBy("one", "two").agg(F.min("doc").alias("p_doc"), F.max("doc").alias("most")).where("most > p_doc")
     pairs = cut(pairs.select(F.col("one").alias("p_one"), F.col("two").alias("p_two"), "p_doc"), "suffix-pairs")
     part = windows.join(pairs, (F.col("one") == F.col("p_one")) & (F.col("two") == F.col("p_two")) & (F.col("doc") > F.col("p_doc")))
-    part = cut(part.groupBy("doc").agg(F.collect_list(F.struct("at", F.lit(threshold).alias("n"))).alias("gone")), "suffix-parts")
+    part = cut(part.groupBy("doc", "row").agg(F.collect_set(F.struct("at", F.lit(threshold).alias("n"))).alias("gone")), "suffix-parts")
     drop(pairs)
     drop(windows)
     return whole.unionByName(part)
@@ -253,10 +254,10 @@ def _merged(gone: list | None) -> list[tuple[int, int]]:
 
 def dedupe(docs: DataFrame, threshold: int = THRESHOLD, **options) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) of every row; ``kept`` is the text's remaining bytes. One shuffle of the texts."""
-    gone = repeats(docs, threshold, **options).groupBy("doc").agg(F.collect_list("gone").alias("gone"))
-    gone = gone.withColumnRenamed("doc", "g_doc")
+    gone = repeats(docs, threshold, **options).groupBy(F.col("doc").alias("g_doc"), F.col("row").alias("g_row")).agg(F.collect_list("gone").alias("gone"))
     rows = docs.select("doc_id", "text")
-    joined = rows.join(gone, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)) == F.col("g_doc"), "left").select("doc_id", F.col("text").cast("binary").alias("text"), "gone")
+    own = (F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)) == F.col("g_doc")) & (F.xxhash64("text") == F.col("g_row"))
+    joined = rows.join(gone, own, "left").select("doc_id", F.col("text").cast("binary").alias("text"), "gone")
 
     def run(batches):
         for batch in batches:

@@ -267,6 +267,14 @@ class TestDecontam:
         assert done[1].text == "before  after" and done[2].text == "clean" and done[3].text is None and done[2].l_doc == "b"
         assert decontam.leaks(rows, rows.select(F.col("doc_id").alias("item_id"), "text").limit(0)).count() == 0
 
+    def test_passages_go_from_their_own_rows(self, spark):
+        item = prose(1, 12)
+        for doc in (None, 1):
+            said = [f"before {item} after", "another text, as long as the passage " * 5, f"then {item}"]
+            frame = spark.createDataFrame([(doc, t) for t in said], "doc_id long, text string")
+            done = decontam.clean(frame, spark.createDataFrame([(1, item)], "item_id long, text string"))
+            assert sorted(r.text for r in done.collect()) == sorted(["before  after", said[1], "then "])
+
 
 class TestSuffix:
     def test_against_brute_force(self, docs, texts):
@@ -300,6 +308,13 @@ class TestSuffix:
         frame = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
         assert [r.n_removed for r in suffix.dedupe(frame).collect()] == [0, 0]
 
+    def test_bytes_go_from_their_own_rows(self, spark):
+        text, left, right = prose(1, 30), prose(2, 40), prose(3, 40)
+        for doc in (None, 2):
+            frame = spark.createDataFrame([(1, text), (doc, left + text), (doc, right), (doc, right), (doc, left + text)], "doc_id long, text string")
+            kept = sorted(bytes(r.kept).decode() for r in suffix.dedupe(frame).collect())
+            assert kept == sorted([text, left, left, right, right])
+
 
 class TestSpans:
     def test_against_brute_force(self, spark, docs, texts):
@@ -319,3 +334,10 @@ class TestSpans:
         rows = spark.createDataFrame([(1, "a b. c d. e f.", "x", 7)], "doc_id long, text string, kept_text string, i int").withColumns({"gone": F.lit(1), "doc": F.lit(2), "d": F.lit(3)})
         assert spans.dedupe(rows).first().kept_text == "a b. c d. e f." and spans.dedupe(rows).first().i == 7
         assert spans.dedupe(empty(spark)).count() == 0
+
+    def test_sentences_go_from_their_own_rows(self, spark):
+        text, left = "one two three four. five six seven eight. nine ten eleven.", "a first row. of its own words. and more of them. "
+        other = "not one of these. is anywhere else. so all of them stay. "
+        for doc in (None, 2):
+            frame = spark.createDataFrame([(1, text), (doc, text + " " + left), (doc, other)], "doc_id long, text string")
+            assert sorted(r.kept_text for r in spans.dedupe(frame).collect()) == sorted([text, left, other])
