@@ -11,8 +11,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.llm.store import write
+
 SLOTS_LOG2 = 27
 SLICE_BYTES = 1 << 22
+#: Bytes of text whose tokens a bucket holds.
+BUCKET_BYTES = 4 << 20
 
 
 def slices(sizes: list[int], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
@@ -34,20 +38,26 @@ def texts_of(batch: pa.RecordBatch, name: str = "text", limit: int = SLICE_BYTES
         yield a, b, column.slice(a, b - a).cast(pa.binary()).to_pylist()
 
 
-def buckets_for(docs: DataFrame, slots_log2: int = SLOTS_LOG2) -> int:
-    """The logarithm of a number of buckets in proportion to the rows: about two thousand documents' tokens each."""
-    return min(slots_log2 - 3, max(8, math.ceil(math.log2(max(1, docs.count()) / 2000))))
+def n_bytes(docs: DataFrame) -> int:
+    """The bytes of all texts."""
+    return docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+
+
+def log2_at_least(n: float, least: int, most: int) -> int:
+    """The logarithm of the least power of two that is not under ``n``, between two bounds."""
+    return min(most, max(least, math.ceil(math.log2(max(1, n)))))
 
 
-def classes(docs: DataFrame, tokens: Callable[[list[bytes | None]], list[np.ndarray]], levels: tuple[int, ...], slots_log2: int = SLOTS_LOG2) -> list[np.ndarray]:
+def classes(docs: DataFrame, tokens: Callable[[list[bytes | None]], list[np.ndarray]], levels: tuple[int, ...], slots_log2: int = SLOTS_LOG2, total: int | None = None) -> list[np.ndarray]:
     """For each level, a bitmap by a token's leading bits: set where a token is held by at least that many documents.
 
     ``tokens`` gives the distinct tokens of each text. A task sends each token once per document, at most ``max(levels)`` times, as
     four bytes to the bucket of its leading bits. A bucket has an even share of hash space, so no document or token makes it large,
-    and the number of buckets follows the rows. Tokens that agree in 32 bits more than the bucket's are counted as one, which can
+    and the number of buckets follows the texts' bytes (``total``). Tokens that agree in 32 bits more than the bucket's are counted as one, which can
     only set more bits. The bitmaps have one size whatever the input; the driver puts them together.
     """
-    buckets_log2, most = buckets_for(docs, slots_log2), max(levels)
+    buckets_log2 = log2_at_least((n_bytes(docs) if total is None else total) / BUCKET_BYTES, min(6, slots_log2 - 3), slots_log2 - 3)
+    most = max(levels)
 
     def send(batches):
         for batch in batches:
@@ -73,12 +83,13 @@ def classes(docs: DataFrame, tokens: Callable[[list[bytes | None]], list[np.ndar
         return pa.table({"bucket": table.column("bucket")[:1].cast(pa.int32()), "bits": pa.array([bits], pa.list_(pa.binary()))})
 
     sent = docs.select("text").mapInArrow(send, "bucket int, tokens binary")
-    chunks = sent.groupBy("bucket").applyInArrow(count, "bucket int, bits array<binary>")
+    chunks = write(sent.groupBy("bucket").applyInArrow(count, "bucket int, bits array<binary>"), "counts")
     maps = [np.zeros(1 << (slots_log2 - 3), np.uint8) for _ in levels]
     size = 1 << (slots_log2 - buckets_log2 - 3)
-    for row in chunks.toLocalIterator():
+    for row in chunks.frame.toLocalIterator():
         for held, bits in zip(maps, row["bits"], strict=True):
             held[row["bucket"] * size : (row["bucket"] + 1) * size] = np.frombuffer(bits, np.uint8)
+    chunks.drop()
     return maps
 
 

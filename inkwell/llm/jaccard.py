@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm import counts
-from inkwell.llm.store import cut, drop
+from inkwell.llm.store import Table, cut, write
 
 WIDTH = 5
 PERCENT = 80
@@ -170,25 +170,24 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame) -> Table:
     """(node, component) of all ends of ``edges`` (a, b): alternating large and small stars until every node points at its least."""
-    now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "stars")
+    now = write(edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("component")).where("node <> component").distinct(), "stars")
     mark = None
     while True:
-        both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        down = now.frame.select(F.col("node").alias("u"), F.col("component").alias("v"))
+        both = down.unionByName(down.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
         large = both.join(least, F.col("u") == F.col("c")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
         small = large.join(down, F.col("u") == F.col("c"))
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select(F.col("c").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
-        last, now = now, cut(small, "stars")
-        drop(last)
-        seen = now.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.hash("v", "u").cast("long"))).first()
+        last, now = now, write(small.select(F.col("u").alias("node"), F.col("v").alias("component")), "stars")
+        last.drop()
+        seen = now.frame.agg(F.count("*"), F.sum(F.hash("node", "component").cast("long")), F.sum(F.hash("component", "node").cast("long"))).first()
         if seen == mark:
-            found = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-            found._cut_path = now._cut_path
-            return found
+            return now
         mark = seen
 
 
@@ -245,7 +244,7 @@ def _stars(labelled: DataFrame) -> DataFrame:
     return stars.where("k > 1").select(F.col("sig").alias("s"), "c", "pivot.p", "pivot.n_p")
 
 
-def links(members: DataFrame, sets: DataFrame, percent: int, few: int = 32, block: int = 128, block_tokens: int = 500_000) -> DataFrame:
+def links(members: DataFrame, sets: DataFrame, percent: int, few: int = 32, block: int = 128, block_tokens: int = 500_000) -> Table:
     """(node, component) over all links among vertices that share a signature.
 
     First each vertex is compared with the pivots of its signatures, which joins groups of copies at the cost of a row per copy. Then
@@ -258,31 +257,34 @@ def links(members: DataFrame, sets: DataFrame, percent: int, few: int = 32, bloc
     labelled = members.withColumn("comp", F.col("rep"))
     near = labelled.withColumnRenamed("n", "n_rep").join(_stars(labelled), sig).where("rep <> p")
     fits, a, b = _pairs("rep", "p", percent)
-    first = cut(near.where(fits).select(a, b).distinct(), "jaccard-pairs")
-    edges = cut(verified(first, sets, percent), "jaccard-edges")
-    found = components(edges)
-
-    labelled = cut(_labelled(members, found), "jaccard-labelled")
-    open_ = cut(_stars(labelled), "jaccard-open")
-    small = labelled.join(open_.where(F.col("c") <= few).select("s"), sig, "left_semi")
+    first = write(near.where(fits).select(a, b).distinct(), "jaccard-pairs")
+    edges = write(verified(first.frame, sets, percent), "jaccard-edges")
+    found = components(edges.frame)
+
+    marked = write(_labelled(members, found.frame), "jaccard-labelled")
+    open_ = write(_stars(marked.frame), "jaccard-open")
+    labelled = marked.frame
+    small = labelled.join(open_.frame.where(F.col("c") <= few).select("s"), sig, "left_semi")
     x = small.select("sig", F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("comp").alias("c_x"))
     y = small.select(F.col("sig").alias("s"), F.col("rep").alias("y"), F.col("n").alias("n_y"), F.col("comp").alias("c_y"))
     fits, a, b = _pairs("x", "y", percent)
-    second = cut(x.join(y, sig & (F.col("c_x") < F.col("c_y")) & fits).select(a, b).distinct().join(first, ["a", "b"], "left_anti"), "jaccard-pairs")
+    second = write(x.join(y, sig & (F.col("c_x") < F.col("c_y")) & fits).select(a, b).distinct().join(first.frame, ["a", "b"], "left_anti"), "jaccard-pairs")
 
-    large = labelled.join(open_.where(F.col("c") > few).select("s", F.col("p").alias("pivot")), sig)
-    large = cut(large.select("pivot", "rep", "n", "comp").distinct(), "jaccard-large")
+    large = labelled.join(open_.frame.where(F.col("c") > few).select("s", F.col("p").alias("pivot")), sig)
+    near_misses = write(large.select("pivot", "rep", "n", "comp").distinct(), "jaccard-large")
+    large = near_misses.frame
     blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / block_tokens)).cast("int")
     dealt = large.join(large.groupBy("pivot").agg(blocks.alias("blocks")).withColumnRenamed("pivot", "g"), F.col("pivot") == F.col("g"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("pivot", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "comp")
     dealt = dealt.join(sets.withColumnRenamed("rep", "t"), F.col("rep") == F.col("t")).drop("t")
-    more = cut(verified(second, sets, percent).unionByName(_compared(dealt, percent)), "jaccard-edges")
-    if more.limit(1).count():
-        drop(found)
-        found = components(edges.unionByName(more))
-    drop(first, second, large, labelled, open_, edges, more)
+    more = write(verified(second.frame, sets, percent).unionByName(_compared(dealt, percent)), "jaccard-edges")
+    if not more.frame.isEmpty():
+        found.drop()
+        found = components(edges.frame.unionByName(more.frame))
+    for table in (first, second, near_misses, marked, open_, edges, more):
+        table.drop()
     return found
 
 
@@ -294,10 +296,11 @@ def join(docs: DataFrame, percent: int = PERCENT, frequent: int = 32, classes: i
     flat = rows.where("sigs is not null").select("node", "n", F.explode("sigs").alias("sig")).distinct()
     often = flat.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1").select(F.col("sig").alias("s"))
     members = flat.join(often, F.col("sig") == F.col("s"), "left_semi").join(reps, F.col("node") == F.col("r_node")).where("rep is not null")
-    members = cut(members.select("sig", "rep", "n").distinct(), "jaccard-members")
-    sets = cut(sets_of(docs, members.select("rep").distinct()), "jaccard-sets")
-    found = links(members, sets, percent)
-    drop(members, sets)
+    held = write(members.select("sig", "rep", "n").distinct(), "jaccard-members")
+    sets = write(sets_of(docs, held.frame.select("rep").distinct()), "jaccard-sets")
+    found = links(held.frame, sets.frame, percent).frame
+    held.drop()
+    sets.drop()
     named = reps.join(found, F.col("rep") == F.col("node"), "left").select("r_node", F.coalesce("component", "rep").alias("c"))
     out = rows.join(named, F.col("node") == F.col("r_node"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))

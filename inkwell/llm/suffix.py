@@ -1,44 +1,51 @@
-"""Removal of every byte under a string of ``threshold`` bytes that also starts in a document with a smaller id.
-
-Prefix doubling over positions ranks strings of 2, 4, 8 ... bytes by the pair of ranks of their halves, until a position's rank is
-unique or its string reaches the threshold. Here each position's string of ``threshold`` bytes is ranked so, but positions leave as
-early as they can, since sorting all of a corpus's positions at each step would write many times the corpus:
-
-1. Short strings. Each window of ``threshold`` bytes has one anchor, its string of ``GRAM`` bytes with the least hash (of equal ones the
-   leftmost), so equal windows have equal anchors. Hashes of strings of 2, 4, 8, 16 bytes are doubled in the map task. A bitmap of
-   anchors that several documents hold is made by counting; windows with a unique anchor are unique, and leave.
-2. Past the threshold. Windows next to each other with the same anchor form a run; its name stands for the whole string under it. A run
-   that an earlier document holds is removed as a whole, and a run whose anchor no earlier document holds stays.
-3. The doubling step. What remains are the windows at the edges of a repeat, one copy of each distinct run. A window's rank is the pair
-   of its halves' names; Spark groups the pairs, and a window stands in an earlier document where the least id of its pair is smaller.
-
-Every grouping aggregates before its shuffle and is joined back, so a string in a third of all documents is no task's own. A run is
-compared by 128 bits, its anchor and its name, of which 64 tell apart the runs of one anchor, and a window by 128, the names of its halves.
+"""Removal of every byte under a string of ``threshold`` bytes that also starts in a document with a smaller id, by prefix doubling.
+
+A position is ranked by the string that starts at it; a longer string's rank comes from sorting pairs (rank of its prefix, name of what
+follows at an offset), and positions leave as soon as their rank is unique or their string has reached the threshold. The offsets grow
+from step to step. All positions of a corpus at every step would be many times the corpus, so one sampled position first speaks for
+the windows (strings of ``threshold`` bytes) around it:
+
+1. Under the threshold. Each window has one anchor, its string of ``gram`` bytes with the least hash (of equal ones the leftmost), so
+   equal windows have equal anchors; windows next to each other with one anchor form a run. Names of 1, 2, 4 ... bytes are doubled in
+   the map task. A counted bitmap, which follows the data in size, spares Spark most runs whose anchor is unique; above ``MOST`` runs,
+   where a bitmap of bounded size would be full, all runs go on. Spark then ranks the anchors, and unique ones leave.
+2. Past the threshold. A run's name stands for its whole string. Spark ranks (anchor, name); a run that an earlier document holds is
+   removed as a whole. A run whose anchor has no other name needs nothing more.
+3. At the edges of repeats, one copy of each run whose anchor has several names, in documents that differ, is opened into its windows.
+   Spark doubles these from ``threshold / 2**rounds`` bytes to the threshold: each round sorts the pairs (rank, name at the offset),
+   numbers those that several documents hold in their order, and joins the numbers back as new ranks; the rest is unique and leaves.
+
+Ranking groups with partial aggregation before the shuffle and joins back, both sides sorted, where Spark splits hot keys; so a string
+in a third of all documents is no task's own. A run is compared by 128 bits, its anchor and its name, of which 64 tell apart the runs
+of one anchor; a window by 64 bits for each piece.
 
 Defined results: a null text is empty; texts shorter than the threshold stay; equal ids never remove each other's bytes; a null id
 counts as larger than all others; bytes go from the row they were found in, known by its id and a hash of its text, so repeated rows
-are treated alike and other rows of the same id keep theirs; an empty table gives an empty result; further columns are not carried.
+are treated alike and other rows of the same id keep theirs; of ties none matters, as only the least id counts; a very long text is
+hashed in parts of at most ``STEP`` bytes; an empty table gives an empty result; further columns are not carried.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm import counts
-from inkwell.llm.store import cut, drop
+from inkwell.llm.store import write
 
 THRESHOLD = 50
 GRAM = 38
-#: A bitmap of anchors of 32 MB.
+#: At most a bitmap of anchors of 32 MB; it is used for up to ``MOST`` runs.
 SLOTS_LOG2 = 28
+MOST = 1 << 32
 ODD = np.uint64(0x9E3779B97F4A7C15)
 PLACES = 18
 STEP = 1 << PLACES
 LAST = (1 << 63) - 1
+#: A removed range is one long: its first byte and, in the lowest bits, its length.
+LENGTH_BITS = 16
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -51,27 +58,48 @@ def _mix(h: np.ndarray) -> np.ndarray:
 BYTES = _mix(np.arange(1, 257, dtype=np.uint64) * ODD)
 
 
-class Block:
-    """The windows of a block of texts, at most ``STEP`` bytes, with their anchors and runs; ``begin`` has each text's first byte."""
+class Names:
+    """Hashes of all strings of any length up to ``longest`` in a stretch of bytes, doubled from those of 1, 2, 4, ... bytes."""
 
-    def __init__(self, texts: list[bytes], threshold: int, gram: int):
+    def __init__(self, raw: bytes, longest: int):
         with np.errstate(over="ignore"):
-            data = np.frombuffer(b"".join(texts), np.uint8)
-            size = np.array([len(t) for t in texts], np.int64)
-            self.begin = np.cumsum(size) - size
-            self.threshold, n = threshold, len(data)
-            # hashes of strings of 1, 2, 4, ... bytes, each from two of the half length
-            self.level = {1: BYTES[data]}
-            self.power, length = {1: ODD}, 1
-            while 2 * length <= min(threshold, n):
+            data = np.frombuffer(raw, np.uint8)
+            self.level, self.power, length = {1: BYTES[data]}, {1: ODD}, 1
+            while 2 * length <= min(longest, len(data)):
                 h, p = self.level[length], self.power[length]
                 self.level[2 * length], self.power[2 * length] = h[: len(h) - length] * p + h[length:], p * p
                 length *= 2
+
+    def of(self, length: int) -> np.ndarray:
+        """The hash of every string of ``length`` bytes."""
+        out, at, n = None, 0, len(self.level[1]) - length + 1
+        with np.errstate(over="ignore"):
+            for step in sorted(self.level, reverse=True):
+                if length & step:
+                    part = self.level[step][at : at + n]
+                    out = part if out is None else out * self.power[step] + part
+                    at += step
+        return out
+
+
+class Block:
+    """The runs of a block of texts, at most ``STEP`` bytes: text, first window, number of windows, anchor and, if asked for, name.
+
+    ``begin`` has each text's first byte. Anchors are mixed once more after the least is chosen: the hashes that win are small ones.
+    """
+
+    def __init__(self, texts: list[bytes], threshold: int, gram: int, named: bool = True):
+        with np.errstate(over="ignore"):
+            raw = b"".join(texts)
+            size = np.array([len(t) for t in texts], np.int64)
+            self.begin = np.cumsum(size) - size
+            self.size = n = len(raw)
             empty = np.zeros(0, np.int64)
             self.text, self.first, self.count, self.anchor, self.name = empty, empty, empty, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
             if n < threshold:
                 return
-            grams = _mix(self.hashes(gram))
+            names = Names(raw, threshold if named else gram)
+            grams = _mix(names.of(gram))
             least = (grams >> np.uint64(PLACES)) << np.uint64(PLACES) | np.arange(len(grams), dtype=np.uint64)
             width, length = threshold - gram + 1, 1
             while 2 * length <= width:
@@ -93,33 +121,14 @@ class Block:
             text = np.searchsorted(self.begin, new, "right") - 1
             inside = new - self.begin[text] < windows[text]
             self.first, self.count, self.text = new[inside], count[inside], text[inside]
-            self.anchor = grams[at[self.first]]
-            # a run's first and last windows overlap, and so cover it
-            whole = self.hashes(threshold)
-            self.name = _mix(whole[self.first] * ODD + _mix(whole[self.first + self.count - 1] + self.count.astype(np.uint64)))
-
-    def hashes(self, length: int) -> np.ndarray:
-        """The hash of every string of ``length`` bytes, out of strings whose lengths are powers of two."""
-        out, at, n = None, 0, len(self.level[1]) - length + 1
-        with np.errstate(over="ignore"):
-            for step in sorted(self.level, reverse=True):
-                if length & step:
-                    part = self.level[step][at : at + n]
-                    out = part if out is None else out * self.power[step] + part
-                    at += step
-        return out
-
-    def halves(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(run, position, name of the first half, name of the second) of every window of the chosen runs."""
-        half = self.threshold - self.threshold // 2
-        names = self.hashes(half)
-        n = self.count[runs]
-        which = np.repeat(runs, n)
-        at = np.repeat(self.first[runs] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        return which, at, _mix(names[at]), _mix(names[at + self.threshold - half])
+            self.anchor = _mix(grams[at[self.first]] + ODD)
+            if named:
+                # a run's first and last windows overlap, and so cover it
+                whole = names.of(threshold)
+                self.name = _mix(whole[self.first] * ODD + _mix(whole[self.first + self.count - 1] + self.count.astype(np.uint64)))
 
 
-def blocks(texts: list[bytes | None], threshold: int, gram: int):
+def blocks(texts: list[bytes | None], threshold: int, gram: int, named: bool = True):
     """(numbers of texts, offset in each, Block) over blocks of whole texts, a long one in parts that overlap by a window less a byte."""
     batch, numbers, offsets, total = [], [], [], 0
     for no, text in enumerate(texts):
@@ -127,19 +136,19 @@ def blocks(texts: list[bytes | None], threshold: int, gram: int):
         for at in range(0, max(1, len(text) - threshold + 1), STEP - threshold):
             part = text[at : at + STEP - 1]
             if total + len(part) >= STEP:
-                yield np.array(numbers), np.array(offsets), Block(batch, threshold, gram)
+                yield np.array(numbers), np.array(offsets), Block(batch, threshold, gram, named)
                 batch, numbers, offsets, total = [], [], [], 0
             batch.append(part)
             numbers.append(no)
             offsets.append(at)
             total += len(part)
     if batch:
-        yield np.array(numbers), np.array(offsets), Block(batch, threshold, gram)
+        yield np.array(numbers), np.array(offsets), Block(batch, threshold, gram, named)
 
 
 def _anchors(texts, threshold: int, gram: int) -> list[np.ndarray]:
     found: list[list[np.ndarray]] = [[] for _ in texts]
-    for numbers, _, b in blocks(texts, threshold, gram):
+    for numbers, _, b in blocks(texts, threshold, gram, named=False):
         cuts = np.searchsorted(b.text, np.arange(len(numbers) + 1))
         for k, no in enumerate(numbers.tolist()):
             found[no].append(b.anchor[cuts[k] : cuts[k + 1]])
@@ -150,8 +159,8 @@ def _shuffled(rows: DataFrame) -> DataFrame:
     return rows.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), "text", F.xxhash64("text").alias("row"))
 
 
-def runs_of(rows: DataFrame, repeated: np.ndarray, slots_log2: int, threshold: int, gram: int) -> DataFrame:
-    """(anchor, name, doc, row, at, n): the runs whose anchor several documents may hold; ``n`` windows from byte ``at``."""
+def runs_of(rows: DataFrame, repeated: np.ndarray | None, slots_log2: int, threshold: int, gram: int) -> DataFrame:
+    """(anchor, name, doc, row, at, n): runs of ``n`` windows from byte ``at``; with a bitmap, those whose anchor several documents may hold."""
     bits = rows.sparkSession.sparkContext.broadcast(repeated)
 
     def run(batches):
@@ -160,96 +169,123 @@ def runs_of(rows: DataFrame, repeated: np.ndarray, slots_log2: int, threshold: i
             for a, b, texts in counts.texts_of(batch, limit=STEP):
                 own, row = ids.slice(a, b - a).to_numpy(), hashes.slice(a, b - a).to_numpy()
                 for numbers, offsets, block in blocks(texts, threshold, gram):
-                    keep = counts.held(bits.value, block.anchor, slots_log2).astype(bool)
+                    keep = slice(None) if bits.value is None else counts.held(bits.value, block.anchor, slots_log2).astype(bool)
                     text = block.text[keep]
-                    at = block.first[keep] - block.begin[text] + offsets[text] if len(text) else np.zeros(0, np.int64)
-                    columns = [block.anchor[keep].view(np.int64), block.name[keep].view(np.int64), own[numbers[text]] if len(text) else at, row[numbers[text]] if len(text) else at, at, block.count[keep].astype(np.int32)]
+                    if not len(text):
+                        continue
+                    at = block.first[keep] - block.begin[text] + offsets[text]
+                    columns = [block.anchor[keep].view(np.int64), block.name[keep].view(np.int64), own[numbers[text]], row[numbers[text]], at, block.count[keep].astype(np.int32)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "name", "doc", "row", "at", "n"])
 
     return rows.mapInArrow(run, "anchor long, name long, doc long, row long, at long, n int")
 
 
-def windows_of(rows: DataFrame, repeated: np.ndarray, slots_log2: int, wanted: np.ndarray, wanted_log2: int, some: np.ndarray, threshold: int, gram: int) -> DataFrame:
-    """(one, two, doc, row, at): the windows of the runs whose (anchor, name, doc) is in the bitmap ``wanted``, each named by its halves."""
-    maps = rows.sparkSession.sparkContext.broadcast((repeated, wanted, some))
+def lengths(threshold: int, rounds: int) -> list[int]:
+    """The lengths of strings before and after each round; each is at most twice the one before, and the last is the threshold."""
+    out = [threshold]
+    for _ in range(rounds):
+        out.insert(0, -(-out[0] // 2))
+    return out
+
+
+def windows_of(rows: DataFrame, edges: DataFrame, threshold: int, rounds: int) -> DataFrame:
+    """(doc, row, at, rank, piece1, ...): the windows of the runs ``edges`` (doc, row, at, n), with the names of the pieces of each."""
+    opened = edges.groupBy(F.col("doc").alias("e_doc"), F.col("row").alias("e_row")).agg(F.collect_list(F.struct("at", "n")).alias("runs"))
+    joined = rows.join(opened, (F.col("doc") == F.col("e_doc")) & (F.col("row") == F.col("e_row")))
+    joined = joined.select("doc", "row", F.col("text").cast("binary").alias("text"), F.col("runs.at").alias("at"), F.col("runs.n").alias("n"))
+    ends = [0, *lengths(threshold, rounds)]
+    names = ["doc", "row", "at", "rank", *(f"piece{k}" for k in range(1, rounds + 1))]
+
+    def named(docs: list, row_hashes: list, strings: list[list[bytes]], at: list[np.ndarray], n: list[np.ndarray]) -> pa.RecordBatch:
+        size = [len(a) for a in at]
+        at, n = np.concatenate(at), np.concatenate(n)
+        found = Names(b"".join(s for part in strings for s in part), threshold)
+        begin = np.cumsum(n + threshold - 1) - (n + threshold - 1)  # each run's first byte among the joined strings
+        inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        place = np.repeat(begin, n) + inside
+        pieces = [_mix(found.of(b - a)[place + a]).view(np.int64) for a, b in zip(ends, ends[1:], strict=False)]
+        columns = [np.repeat(np.repeat(docs, size), n), np.repeat(np.repeat(row_hashes, size), n), np.repeat(at, n) + inside, *pieces]
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=names)
 
     def run(batches):
+        most, held, total = STEP // (2 * threshold), [], 0
         for batch in batches:
-            # a bitmap of documents spares the texts of the others
-            batch = batch.filter(pa.array(counts.held(maps.value[2], batch.column(3).to_numpy().view(np.uint64), 24) == 1))
-            ids, hashes = batch.column(0), batch.column(2)
-            for a, b, texts in counts.texts_of(batch, limit=STEP):
-                own, row = ids.slice(a, b - a).to_numpy(), hashes.slice(a, b - a).to_numpy()
-                for numbers, offsets, block in blocks(texts, threshold, gram):
-                    runs = np.flatnonzero(counts.held(maps.value[0], block.anchor, slots_log2))
-                    if not len(runs):
-                        continue
-                    with np.errstate(over="ignore"):
-                        key = _key(block.anchor[runs], block.name[runs], own[numbers[block.text[runs]]].astype(np.uint64))
-                    runs = runs[counts.held(maps.value[1], key, wanted_log2).astype(bool)]
-                    if not len(runs):
-                        continue
-                    which, at, one, two = block.halves(runs)
-                    text = block.text[which]
-                    columns = [one.view(np.int64), two.view(np.int64), own[numbers[text]], row[numbers[text]], at - block.begin[text] + offsets[text]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["one", "two", "doc", "row", "at"])
-
-    return rows.withColumn("hash", F.xxhash64("doc")).mapInArrow(run, "one long, two long, doc long, row long, at long")
-
-
-def _key(anchor: np.ndarray, name: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    return _mix(anchor * ODD + _mix(name + _mix(doc)))
-
-
-def _wanted(edge: DataFrame, slots_log2: int) -> np.ndarray:
-    """A bitmap over the keys of the runs of ``edge``, or-ed together by blocks of its slots."""
+            docs, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for k in range(batch.num_rows):
+                text, at, n = batch.column(2)[k].as_py(), batch.column(3)[k].values.to_numpy(), batch.column(4)[k].values.to_numpy().astype(np.int64)
+                for a in range(0, len(at), most):
+                    x, y = at[a : a + most], n[a : a + most]
+                    held.append((docs[k], hashes[k], [text[p : p + c + threshold - 1] for p, c in zip(x.tolist(), y.tolist(), strict=True)], x, y))
+                    total += len(x)
+                    if total >= most:
+                        yield named(*map(list, zip(*held, strict=True)))
+                        held, total = [], 0
+        if held:
+            yield named(*map(list, zip(*held, strict=True)))
+
+    return joined.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+def doubled(windows: DataFrame, rounds: int) -> DataFrame:
+    """(doc, row, at): the windows that stand in an earlier document, after all rounds of ranking pairs at growing offsets."""
+    alive, last = windows, None
+    for k in range(1, rounds + 1):
+        pairs = alive.groupBy("rank", f"piece{k}").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("most > least")
+        # the pairs' numbers in their sorted order are the new ranks
+        ranks = write(pairs.sort("rank", f"piece{k}").select(F.col("rank").alias("r_rank"), F.col(f"piece{k}").alias("r_piece"), "least", F.monotonically_increasing_id().alias("next")), "suffix-ranks")
+        more = alive.join(ranks.frame.hint("merge"), (F.col("rank") == F.col("r_rank")) & (F.col(f"piece{k}") == F.col("r_piece")))
+        if k == rounds:
+            more = more.where("doc > least").select("doc", "row", "at")
+        else:
+            more = more.select("doc", "row", "at", F.col("next").alias("rank"), *(f"piece{j}" for j in range(k + 1, rounds + 1)))
+        done = write(more, "suffix-alive")
+        ranks.drop()
+        if last:
+            last.drop()
+        alive, last = done.frame, done
+    return alive
 
-    def keys(batches):
-        for batch in batches:
-            with np.errstate(over="ignore"):
-                anchor, name, doc = (batch.column(k).to_numpy() for k in range(3))
-                key = _key(anchor.view(np.uint64), name.view(np.uint64), doc.view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], names=["key"])
 
-    return counts.bitmap(edge.select("anchor", "name", "doc").mapInArrow(keys, "key long"), F.col("key"), slots_log2)
+def _range(n: Column) -> Column:
+    return (F.shiftleft("at", LENGTH_BITS) + n).alias("gone")
 
 
-def repeats(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM, slots_log2: int = SLOTS_LOG2, wanted_log2: int = 27) -> DataFrame:
-    """(doc, row, gone): byte ranges (at, n), possibly overlapping, that stand in documents with smaller ids."""
+def repeats(docs: DataFrame, threshold: int = THRESHOLD, gram: int | None = None, slots_log2: int = SLOTS_LOG2, most: int = MOST, rounds: int = 2) -> DataFrame:
+    """(doc, row, gone): byte ranges, possibly overlapping, that stand in documents with smaller ids; see ``LENGTH_BITS``."""
     rows = _shuffled(docs)
-    (repeated,) = counts.classes(rows, lambda texts: _anchors(texts, threshold, gram), (2,), slots_log2)
-    runs = cut(runs_of(rows, repeated, slots_log2, threshold, gram), "suffix-runs")
-    named = runs.groupBy("anchor", "name").agg(F.min("doc").alias("doc"), F.count("*").alias("c"))
-    named = cut(named, "suffix-names")
-    heads = named.groupBy("anchor").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("most > least").select(F.col("anchor").alias("h_anchor"))
-    later = named.where("c > 1").select(F.col("anchor").alias("k_anchor"), F.col("name").alias("k_name"), F.col("doc").alias("k_doc"))
-    whole = runs.join(later, (F.col("anchor") == F.col("k_anchor")) & (F.col("name") == F.col("k_name")) & (F.col("doc") > F.col("k_doc")))
-    whole = cut(whole.groupBy("doc", "row").agg(F.collect_set(F.struct("at", (F.col("n") + threshold - 1).alias("n"))).alias("gone")), "suffix-whole")
-    drop(runs)
-    # one copy of each run of an anchor whose runs begin in several documents: an earlier one's windows are what others are compared with
-    edge = cut(named.join(heads, F.col("anchor") == F.col("h_anchor")).select("anchor", "name", "doc"), "suffix-edges")
-    drop(named)
-    wanted = _wanted(edge, wanted_log2)
-    some = counts.bitmap(edge.select("doc").distinct(), F.xxhash64("doc"), 24)
-    drop(edge)
-    windows = cut(windows_of(rows, repeated, slots_log2, wanted, wanted_log2, some, threshold, gram), "suffix-windows")
-    pairs = windows.groupBy("one", "two").agg(F.min("doc").alias("p_doc"), F.max("doc").alias("most")).where("most > p_doc")
-    pairs = cut(pairs.select(F.col("one").alias("p_one"), F.col("two").alias("p_two"), "p_doc"), "suffix-pairs")
-    part = windows.join(pairs, (F.col("one") == F.col("p_one")) & (F.col("two") == F.col("p_two")) & (F.col("doc") > F.col("p_doc")))
-    part = cut(part.groupBy("doc", "row").agg(F.collect_set(F.struct("at", F.lit(threshold).alias("n"))).alias("gone")), "suffix-parts")
-    drop(pairs)
-    drop(windows)
-    return whole.unionByName(part)
-
-
-def _merged(gone: list | None) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for a, n in sorted((g["at"], g["n"]) for part in gone or () for g in part):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], a + n)
-        else:
-            out.append([a, a + n])
-    return [(a, b) for a, b in out]
+    total, repeated, long = counts.n_bytes(docs), None, gram or min(GRAM, threshold)
+    n_runs = 2 * total // (threshold - long + 2)
+    if n_runs <= most:
+        gram = long
+        # some four slots a run: a unique anchor seldom meets a repeated one
+        slots_log2 = counts.log2_at_least(4 * n_runs, 16, slots_log2)
+        (repeated,) = counts.classes(rows, lambda texts: _anchors(texts, threshold, gram), (2,), slots_log2, total)
+    # without the bitmap, shorter anchors give fewer runs
+    gram = gram or threshold // 2 + 1
+    runs = write(runs_of(rows, repeated, slots_log2, threshold, gram), "suffix-runs")
+    names = write(runs.frame.groupBy("anchor", "name").agg(F.min("doc").alias("least"), F.count("*").alias("c")), "suffix-names")
+    anchors = names.frame.groupBy("anchor").agg(F.min("least").alias("a"), F.max("least").alias("b")).where("b > a").select(F.col("anchor").alias("a_anchor"))
+    ranked = names.frame.join(anchors, F.col("anchor") == F.col("a_anchor"), "left")
+    ranked = ranked.select(F.col("anchor").alias("r_anchor"), F.col("name").alias("r_name"), "least", "c", F.col("a_anchor").isNotNull().alias("edge")).where("edge or c > 1")
+    found = runs.frame.join(ranked.hint("merge"), (F.col("anchor") == F.col("r_anchor")) & (F.col("name") == F.col("r_name")))
+    # a run goes if an earlier document holds it; else it is opened if its anchor has other names
+    found = write(found.where("doc > least or edge").select("doc", "row", "at", "n", (F.col("doc") > F.col("least")).alias("whole")), "suffix-found")
+    runs.drop()
+    names.drop()
+    windows = write(windows_of(rows, found.frame.where("not whole").select("doc", "row", "at", "n"), threshold, rounds), "suffix-windows")
+    part = doubled(windows.frame, rounds)
+    windows.drop()
+    whole = found.frame.where("whole").select("doc", "row", _range(F.col("n") + threshold - 1))
+    return whole.unionByName(part.select("doc", "row", _range(F.lit(threshold))))
+
+
+def merged(gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, end) of the maximal removed stretches."""
+    gone = np.sort(gone)
+    at = gone >> LENGTH_BITS
+    end = np.maximum.accumulate(at + (gone & ((1 << LENGTH_BITS) - 1)))
+    new = np.concatenate([np.ones(min(1, len(at)), bool), at[1:] > end[:-1]])
+    return at[new], end[np.append(np.flatnonzero(new)[1:] - 1, len(at) - 1)] if len(at) else end
 
 
 def dedupe(docs: DataFrame, threshold: int = THRESHOLD, **options) -> DataFrame:
@@ -264,10 +300,12 @@ def dedupe(docs: DataFrame, threshold: int = THRESHOLD, **options) -> DataFrame:
             texts, out = batch.column(1), []
             for k, spans in enumerate(batch.column(2)):
                 text = texts[k].as_py() or b""
-                merged = _merged(spans.as_py())
-                ends = [0, *(b for _, b in merged)]
-                kept = b"".join(text[x:y] for x, y in zip(ends, [*(a for a, _ in merged), len(text)], strict=True))
-                out.append((len(text), len(text) - len(kept), len(merged), kept))
+                if not spans.is_valid:
+                    out.append((len(text), 0, 0, text))
+                    continue
+                first, end = (x.tolist() for x in merged(spans.values.to_numpy()))
+                kept = b"".join(text[x:y] for x, y in zip([0, *end], [*first, len(text)], strict=True))
+                out.append((len(text), len(text) - len(kept), len(first), kept))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([o[c] for o in out], t) for c, t in enumerate(kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 

@@ -194,7 +194,7 @@ class TestJaccard:
         signed = jaccard.signed(rows, several, many, jaccard.counts.SLOTS_LOG2, 80, 4)
         members = signed.select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("rep"), "n").distinct().cache()
         found = jaccard.links(members, jaccard.sets_of(rows, members.select("rep").distinct()), 80, few=2, block=5)
-        got = {r.node: r.component for r in found.collect()}
+        got = {r.node: r.component for r in found.frame.collect()}
         want = brute.components(list(enumerate(said)))
         assert {d: got.get(d, d) for d in want} == {d: c for d, (_, c) in want.items()}
 
@@ -282,13 +282,28 @@ class TestSuffix:
         got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in suffix.dedupe(docs).collect()}
         assert got == want
 
+    def test_without_a_bitmap_and_with_other_rounds(self, docs, texts):
+        """All runs go to Spark's sorts: equal results, and a row for every dozen bytes at most."""
+        want = brute.repeats(list(enumerate(texts)))
+        for options in ({"most": 0}, {"slots_log2": 16, "rounds": 1}, {"gram": 26, "rounds": 3}):
+            got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in suffix.dedupe(docs, **options).collect()}
+            assert got == want, options
+        rows, size = suffix._shuffled(docs), sum(len((t or "").encode()) for t in texts)
+        assert suffix.runs_of(rows, None, 0, 50, 26).count() < size / 9
+
+    def test_windows_are_doubled_by_sorted_pairs(self, spark):
+        assert suffix.lengths(50, 2) == [13, 25, 50] and suffix.lengths(7, 3) == [1, 2, 4, 7]
+        windows = spark.createDataFrame([(1, 0, 0, 5, 1, 7), (2, 0, 3, 5, 1, 7), (3, 0, 9, 5, 1, 8), (4, 0, 1, 5, 2, 7)], "doc long, row long, at long, rank long, piece1 long, piece2 long")
+        done = suffix.doubled(windows, 2)
+        assert [tuple(r) for r in done.collect()] == [(2, 0, 3)]
+
     def test_long_texts_are_cut_into_blocks(self, spark, monkeypatch):
         long = prose(3, 3000)
         said = [prose(1, 40) + long[500:900], long, "z" + long[7000:9000] + "y", long[:49], None]
         monkeypatch.setattr(suffix, "STEP", 1 << 12)
         monkeypatch.setattr(suffix, "PLACES", 12)
         block = [b for _, _, b in suffix.blocks([t.encode() if t else t for t in said], 50, 26)]
-        assert len(block) > 3 and all(len(b.level[1]) < 1 << 12 for b in block)
+        assert len(block) > 3 and all(b.size < 1 << 12 for b in block)
         monkeypatch.undo()
         frame = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
         got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in suffix.dedupe(frame).collect()}
