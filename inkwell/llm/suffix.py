@@ -22,7 +22,7 @@ of one anchor; a window by 64 bits for each piece.
 Defined results: a null text is empty; texts shorter than the threshold stay; equal ids never remove each other's bytes; a null id
 counts as larger than all others; bytes go from the row they were found in, known by its id and a hash of its text, so repeated rows
 are treated alike and other rows of the same id keep theirs; of ties none matters, as only the least id counts; a very long text is
-hashed in parts of at most ``STEP`` bytes; an empty table gives an empty result; further columns are not carried.
+hashed in parts of at most ``STEP`` bytes, and one that repeats a short period has up to a run for each byte; an empty table gives an empty result; further columns are not carried.
 """
 
 from __future__ import annotations
