@@ -114,19 +114,24 @@ FROM a LEFT JOIN g USING (doc_id)
 """
 
 
+_TRIM = lambda c: f"trim({c}, chr(32) || chr(9) || chr(13) || chr(10))"
 OP8 = rf"""
-WITH p AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '{spans.SENTENCE}')) AS part, generate_subscripts(regexp_extract_all(coalesce(text, ''), '{spans.SENTENCE}'), 1) AS no FROM documents),
-s AS (
-  SELECT doc_id, no, trim(part, chr(32) || chr(9) || chr(13) || chr(10)) AS s, row_number() OVER (PARTITION BY doc_id ORDER BY no) - 1 AS i,
-    length(trim(part, chr(32) || chr(9) || chr(13) || chr(10))) - length(replace(trim(part, chr(32) || chr(9) || chr(13) || chr(10)), ' ', '')) + 1 AS w
-  FROM p WHERE trim(part, chr(32) || chr(9) || chr(13) || chr(10)) <> ''),
-r AS (
-  {" UNION ALL ".join(f"SELECT doc_id, i, {n} AS n, [{', '.join(f'lead(s, {k}) OVER o' for k in range(n))}] AS run, {' + '.join(f'lead(w, {k}) OVER o' for k in range(n))} AS words, {m} AS least FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY i)" for n, m in spans.RUNS)}),
-f AS (SELECT doc_id, i, n, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS k FROM r WHERE words >= least),
-g AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS i FROM f WHERE k > 1),
+WITH l AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{spans.SENTENCE}') AS l FROM documents),
+n AS (SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) AS no FROM l),
+w AS (SELECT doc_id, no, s, regexp_extract_all(s, '{spans.WORD}') AS w FROM n),
+k AS (SELECT doc_id, no, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM w WHERE len(w) > {spans.LONG}),
+c AS (
+  SELECT *, sum(CASE WHEN substr(md5({_TRIM("word")}), 1, 1) IN {spans.CUTS} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, no ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS cuts FROM k),
+p AS (
+  SELECT doc_id, no, 0 AS sub, s AS part FROM w WHERE len(w) <= {spans.LONG}
+  UNION ALL SELECT doc_id, no, coalesce(cuts, 0) AS sub, string_agg(word, '' ORDER BY k) AS part FROM c GROUP BY doc_id, no, coalesce(cuts, 0)),
+s AS (SELECT doc_id, no, sub, {_TRIM("part")} AS s, row_number() OVER (PARTITION BY doc_id ORDER BY no, sub) - 1 AS i FROM p WHERE {_TRIM("part")} <> ''),
+r AS (SELECT doc_id, i, [{', '.join(f'lead(s, {k}) OVER o' for k in range(spans.SIZE))}] AS run, lead(i, {spans.SIZE - 1}) OVER o AS last FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS k FROM r WHERE last IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + {spans.SIZE})) AS i FROM f WHERE k > 1),
 t AS (
-  SELECT p.doc_id, string_agg(part, '' ORDER BY p.no) FILTER (g.i IS NULL) AS kept, count(s.i) AS n_sentences, count(g.i) AS n_removed
-  FROM p LEFT JOIN s ON p.doc_id = s.doc_id AND p.no = s.no LEFT JOIN g ON s.doc_id = g.doc_id AND s.i = g.i GROUP BY p.doc_id)
+  SELECT p.doc_id, string_agg(part, '' ORDER BY p.no, p.sub) FILTER (g.i IS NULL) AS kept, count(s.i) AS n_sentences, count(g.i) AS n_removed
+  FROM p LEFT JOIN s ON p.doc_id = s.doc_id AND p.no = s.no AND p.sub = s.sub LEFT JOIN g ON s.doc_id = g.doc_id AND s.i = g.i GROUP BY p.doc_id)
 SELECT doc_id, coalesce(n_sentences, 0)::BIGINT AS n_sentences, coalesce(n_removed, 0)::BIGINT AS n_removed, length(coalesce(kept, ''))::BIGINT AS kept_chars, sha256(coalesce(kept, '')) AS kept_sha256
 FROM documents LEFT JOIN t USING (doc_id)
 """

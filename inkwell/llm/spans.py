@@ -1,16 +1,19 @@
 """Removal of repeated runs of sentences.
 
-A sentence ends after a full stop, exclamation or question mark and the blank behind it, after a line break, or with the text; blank
-stretches are no sentences. Every run of ``size`` sentences in a row with at least ``words`` words, for each (size, words) of
-``RUNS``, is hashed over its trimmed sentences. The first of equal runs is the one with the least (doc_id, place); sentences that any
-other of them covers are removed, and the rest of the text stays as it is.
+A sentence ends after a full stop, exclamation or question mark and the blank behind it, after such a mark of scripts without blanks,
+after a line break, or with the text; blank stretches are no sentences. A sentence of more than ``LONG`` words is cut behind each word
+whose digest begins with one of ``CUTS``, three words in sixteen: places that its words alone decide, so a passage inside a long sentence
+is cut alike wherever it stands. A word ends with a blank; a character of scripts without blanks is a word. Every run of ``SIZE``
+sentences in a row is hashed over its trimmed sentences. The first of equal runs is the one with the least (doc_id, place); sentences
+that any other of them covers are removed, and the rest of the text stays as it is.
 
 Hashes are 96 bits, so no two different runs of a corpus of a hundred terabytes are likely to meet. First places are found by a
 grouping with partial aggregation, so a run that a third of all documents hold costs one row per task; only runs that occur twice go
 on to the second join, whose hot keys Spark splits.
 
 Defined results: a null text has no sentences and stays null; a null id counts as the largest; rows that share id and text each keep
-the first run; sentences go from the row they were found in, known by its id and a hash of its text; a text shorter than a run stays; an empty table gives an empty result; other columns are carried unless they have the
+the first run; sentences go from the row they were found in, known by its id and a hash of its text; a text shorter than a run stays;
+a text is cut as a whole however long it is; an empty table gives an empty result; other columns are carried unless they have the
 name of a result column, which then wins.
 """
 
@@ -19,18 +22,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.store import bind
+from inkwell.llm.store import bind, cut, write
 
-#: (sentences, least words): three in a row, or two long ones.
-RUNS = ((3, 8), (2, 24))
-SENTENCE = r"(?s).+?(?:[.!?][ \t\r\n]|\n|\z)"
+#: Sentences in a run.
+SIZE = 3
+#: Words in a sentence that is not cut.
+LONG = 16
+CUTS = ("0", "1", "2")
+SENTENCE = r"(?s).+?(?:[.!?][ \t\r\n]|[\x{3002}\x{FF01}\x{FF1F}\x{0964}]|\n|\z)"
+WORD = r"(?s)[\x{2E80}-\x{FFFF}]|[^ \x{2E80}-\x{FFFF}]+ ?| "
 BLANK = " \t\r\n"
 PLACE = 1 << 32
 
 
 def pieces(text: Column) -> Column:
     """The text cut into stretches that hold one sentence or blanks; together they are the text."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SENTENCE), F.lit(0))
+
+    def parted(sentence: Column) -> Column:
+        def at_words(words: Column) -> Column:
+            ends = F.transform(words, lambda w, i: F.when(F.substring(F.md5(F.trim(w, F.lit(BLANK)).cast("binary")), 1, 1).isin(*CUTS) | (i == F.size(words) - 1), i + 1))
+            between = lambda e: F.transform(e, lambda x, j: bind(F.coalesce(F.get(e, j - 1), F.lit(0)), lambda before: F.array_join(F.slice(words, before + 1, x - before), "")))
+            return F.when(F.size(words) <= LONG, F.array(sentence)).otherwise(bind(F.filter(ends, lambda e: e.isNotNull()), between))
+
+        # each word is a character at least
+        return F.when(F.length(sentence) <= LONG, F.array(sentence)).otherwise(bind(F.regexp_extract_all(sentence, F.lit(WORD), F.lit(0)), at_words))
+
+    return F.flatten(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SENTENCE), F.lit(0)), parted))
 
 
 def _sentences(parts: Column) -> Column:
@@ -38,45 +55,41 @@ def _sentences(parts: Column) -> Column:
     return F.filter(trimmed, lambda t: t["s"] != "")
 
 
-def _runs(sentences: Column, runs) -> Column:
-    """(h, g, i, n): two hashes of a run, the place of its first sentence among the sentences, and its length."""
-    measured = F.transform(sentences, lambda t: F.struct(t["s"].alias("s"), (F.length(t["s"]) - F.length(F.replace(t["s"], F.lit(" "))) + 1).alias("w")))
+def _runs(sentences: Column, size: int) -> Column:
+    """(h, g, i): two hashes of a run, and the place of its first sentence among the sentences."""
+    first = F.slice(sentences, F.lit(1), F.greatest(F.size(sentences) - (size - 1), F.lit(0)))
 
-    def of(m: Column, size: int, words: int) -> Column:
-        at = lambda i, k: F.get(m, i + k)
-        made = F.transform(
-            m,
-            lambda t, i: F.when(
-                (i + size <= F.size(m)) & (sum((at(i, k)["w"] for k in range(1, size)), t["w"]) >= words),
-                F.struct(F.xxhash64(*[at(i, k)["s"] for k in range(size)]).alias("h"), F.hash(F.lit(size), *[at(i, k)["s"] for k in range(size)]).alias("g"), i.alias("i"), F.lit(size).alias("n")),
-            ),
-        )
-        return F.filter(made, lambda r: r.isNotNull())
+    def run(t: Column, i: Column) -> Column:
+        said = [t["s"], *(F.get(sentences, i + k)["s"] for k in range(1, size))]
+        return F.struct(F.xxhash64(*said).alias("h"), F.hash(F.lit(size), *said).alias("g"), i.alias("i"))
 
-    return bind(measured, lambda m: F.concat(*[of(m, size, words) for size, words in runs]))
+    return F.transform(first, run)
 
 
-def _keyed(docs: DataFrame, runs) -> DataFrame:
-    found = bind(_sentences(pieces(F.col("text"))), lambda s: _runs(s, runs))
+def _keyed(docs: DataFrame, size: int) -> DataFrame:
+    found = bind(_sentences(pieces(F.col("text"))), lambda s: _runs(s, size))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("row"), F.explode(found).alias("r")).select("doc", "row", "r.*")
     # one number that orders as (doc, place) does: a decimal is aggregated in place where a struct would be sorted
     order = F.coalesce("doc", F.lit((1 << 63) - 1)).cast("decimal(20,0)") * F.lit(PLACE).cast("decimal(10,0)") + F.col("i").cast("decimal(10,0)")
     return rows.withColumn("at", order.cast("decimal(38,0)"))
 
 
-def repeated(docs: DataFrame, runs=RUNS) -> DataFrame:
+def repeated(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """(doc, row, gone): for each text with a non-first repeated run, its hash and the sentence numbers that such runs cover."""
-    rows = _keyed(docs, runs)
+    keyed = write(_keyed(docs, size), "spans-runs")
+    rows = keyed.frame
     first = rows.groupBy("h", "g").agg(F.min("at").alias("first"), F.count("*").alias("c")).where("c > 1")
     first = first.select(F.col("h").alias("f_h"), F.col("g").alias("f_g"), "first")
     later = rows.join(first, (F.col("h") == F.col("f_h")) & (F.col("g") == F.col("f_g"))).where(F.col("at") > F.col("first"))
-    covered = later.select("doc", "row", F.explode(F.sequence(F.col("i"), F.col("i") + F.col("n") - 1)).alias("s"))
-    return covered.groupBy("doc", "row").agg(F.collect_set("s").alias("gone"))
+    covered = later.select("doc", "row", F.explode(F.sequence(F.col("i"), F.col("i") + (size - 1))).alias("s"))
+    gone = cut(covered.groupBy("doc", "row").agg(F.collect_set("s").alias("gone")), "spans-gone")
+    keyed.drop()
+    return gone
 
 
-def dedupe(docs: DataFrame, runs=RUNS) -> DataFrame:
+def dedupe(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """``docs`` with ``kept_text``, ``n_sentences`` and ``n_removed``; one shuffle of the texts, by document."""
-    gone = repeated(docs, runs)
+    gone = repeated(docs, size)
     carried = [c for c in docs.columns if c.lower() not in {"kept_text", "n_sentences", "n_removed"}]
     joined = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["doc"]) & (F.xxhash64(docs["text"]) == gone["row"]), "left")
     own, text = gone["gone"], docs["text"]

@@ -3,21 +3,24 @@
 A position is ranked by the string that starts at it; a longer string's rank comes from sorting pairs (rank of its prefix, name of what
 follows at an offset), and positions leave as soon as their rank is unique or their string has reached the threshold. The offsets grow
 from step to step. All positions of a corpus at every step would be many times the corpus, so one sampled position first speaks for
-the windows (strings of ``threshold`` bytes) around it:
-
-1. Under the threshold. Each window has one anchor, its string of ``gram`` bytes with the least hash (of equal ones the leftmost), so
-   equal windows have equal anchors; windows next to each other with one anchor form a run. Names of 1, 2, 4 ... bytes are doubled in
-   the map task. A counted bitmap, which follows the data in size, spares Spark most runs whose anchor is unique; above ``MOST`` runs,
-   where a bitmap of bounded size would be full, all runs go on. Spark then ranks the anchors, and unique ones leave.
-2. Past the threshold. A run's name stands for its whole string. Spark ranks (anchor, name); a run that an earlier document holds is
-   removed as a whole. A run whose anchor has no other name needs nothing more.
-3. At the edges of repeats, one copy of each run whose anchor has several names, in documents that differ, is opened into its windows.
+the windows (strings of ``threshold`` bytes) around it. Each window has one anchor, its string of ``gram`` bytes with the least hash (of
+equal ones the leftmost), so equal windows have equal anchors; windows next to each other with one anchor form a run.
+
+1. Far past the threshold. A run whose anchor's hash divides by ``CHUNK`` begins a chunk of runs, some ``6 * CHUNK`` bytes. Spark ranks
+   chunks by the names of their whole strings; one that an earlier document holds is removed, and only what no chunk covers goes on.
+   An earlier document's windows are never lost by that: the earliest of equal windows is covered by none.
+2. Under the threshold. Names of 1, 2, 4 ... bytes up to the anchor's are doubled in the map task. A counted bitmap, which follows the
+   data in size, spares Spark most runs whose anchor is unique; above ``MOST`` runs, where a bitmap of bounded size would be full, all
+   runs go on. Spark then ranks the anchors, and unique ones leave.
+3. Past the threshold. Spark ranks runs by (anchor, name of the whole string); one that an earlier document holds is removed. A run
+   whose anchor has no other name needs nothing more.
+4. At the edges of repeats, one copy of each run whose anchor has several names, in documents that differ, is opened into its windows.
    Spark doubles these from ``threshold / 2**rounds`` bytes to the threshold: each round sorts the pairs (rank, name at the offset),
    numbers those that several documents hold in their order, and joins the numbers back as new ranks; the rest is unique and leaves.
 
 Ranking groups with partial aggregation before the shuffle and joins back, both sides sorted, where Spark splits hot keys; so a string
 in a third of all documents is no task's own. A run is compared by 128 bits, its anchor and its name, of which 64 tell apart the runs
-of one anchor; a window by 64 bits for each piece.
+of one anchor; a chunk by 128 bits; a window by 64 bits for each piece.
 
 Defined results: a null text is empty; texts shorter than the threshold stay; equal ids never remove each other's bytes; a null id
 counts as larger than all others; bytes go from the row they were found in, known by its id and a hash of its text, so repeated rows
@@ -37,6 +40,8 @@ from inkwell.llm.store import write
 
 THRESHOLD = 50
 GRAM = 38
+#: Runs in a chunk.
+CHUNK = 16
 #: At most a bitmap of anchors of 32 MB; it is used for up to ``MOST`` runs.
 SLOTS_LOG2 = 28
 MOST = 1 << 32
@@ -45,7 +50,7 @@ PLACES = 18
 STEP = 1 << PLACES
 LAST = (1 << 63) - 1
 #: A removed range is one long: its first byte and, in the lowest bits, its length.
-LENGTH_BITS = 16
+LENGTH_BITS = 20
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -127,6 +132,17 @@ class Block:
                 whole = names.of(threshold)
                 self.name = _mix(whole[self.first] * ODD + _mix(whole[self.first + self.count - 1] + self.count.astype(np.uint64)))
 
+    def chunks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(run that begins it, number of windows, two names) of each chunk."""
+        head = self.anchor % np.uint64(CHUNK) == 0
+        head[np.flatnonzero(np.diff(self.text, prepend=-1))] = True
+        head = np.flatnonzero(head)
+        with np.errstate(over="ignore"):
+            place = (np.arange(len(self.text)) - np.repeat(head, np.diff(np.append(head, len(self.text))))).astype(np.uint64)
+            one = np.add.reduceat(_mix(self.name + place * ODD), head)
+            two = np.add.reduceat(_mix(self.name * ODD ^ _mix(self.anchor + place)), head)
+        return head, np.add.reduceat(self.count, head), one, two
+
 
 def blocks(texts: list[bytes | None], threshold: int, gram: int, named: bool = True):
     """(numbers of texts, offset in each, Block) over blocks of whole texts, a long one in parts that overlap by a window less a byte."""
@@ -159,21 +175,60 @@ def _shuffled(rows: DataFrame) -> DataFrame:
     return rows.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), "text", F.xxhash64("text").alias("row"))
 
 
-def runs_of(rows: DataFrame, repeated: np.ndarray | None, slots_log2: int, threshold: int, gram: int) -> DataFrame:
-    """(anchor, name, doc, row, at, n): runs of ``n`` windows from byte ``at``; with a bitmap, those whose anchor several documents may hold."""
-    bits = rows.sparkSession.sparkContext.broadcast(repeated)
+def chunks_of(rows: DataFrame, threshold: int, gram: int) -> DataFrame:
+    """(one, two, doc, row, at, n): every chunk, with its names and its ``n`` windows from byte ``at``."""
 
     def run(batches):
         for batch in batches:
             ids, hashes = batch.column(0), batch.column(2)
             for a, b, texts in counts.texts_of(batch, limit=STEP):
                 own, row = ids.slice(a, b - a).to_numpy(), hashes.slice(a, b - a).to_numpy()
+                for numbers, offsets, block in blocks(texts, threshold, gram):
+                    if not len(block.text):
+                        continue
+                    head, n, one, two = block.chunks()
+                    text = block.text[head]
+                    columns = [one.view(np.int64), two.view(np.int64), own[numbers[text]], row[numbers[text]], block.first[head] - block.begin[text] + offsets[text], n.astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["one", "two", "doc", "row", "at", "n"])
+
+    return rows.mapInArrow(run, "one long, two long, doc long, row long, at long, n int")
+
+
+def uncovered(rows: DataFrame, gone: DataFrame, threshold: int) -> DataFrame:
+    """(doc, text, row, at): the stretches of each text whose windows ``gone`` (doc, row, at, n) leaves, with their first byte."""
+    spans = gone.groupBy(F.col("doc").alias("g_doc"), F.col("row").alias("g_row")).agg(F.collect_list(_range(F.col("n"))).alias("gone"))
+    joined = rows.join(spans, (F.col("doc") == F.col("g_doc")) & (F.col("row") == F.col("g_row")), "left")
+
+    def run(batches):
+        for batch in batches:
+            for a, b, texts in counts.texts_of(batch):
+                out = []
+                for k, text in enumerate(texts, a):
+                    doc, row, spans = batch.column(0)[k].as_py(), batch.column(2)[k].as_py(), batch.column(3)[k]
+                    first, end = merged(spans.values.to_numpy()) if spans.is_valid else (np.zeros(0, np.int64),) * 2
+                    n = len(text or b"") - threshold + 1
+                    out += [(doc, text[x : y + threshold - 1], row, x) for x, y in zip([0, *end.tolist()], [*first.tolist(), n], strict=True) if x < y]
+                kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], t) for c, t in enumerate(kinds)], names=["doc", "text", "row", "at"])
+
+    return joined.select("doc", F.col("text").cast("binary").alias("text"), "row", "gone").mapInArrow(run, "doc long, text binary, row long, at long")
+
+
+def runs_of(rows: DataFrame, repeated: np.ndarray | None, slots_log2: int, threshold: int, gram: int) -> DataFrame:
+    """(anchor, name, doc, row, at, n): runs of ``n`` windows from byte ``at``; with a bitmap, those whose anchor several stretches may hold."""
+    bits = rows.sparkSession.sparkContext.broadcast(repeated)
+
+    def run(batches):
+        for batch in batches:
+            ids, hashes, firsts = batch.column(0), batch.column(2), batch.column(3)
+            for a, b, texts in counts.texts_of(batch, limit=STEP):
+                own, row, begin = (c.slice(a, b - a).to_numpy() for c in (ids, hashes, firsts))
                 for numbers, offsets, block in blocks(texts, threshold, gram):
                     keep = slice(None) if bits.value is None else counts.held(bits.value, block.anchor, slots_log2).astype(bool)
                     text = block.text[keep]
                     if not len(text):
                         continue
-                    at = block.first[keep] - block.begin[text] + offsets[text]
+                    at = block.first[keep] - block.begin[text] + offsets[text] + begin[numbers[text]]
                     columns = [block.anchor[keep].view(np.int64), block.name[keep].view(np.int64), own[numbers[text]], row[numbers[text]], at, block.count[keep].astype(np.int32)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "name", "doc", "row", "at", "n"])
 
@@ -247,36 +302,50 @@ def doubled(windows: DataFrame, rounds: int) -> DataFrame:
 
 
 def _range(n: Column) -> Column:
-    return (F.shiftleft("at", LENGTH_BITS) + n).alias("gone")
+    return F.shiftleft("at", LENGTH_BITS) + n
+
+
+def _ranked(table: DataFrame, key: list[str]) -> DataFrame:
+    """The least document of each rank that occurs more than once, under names that do not clash."""
+    return table.groupBy(*key).agg(F.min("doc").alias("least"), F.count("*").alias("c")).select(*(F.col(k).alias(f"r_{k}") for k in key), "least", "c")
 
 
 def repeats(docs: DataFrame, threshold: int = THRESHOLD, gram: int | None = None, slots_log2: int = SLOTS_LOG2, most: int = MOST, rounds: int = 2) -> DataFrame:
     """(doc, row, gone): byte ranges, possibly overlapping, that stand in documents with smaller ids; see ``LENGTH_BITS``."""
     rows = _shuffled(docs)
-    total, repeated, long = counts.n_bytes(docs), None, gram or min(GRAM, threshold)
+    long = gram or min(GRAM, threshold)
+    chunks = write(chunks_of(rows, threshold, long), "suffix-chunks")
+    held = _ranked(chunks.frame, ["one", "two"]).where("c > 1")
+    covered = chunks.frame.join(held.hint("merge"), (F.col("one") == F.col("r_one")) & (F.col("two") == F.col("r_two"))).where("doc > least")
+    covered = write(covered.select("doc", "row", "at", "n"), "suffix-covered").frame
+    chunks.drop()
+    rest = write(uncovered(rows, covered, threshold), "suffix-rest")
+
+    total, repeated = counts.n_bytes(rest.frame), None
     n_runs = 2 * total // (threshold - long + 2)
     if n_runs <= most:
         gram = long
         # some four slots a run: a unique anchor seldom meets a repeated one
         slots_log2 = counts.log2_at_least(4 * n_runs, 16, slots_log2)
-        (repeated,) = counts.classes(rows, lambda texts: _anchors(texts, threshold, gram), (2,), slots_log2, total)
+        (repeated,) = counts.classes(rest.frame, lambda texts: _anchors(texts, threshold, gram), (2,), slots_log2, total)
     # without the bitmap, shorter anchors give fewer runs
     gram = gram or threshold // 2 + 1
-    runs = write(runs_of(rows, repeated, slots_log2, threshold, gram), "suffix-runs")
-    names = write(runs.frame.groupBy("anchor", "name").agg(F.min("doc").alias("least"), F.count("*").alias("c")), "suffix-names")
-    anchors = names.frame.groupBy("anchor").agg(F.min("least").alias("a"), F.max("least").alias("b")).where("b > a").select(F.col("anchor").alias("a_anchor"))
-    ranked = names.frame.join(anchors, F.col("anchor") == F.col("a_anchor"), "left")
-    ranked = ranked.select(F.col("anchor").alias("r_anchor"), F.col("name").alias("r_name"), "least", "c", F.col("a_anchor").isNotNull().alias("edge")).where("edge or c > 1")
+    runs = write(runs_of(rest.frame, repeated, slots_log2, threshold, gram), "suffix-runs")
+    rest.drop()
+    names = write(_ranked(runs.frame, ["anchor", "name"]), "suffix-names")
+    anchors = names.frame.groupBy("r_anchor").agg(F.min("least").alias("a"), F.max("least").alias("b")).where("b > a").select(F.col("r_anchor").alias("a_anchor"))
+    ranked = names.frame.join(anchors, F.col("r_anchor") == F.col("a_anchor"), "left")
+    ranked = ranked.select("r_anchor", "r_name", "least", "c", F.col("a_anchor").isNotNull().alias("edge")).where("edge or c > 1")
     found = runs.frame.join(ranked.hint("merge"), (F.col("anchor") == F.col("r_anchor")) & (F.col("name") == F.col("r_name")))
     # a run goes if an earlier document holds it; else it is opened if its anchor has other names
-    found = write(found.where("doc > least or edge").select("doc", "row", "at", "n", (F.col("doc") > F.col("least")).alias("whole")), "suffix-found")
+    found = write(found.where("doc > least or edge").select("doc", "row", "at", "n", (F.col("doc") > F.col("least")).alias("whole")), "suffix-found").frame
     runs.drop()
     names.drop()
-    windows = write(windows_of(rows, found.frame.where("not whole").select("doc", "row", "at", "n"), threshold, rounds), "suffix-windows")
+    windows = write(windows_of(rows, found.where("not whole").select("doc", "row", "at", "n"), threshold, rounds), "suffix-windows")
     part = doubled(windows.frame, rounds)
     windows.drop()
-    whole = found.frame.where("whole").select("doc", "row", _range(F.col("n") + threshold - 1))
-    return whole.unionByName(part.select("doc", "row", _range(F.lit(threshold))))
+    whole = covered.unionByName(found.where("whole").select("doc", "row", "at", "n")).select("doc", "row", _range(F.col("n") + threshold - 1).alias("gone"))
+    return whole.unionByName(part.select("doc", "row", _range(F.lit(threshold)).alias("gone")))
 
 
 def merged(gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

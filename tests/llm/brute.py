@@ -79,6 +79,22 @@ def repeats(docs: list[tuple[int, str | None]], n: int = 50) -> dict[int, tuple[
     return out
 
 
+def sentences(text: str, long: int = 16) -> list[str]:
+    """A mark and the blank behind it, a mark of scripts without blanks, or a line break ends a sentence; long ones are cut behind words."""
+    out: list[str] = []
+    for sentence in re.findall("(?s).+?(?:[.!?][ \t\r\n]|[\u3002\uff01\uff1f\u0964]|\n|\\Z)", text):
+        words = re.findall("(?s)[\u2e80-\uffff]|[^ \u2e80-\uffff]+ ?| ", sentence)
+        at = 0
+        for k, word in enumerate(words, 1):
+            if len(words) <= long:
+                continue
+            if hashlib.md5(word.strip(" \t\r\n").encode()).hexdigest()[0] in "012" and k < len(words):
+                out.append("".join(words[at:k]))
+                at = k
+        out.append("".join(words[at:]))
+    return out
+
+
 def spans(docs: list[tuple[int, str | None]], split, run: int) -> dict[int, list[int]]:
     """The sentence numbers that a non-first repeated run covers."""
     first: dict[tuple, tuple[int, int]] = {}

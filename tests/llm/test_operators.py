@@ -288,7 +288,7 @@ class TestSuffix:
         for options in ({"most": 0}, {"slots_log2": 16, "rounds": 1}, {"gram": 26, "rounds": 3}):
             got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in suffix.dedupe(docs, **options).collect()}
             assert got == want, options
-        rows = suffix._shuffled(docs.where("length(text) > 9000 and text like '% %'"))
+        rows = suffix._shuffled(docs.where("length(text) > 9000 and text like '% %'")).withColumn("at", F.lit(0).cast("long"))
         assert suffix.runs_of(rows, None, 0, 50, 26).count() < rows.agg(F.sum(F.octet_length("text"))).first()[0] / 10
 
     def test_windows_are_doubled_by_sorted_pairs(self, spark):
@@ -332,18 +332,42 @@ class TestSuffix:
 
 
 class TestSpans:
-    def test_against_brute_force(self, spark, docs, texts):
-        import re
-
-        split = lambda t: [x.strip(" \t\r\n") for x in re.findall(spans.SENTENCE.replace(r"\z", r"\Z"), t) if x.strip(" \t\r\n")]
-        want = brute.spans(list(enumerate(texts)), split, 3)
-        got = by_id(spans.dedupe(docs, runs=((3, 1),)))
+    def test_against_brute_force(self, docs, texts):
+        split = lambda t: [x.strip(" \t\r\n") for x in brute.sentences(t) if x.strip(" \t\r\n")]
+        want = brute.spans(list(enumerate(texts)), split, spans.SIZE)
+        got = by_id(spans.dedupe(docs))
         assert {d: r.n_removed for d, r in got.items()} == {d: len(g) for d, g in want.items()}
         for d, r in got.items():
             assert r.n_sentences == len(split(texts[d] or ""))
-            assert split(r.kept_text or "") == [s for i, s in enumerate(split(texts[d] or "")) if i not in want[d]] or not want[d]
-            if not want[d]:
-                assert r.kept_text == texts[d]
+            parts = brute.sentences(texts[d] or "")
+            solid = [k for k, x in enumerate(parts) if x.strip(" \t\r\n")]
+            gone = {solid[i] for i in want[d]}
+            assert r.kept_text == (None if texts[d] is None else "".join(x for k, x in enumerate(parts) if k not in gone))
+
+    def test_a_passage_inside_long_sentences(self, spark):
+        """Fifty words and more without a mark, from one text's middle to another's: most of them go, and nothing around them."""
+        r, caught = random.Random(8), 0
+        words = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(7)) for _ in range(n))
+        rows, shared = [], []
+        for k in range(40):
+            shared.append(words(55))
+            rows += [(2 * k, f"{words(30)} {shared[k]} {words(30)}."), (2 * k + 1, f"{words(17)} {shared[k]} {words(41)}.")]
+        got = by_id(spans.dedupe(spark.createDataFrame(rows, "doc_id long, text string")))
+        for k in range(40):
+            left, right = rows[2 * k + 1][1].split(shared[k])
+            kept = got[2 * k + 1].kept_text
+            assert got[2 * k].n_removed == 0 and kept.startswith(left) and kept.endswith(right)
+            caught += got[2 * k + 1].n_removed > 0
+        assert caught >= 38
+
+    def test_scripts_without_blanks_and_repeated_rows(self, spark):
+        r = random.Random(9)
+        said = "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(300))
+        marked = "\u3002".join(said[i : i + 9] for i in range(0, 90, 9)) + "\u3002"
+        rows = [(1, said), (2, "\u4e00" * 5 + said + "\u4e01"), (3, marked), (4, marked[10:]), (5, "one two. three. four."), (5, "one two. three. four."), (6, "one two. three. four."), (7, "")]
+        got = sorted((r.doc_id, r.n_removed > 0, r.kept_text) for r in spans.dedupe(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+        assert [g[1] for g in got] == [False, True, False, True, False, False, True, False]
+        assert len(got[1][2]) < 60 and got[3][2] == "" and got[6][2] == "" and got[7][2] == ""
 
     def test_carried_columns_and_empty_table(self, spark):
         rows = spark.createDataFrame([(1, "a b. c d. e f.", "x", 7)], "doc_id long, text string, kept_text string, i int").withColumns({"gone": F.lit(1), "doc": F.lit(2), "d": F.lit(3)})
