@@ -64,7 +64,7 @@ def classes(docs: DataFrame, tokens: Callable[[list[bytes | None]], list[np.ndar
             for _, _, texts in texts_of(batch):
                 found = np.concatenate([np.zeros(0, np.uint64), *tokens(texts)])
                 found = np.sort(found >> np.uint64(32 - buckets_log2))  # bucket and 32 more bits
-                found = found[np.arange(len(found)) - np.searchsorted(found, found) < most]
+                found = found[np.concatenate([np.ones(min(most, len(found)), bool), found[most:] != found[:-most]])]
                 bucket = (found >> np.uint64(32)).astype(np.int64)
                 cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
                 low = (found & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()

@@ -46,7 +46,8 @@ CHUNK = 16
 SLOTS_LOG2 = 28
 MOST = 1 << 32
 ODD = np.uint64(0x9E3779B97F4A7C15)
-PLACES = 18
+#: Bytes hashed at a time: arrays of that length stay in a core's cache.
+PLACES = 16
 STEP = 1 << PLACES
 LAST = (1 << 63) - 1
 #: A removed range is one long: its first byte and, in the lowest bits, its length.
@@ -163,12 +164,8 @@ def blocks(texts: list[bytes | None], threshold: int, gram: int, named: bool = T
 
 
 def _anchors(texts, threshold: int, gram: int) -> list[np.ndarray]:
-    found: list[list[np.ndarray]] = [[] for _ in texts]
-    for numbers, _, b in blocks(texts, threshold, gram, named=False):
-        cuts = np.searchsorted(b.text, np.arange(len(numbers) + 1))
-        for k, no in enumerate(numbers.tolist()):
-            found[no].append(b.anchor[cuts[k] : cuts[k + 1]])
-    return [np.unique(np.concatenate(f)) if f else np.zeros(0, np.uint64) for f in found]
+    """The anchors of all runs; one that a text has twice counts as repeated, which spares it no later step but this one."""
+    return [b.anchor for _, _, b in blocks(texts, threshold, gram, named=False)]
 
 
 def _shuffled(rows: DataFrame) -> DataFrame:
@@ -181,7 +178,7 @@ def chunks_of(rows: DataFrame, threshold: int, gram: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids, hashes = batch.column(0), batch.column(2)
-            for a, b, texts in counts.texts_of(batch, limit=STEP):
+            for a, b, texts in counts.texts_of(batch):
                 own, row = ids.slice(a, b - a).to_numpy(), hashes.slice(a, b - a).to_numpy()
                 for numbers, offsets, block in blocks(texts, threshold, gram):
                     if not len(block.text):
@@ -221,7 +218,7 @@ def runs_of(rows: DataFrame, repeated: np.ndarray | None, slots_log2: int, thres
     def run(batches):
         for batch in batches:
             ids, hashes, firsts = batch.column(0), batch.column(2), batch.column(3)
-            for a, b, texts in counts.texts_of(batch, limit=STEP):
+            for a, b, texts in counts.texts_of(batch):
                 own, row, begin = (c.slice(a, b - a).to_numpy() for c in (ids, hashes, firsts))
                 for numbers, offsets, block in blocks(texts, threshold, gram):
                     keep = slice(None) if bits.value is None else counts.held(bits.value, block.anchor, slots_log2).astype(bool)
