@@ -3,12 +3,14 @@
 A turn's content is an array of parts ``struct<kind, text, ref, width, height, seconds, pages>``. The visitor flattens them in
 order: a text part is its escaped text, any other part a placeholder ``<|image|>``, ``<|audio|>`` or ``<|document|>``; its reference
 is recorded with the turn, the part's place and the number of tokens that the placeholder stands for. A formatted turn is
-``<|im_start|>ROLE<|im_sep|>BODY<|im_end|>`` and a newline. Inside roles and texts a backslash becomes two and ``<|`` becomes ``<\\|``,
-so no text can contain a control string, and dropping the first of each pair of backslash and character restores it.
+``<|im_start|>ROLE<|im_sep|>BODY<|im_end|>`` and a newline. Inside roles and texts a backslash becomes two and ``<|`` becomes ``<\\|``;
+a bar that begins a further part becomes ``\\|``, as the part before it may end in ``<``. So neither a text nor neighbouring parts
+together can contain a control string, and dropping the first of each pair of backslash and character restores what was said.
 
 Defined results: null texts, roles and parts are empty; an unknown kind of part is treated as a document; turns are ordered by turn
-(null first), then role, then body, so that ties and repeated rows have one order; a null conversation id is a conversation; an
-empty table gives an empty result.
+(null first), then role, then body, so that ties and repeated rows have one order; a null conversation id is a conversation; a text
+or conversation is formatted as a whole however long it is; an empty table gives an empty result; only the four named columns are
+read, so further ones, whatever their names, are not carried.
 """
 
 from __future__ import annotations
@@ -47,7 +49,9 @@ def _kind(part: Column) -> Column:
 def body(parts: Column) -> Column:
     """The visitor's text: escaped texts and placeholders in the parts' order."""
     parts = F.coalesce(parts, F.array().cast(f"array<{PART}>"))
-    return F.array_join(F.transform(parts, lambda p: F.when(_kind(p) == "text", escape(p["text"])).otherwise(F.concat(F.lit("<|"), _kind(p), F.lit("|>")))), "")
+    bar = lambda p, i: F.when((i > 0) & F.startswith(F.coalesce(p["text"], F.lit("")), F.lit("|")), "\\").otherwise("")
+    visit = lambda p, i: F.when(_kind(p) == "text", F.concat(bar(p, i), escape(p["text"]))).otherwise(F.concat(F.lit("<|"), _kind(p), F.lit("|>")))
+    return F.array_join(F.transform(parts, visit), "")
 
 
 def attachments(parts: Column) -> Column:
@@ -81,16 +85,16 @@ def format_chats(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",))
 
 
 def read_chats(chats: DataFrame) -> DataFrame:
-    """(conv_id, turns, loss, formatted): roles and texts parsed from the formatted string, and the unescaped text under the mask.
+    """(conv_id, turns, loss, formatted, attachments): roles and texts parsed from the formatted string, and the unescaped text under the mask.
 
     The string is split at turn marks once; a masked span is then cut out of its own turn, so long conversations take linear time.
     """
     cut = F.split(F.col("formatted"), r"<\|im_start\|>").alias("c")
-    parsed = chats.select("conv_id", "formatted", "mask", F.slice(cut, F.lit(2), F.greatest(F.size(cut) - 1, F.lit(0))).alias("segments"))
+    parsed = chats.select("conv_id", "formatted", "mask", "attachments", F.slice(cut, F.lit(2), F.greatest(F.size(cut) - 1, F.lit(0))).alias("segments"))
 
     def turn(s: Column) -> Column:
         parts = F.split(F.substring(s, F.lit(1), F.length(s) - F.lit(len(END))), r"<\|im_sep\|>", 2)
         return F.struct(unescape(F.get(parts, F.lit(0))).alias("role"), unescape(F.get(parts, F.lit(1))).alias("text"))
 
     under = F.transform("mask", lambda m: unescape(F.substring(F.get(F.col("segments"), m["no"]), (m["begin"] - m["start"] - len(START) + 1).cast("int"), (m["end"] - m["begin"]).cast("int"))))
-    return parsed.select("conv_id", "formatted", F.transform("segments", turn).alias("turns"), F.array_join(under, "").alias("loss"))
+    return parsed.select("conv_id", "formatted", F.transform("segments", turn).alias("turns"), F.array_join(under, "").alias("loss"), "attachments")

@@ -4,12 +4,14 @@ An item of ``m`` characters may differ from a passage by up to ``k = m // per_ed
 at least one stands in the passage unchanged; more than that, of the pairs of neighbouring pieces at least one holds at most one edit,
 so next to an unchanged piece its pair's other piece stands with one edit at most. An Aho-Corasick automaton finds all pieces of all
 items in one pass over a text, the pair is compared, and what remains is verified by Myers' algorithm, which also gives the place.
-Every occurrence within the budget is found; none is estimated.
+Every occurrence within the budget is found; none is estimated. An item of fewer than ``min_chars`` characters has no budget: its one
+piece is the whole item, which is found where none of its letters or digits touches another letter or digit.
 
 Texts and items are compared with A-Z lower-cased and each blank as a space, which keeps offsets. Items are collected by the driver in
 blocks of at most ``BLOCK_BYTES``, each of which takes a pass over the texts: one block for the usual benchmark.
 
-Defined results: null or empty texts have no passages; null items and items under ``min_chars`` characters are not searched for;
+Defined results: null or empty texts have no passages; a text is searched as a whole however long it is; null and blank items are
+not searched for;
 repeated rows of either side give repeated results; a passage is cut out of the row it was found in, known by its id, null or not, and a
 hash of its text; overlapping occurrences of one item give the one with fewest edits, of those the
 first; empty tables give an empty result; further columns are not carried.
@@ -58,9 +60,10 @@ def distances(pattern: str, text: str, pinned: bool = False) -> list[int]:
 class Items:
     """The pieces of a block of items in one automaton."""
 
-    def __init__(self, items: list[tuple[int, str]], per_edit: int):
+    def __init__(self, items: list[tuple[int, str]], per_edit: int, min_chars: int):
         self.items = items
-        self.budget = [len(t) // per_edit for _, t in items]
+        self.short = [len(t) < max(min_chars, per_edit) for _, t in items]
+        self.budget = [0 if short else len(t) // per_edit for (_, t), short in zip(items, self.short, strict=True)]
         places: dict[str, list[tuple[int, int, int, int]]] = {}
         for no, (_, text) in enumerate(items):
             n, m = self.budget[no] + 1, len(text)
@@ -96,13 +99,24 @@ class Items:
         if not self.any:
             return []
         windows: dict[int, list[int]] = {}
+        exact: dict[int, list[tuple[int, int]]] = {}
         for last, (size, where) in self.automaton.iter(text):
             first = last - size + 1
             for no, offset, a, b in where:
+                if self.short[no]:
+                    if not (text[first - 1 : first].isalnum() and text[first].isalnum()) and not (text[last : last + 2].isalnum() and last + 1 < len(text)):
+                        exact.setdefault(no, []).append((first, last + 1))
+                    continue
                 begin = first - offset
                 if self.near(text, no, begin, a, b):
                     windows.setdefault(no, []).append(begin)
         found = []
+        for no, places in exact.items():
+            end = 0
+            for a, b in places:
+                if a >= end:
+                    found.append((self.items[no][0], a, b, 0))
+                    end = b
         for no, begins in windows.items():
             item, k = self.items[no][1], self.budget[no]
             begins.sort()
@@ -137,7 +151,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 def _leaks(docs: DataFrame, benchmark: DataFrame, per_edit: int = 10, min_chars: int = 24) -> DataFrame:
     """``leaks`` with ``row``, the hash of the text."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.length("text") >= max(min_chars, per_edit))
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").rlike("\\S"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("row"))
@@ -147,7 +161,7 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, per_edit: int = 10, min_chars:
         held = docs.sparkSession.sparkContext.broadcast(sorted(block, key=lambda x: (x[0] is None, x)))
 
         def run(batches, held=held):
-            search = Items(held.value, per_edit)
+            search = Items(held.value, per_edit, min_chars)
             for batch in batches:
                 ids, hashes = batch.column(0), batch.column(2)
                 for a, b, texts in texts_of(batch):

@@ -36,6 +36,8 @@ from inkwell.llm.store import Table, cut, write
 WIDTH = 5
 PERCENT = 80
 SMALL = 64
+#: Tasks among which a hub's neighbours are dealt.
+SALT = 8
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -178,7 +180,10 @@ def components(edges: DataFrame) -> Table:
         down = now.frame.select(F.col("node").alias("u"), F.col("component").alias("v"))
         both = down.unionByName(down.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
-        large = both.join(least, F.col("u") == F.col("c")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # a hub's rows are dealt to several tasks, each with a copy of its least neighbour
+        salted = both.withColumn("salt", F.pmod(F.hash("v"), F.lit(SALT)))
+        least = least.withColumn("c_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        large = salted.join(least, (F.col("u") == F.col("c")) & (F.col("salt") == F.col("c_salt"))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
         small = large.join(down, F.col("u") == F.col("c"))
@@ -290,7 +295,10 @@ def links(members: DataFrame, sets: DataFrame, percent: int, few: int = 32, bloc
 
 def join(docs: DataFrame, percent: int = PERCENT, frequent: int = 32, classes: int = 16, slots_log2: int = counts.SLOTS_LOG2) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``; documents link at ``percent`` per cent and more."""
-    several, many = counts.classes(docs, shingle_sets, (2, frequent + 1), slots_log2)
+    # some four slots a token, up to the bound; beyond it more tokens look frequent, which costs signatures and no pair
+    total = counts.n_bytes(docs)
+    slots_log2 = counts.log2_at_least(total, 16, slots_log2)
+    several, many = counts.classes(docs, shingle_sets, (2, frequent + 1), slots_log2, total)
     rows = cut(signed(docs, several, many, slots_log2, percent, classes), "jaccard-docs")
     reps = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep")).select(F.col("node").alias("r_node"), "rep")
     flat = rows.where("sigs is not null").select("node", "n", F.explode("sigs").alias("sig")).distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkwell.llm import secrets, spans
+from inkwell.llm import quality, secrets, sharding, spans
 from inkwell.llm.queries import FORGED, URL_RULES
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,15 +20,16 @@ tab AS (SELECT list(c ORDER BY i) AS tab FROM poly WHERE k = 8),
 d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 scored AS (SELECT doc_id, s, {_unit("doc_id::VARCHAR", "s::VARCHAR")} AS u FROM d, range(25) r(s)),
 best AS (SELECT doc_id, arg_min(s, (-u, s)) FILTER (s < 24) AS shard, arg_min(s, (-u, s)) AS grown FROM scored GROUP BY doc_id),
-hexed AS (SELECT doc_id, t, hex(encode(t)) AS h, {_unit("doc_id::VARCHAR", "'block'")} % 256 AS block FROM d),
+hexed AS (SELECT doc_id, t, hex(encode(t)) AS h FROM d),
+blocks AS (SELECT least({sharding.MOST_BLOCKS}, greatest(1, ceil(count(*) / (24 * {sharding.BLOCK_ROWS}))))::BIGINT AS blocks FROM d),
 summed AS (
-  SELECT doc_id, block, length(h) // 2 + 8 AS size,
+  SELECT doc_id, length(h) // 2 + 8 AS size,
     xor(list_reduce(list_prepend(4294967295, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
       lambda a, b: xor(a >> 8, tab[xor(a & 255, b) + 1])), 4294967295) AS crc
   FROM hexed, tab)
 SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'key' AS law, shard::INTEGER AS shard,
-  (row_number() OVER (PARTITION BY shard ORDER BY block, doc_id) - 1)::BIGINT AS slot, grown::INTEGER AS grown_shard
-FROM summed JOIN best USING (doc_id)
+  (row_number() OVER (PARTITION BY shard ORDER BY {_unit("doc_id::VARCHAR", "'block'", "crc::VARCHAR")} % blocks, doc_id) - 1)::BIGINT AS slot, grown::INTEGER AS grown_shard
+FROM summed JOIN best USING (doc_id), blocks
 """
 
 _ESC = lambda c: rf"replace(replace({c}, '\', '\\'), '<|', '<\|')"
@@ -40,7 +41,8 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  sum(length('<|im_start|>' || {_ESC("role")} || '<|im_sep|>' || {_ESC("text")} || '<|im_end|>' || chr(10)))::BIGINT AS formatted_chars
+  sum(length('<|im_start|>' || {_ESC("role")} || '<|im_sep|>' || {_ESC("text")} || '<|im_end|>' || chr(10)))::BIGINT AS formatted_chars,
+  0::BIGINT AS n_attachments, 0::BIGINT AS attachment_tokens
 FROM t GROUP BY conv_id
 """
 
@@ -64,6 +66,21 @@ FROM d LEFT JOIN l USING (key) LEFT JOIN m USING (page_id)
 """
 
 _BUCKET = lambda v: f"(({v}) >> greatest(length(bin({v})) - 5, 0)::BIGINT) << greatest(length(bin({v})) - 5, 0)::BIGINT"
+
+
+def _cutoff(i: int, r: quality.Rule) -> str:
+    at = lambda p: f"min(b) FILTER (metric = {i} AND upto * 100 >= t * {p})"
+    beyond = lambda p, name: f"greatest({at(p)} * {r.times + 1} - {at(50)} * {r.times}, 0) AS {name}{i}"
+    return beyond(r.high, "h") + (f", {beyond(r.low, 'l')}" if r.low is not None else "")
+
+
+_CUTOFFS = [f"{name}{i}" for i, r in enumerate(quality.RULES, 1) for name in ("h", "l") if name == "h" or r.low is not None]
+
+
+def _averaged(c: str) -> str:
+    return f"(f.n * f.{c} + {quality.PRIOR} * ((c.n * c.{c} + {quality.PRIOR} * w.{c}) // (c.n + {quality.PRIOR}))) // (f.n + {quality.PRIOR}) AS {c}"
+
+
 OP5 = rf"""
 WITH a AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
 b AS (SELECT *, regexp_extract_all(t, '{WORD}') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS ln FROM a),
@@ -79,16 +96,17 @@ d AS (
     coalesce(word_chars * 1000 // nullif(n_words, 0), 0) AS v1, coalesce(n_symbols * 1000 // nullif(word_chars, 0), 0) AS v2,
     coalesce(n_dup_lines * 1000 // nullif(n_lines, 0), 0) AS v3, coalesce(n_repeat_words * 1000 // nullif(n_words, 0), 0) AS v4 FROM c),
 e AS (SELECT *, {_BUCKET("v1")} AS b1, {_BUCKET("v2")} AS b2, {_BUCKET("v3")} AS b3, {_BUCKET("v4")} AS b4 FROM d),
+m AS (
+  SELECT g, lang, source, metric, b, count(*) AS n
+  FROM (SELECT g, CASE WHEN g < 3 THEN lang END AS lang, CASE WHEN g < 2 THEN source END AS source, unnest([1, 2, 3, 4]) AS metric, unnest([b1, b2, b3, b4]) AS b FROM e, range(1, 4) r(g) WHERE NOT base_failed) GROUP BY ALL),
+u AS (SELECT *, sum(n) OVER (PARTITION BY g, lang, source, metric ORDER BY b) AS upto, sum(n) OVER (PARTITION BY g, lang, source, metric) AS t FROM m),
+o AS (SELECT g, lang, source, max(t)::BIGINT AS n, {", ".join(_cutoff(i, r) for i, r in enumerate(quality.RULES, 1))} FROM u GROUP BY g, lang, source),
 q AS (
-  SELECT g, lang, source, count(*) AS n, quantile_disc(b1, 0.9) AS h1, quantile_disc(b1, 0.1) AS l1, quantile_disc(b2, 0.75) AS h2, quantile_disc(b3, 0.75) AS h3, quantile_disc(b4, 0.75) AS h4
-  FROM (SELECT 1 AS g, lang, source, b1, b2, b3, b4 FROM e WHERE NOT base_failed UNION ALL SELECT 2, lang, NULL, b1, b2, b3, b4 FROM e WHERE NOT base_failed UNION ALL SELECT 3, NULL, NULL, b1, b2, b3, b4 FROM e WHERE NOT base_failed)
-  GROUP BY g, lang, source),
-p AS (
-  SELECT e.*, row_number() OVER (PARTITION BY doc_id ORDER BY q.n >= 200 OR g = 3 DESC, g) AS k, h1, l1, h2, h3, h4
-  FROM e LEFT JOIN q ON (g = 1 AND e.lang IS NOT DISTINCT FROM q.lang AND e.source IS NOT DISTINCT FROM q.source) OR (g = 2 AND e.lang IS NOT DISTINCT FROM q.lang) OR g = 3)
+  SELECT f.lang, f.source, {", ".join(_averaged(c) for c in _CUTOFFS)}
+  FROM (SELECT * FROM o WHERE g = 1) f JOIN (SELECT * FROM o WHERE g = 2) c ON f.lang IS NOT DISTINCT FROM c.lang, (SELECT * FROM o WHERE g = 3) w)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT coalesce(b1 > 2 * h1 OR 2 * b1 < l1 OR b2 > greatest(60, 4 * h2) OR b3 > greatest(500, 4 * h3) OR b4 > greatest(300, 4 * h4), false) AS kept
-FROM p WHERE k = 1
+  NOT base_failed AND NOT coalesce({" OR ".join(f"b{i} > h{i}" + (f" OR b{i} < l{i}" if r.low is not None else "") for i, r in enumerate(quality.RULES, 1))}, false) AS kept
+FROM e LEFT JOIN q ON e.lang IS NOT DISTINCT FROM q.lang AND e.source IS NOT DISTINCT FROM q.source
 """
 
 

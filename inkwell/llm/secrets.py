@@ -7,8 +7,9 @@ clean ones included, and joins findings back to every path that holds the blob.
 Offsets are code points. Spark has no function that gives the places of all matches, so the text is split at the pattern and the
 lengths of the pieces and of the matches are added up.
 
-Defined results: a null text is empty and holds nothing; repeated rows each get a row; an empty table gives an empty result and an
-unchanged ledger; further input columns are not carried.
+Defined results: a null text is empty and holds nothing; a text is scanned as a whole however long it is; a null path is a path;
+repeated rows each get a row; of the paths of a blob the least stands for it, of its equal rows any; an empty table gives an empty
+result and an unchanged ledger; further input columns, whatever their names, are not carried.
 """
 
 from __future__ import annotations
@@ -94,7 +95,8 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, patterns=BASE + MORE,
     held = cut(held, "secrets-blobs")
     known = ledger.where(F.col("rule_version") == version)
     unseen = held.groupBy("blob").agg(F.min(F.struct(F.col("path").isNull().alias("none"), "path")).alias("r")).join(known.select("blob"), "blob", "left_anti")
-    unseen = unseen.select(F.col("blob").alias("u_blob"), F.col("r.path").alias("u_path"))
+    # written before any text is shuffled: where little is unseen, Spark broadcasts it, and the texts stay where they are
+    unseen = cut(unseen.select(F.col("blob").alias("u_blob"), F.col("r.path").alias("u_path")), "secrets-unseen")
     texts = docs.select(F.col(f"`{path}`").alias("path"), text.alias("text"))
     one = texts.join(unseen, F.col("path").eqNullSafe(F.col("u_path")) & (F.sha2(F.col("text").cast("binary"), 256) == F.col("u_blob")))
     scanned = one.select(F.col("u_blob").alias("blob"), findings(F.col("text"), patterns).alias("found"))

@@ -1,12 +1,13 @@
 """URL verdicts: host and path rules first, then a list of canonical URLs behind a blocked Bloom filter.
 
 The filter is a table of blocks: eight 32-bit words, one bit set in each per listed URL (the split-block layout). It is built by a
-distributed ``bit_or`` and has ``blocks`` rows whatever the list's length, so its bytes are known from the parameter: up to
+distributed ``bit_or`` and has a block for every ``PER_BLOCK`` listed URLs, which are counted first, so its bytes are known: up to
 ``MAX_BROADCAST_BYTES`` it is broadcast, beyond that rows are joined to it by block number. URLs that pass may be listed; an exact
 hash join with the list removes the false positives.
 
-Defined results: a null URL or one without ``://`` has an empty host and path, fits no rule and is never listed; repeated rows each
-get a verdict; an empty list or table gives what it should, allowances or no rows; further input columns are not carried.
+Defined results: a null URL or one without ``://`` has an empty host and path, fits no rule and is never listed; a URL is read as a
+whole however long it is; repeated rows each get a verdict; of rules that fit with equal lengths the last by text, then verdict, holds; an
+empty list or table gives what it should, allowances or no rows; further input columns, whatever their names, are not carried.
 """
 
 from __future__ import annotations
@@ -16,7 +17,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.llm.store import cut
+
 MAX_BROADCAST_BYTES = 64 << 20
+#: Listed URLs to a block of 256 bits: about one in a hundred others passes.
+PER_BLOCK = 24
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Odd multipliers, one for each word of a block, as the public Parquet format fixes them.
 SALTS = (0x47B6137B, 0x44974D91, 0x8824AD5B, 0xA2B7289D, 0x705495C7, 0x2DF1424B, 0x9EFC4947, 0x5C6BFB31)
@@ -74,9 +79,11 @@ def bloom(listed: DataFrame, blocks: int) -> DataFrame:
     return listed.groupBy(_block(F.col("url"), blocks).alias("block")).agg(*words)
 
 
-def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str, str]], blocks: int = 1 << 18, page_id: str = "page_id") -> DataFrame:
+def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str, str]], blocks: int | None = None, page_id: str = "page_id") -> DataFrame:
     """(page_id, host, path, rule, verdict) for every row of ``pages``; ``listed`` has canonical URLs in the column ``url``."""
-    listed = listed.where((F.col("url") != "") & F.col("url").isNotNull()).select("url").distinct()
+    # the list is made once; its count, the filter and the exact join read it
+    listed = cut(listed.where((F.col("url") != "") & F.col("url").isNotNull()).select("url").distinct(), "urls-listed")
+    blocks = blocks or max(1, -(-listed.count() // PER_BLOCK))
     read = pages.select(F.col(f"`{page_id}`").alias("page"), F.col("url").alias("raw"))
     read = read.select("page", host_of(F.col("raw")).alias("host"), path_of(F.col("raw")).alias("path"), canonical(F.col("raw")).alias("key"))
     read = read.withColumns({"block": _block(F.col("key"), blocks), "fit": rule_of(F.col("host"), F.col("path"), rules)})
