@@ -2,8 +2,8 @@
 
 A sentence ends after a full stop, exclamation or question mark and the blank behind it, after such a mark of scripts without blanks,
 after a line break, or with the text; blank stretches are no sentences. A sentence of more than ``LONG`` words is cut behind each word
-whose digest begins with one of ``CUTS``, three words in sixteen: places that its words alone decide, so a passage inside a long sentence
-is cut alike wherever it stands. A word ends with a blank; a character of scripts without blanks is a word. Every run of ``SIZE``
+that ``ends`` picks by its first letter and length, about three in sixteen: places that its words alone decide, so a passage inside a
+long sentence is cut alike wherever it stands. A word ends with a blank; a character of scripts without blanks is a word. Every run of ``SIZE``
 sentences in a row is hashed over its trimmed sentences. The first of equal runs is the one with the least (doc_id, place); sentences
 that any other of them covers are removed, and the rest of the text stays as it is.
 
@@ -28,21 +28,25 @@ from inkwell.llm.store import bind, cut, write
 SIZE = 3
 #: Words in a sentence that is not cut.
 LONG = 16
-CUTS = ("0", "1", "2")
 SENTENCE = r"(?s).+?(?:[.!?][ \t\r\n]|[\x{3002}\x{FF01}\x{FF1F}\x{0964}]|\n|\z)"
 WORD = r"(?s)[\x{2E80}-\x{FFFF}]|[^ \x{2E80}-\x{FFFF}]+ ?| "
 BLANK = " \t\r\n"
 PLACE = 1 << 32
 
 
+def ends(word: Column) -> Column:
+    """Whether a long sentence is cut behind a word; the blank behind it is part of the word."""
+    return F.pmod(F.ascii(word) * 5 + F.length(word) * 11, F.lit(16)) < 3
+
+
 def pieces(text: Column) -> Column:
     """The text cut into stretches that hold one sentence or blanks; together they are the text."""
 
     def parted(sentence: Column) -> Column:
         def at_words(words: Column) -> Column:
-            ends = F.transform(words, lambda w, i: F.when(F.substring(F.md5(F.trim(w, F.lit(BLANK)).cast("binary")), 1, 1).isin(*CUTS) | (i == F.size(words) - 1), i + 1))
+            places = F.transform(words, lambda w, i: F.when(ends(w) | (i == F.size(words) - 1), i + 1))
             between = lambda e: F.transform(e, lambda x, j: bind(F.coalesce(F.get(e, j - 1), F.lit(0)), lambda before: F.array_join(F.slice(words, before + 1, x - before), "")))
-            return F.when(F.size(words) <= LONG, F.array(sentence)).otherwise(bind(F.filter(ends, lambda e: e.isNotNull()), between))
+            return F.when(F.size(words) <= LONG, F.array(sentence)).otherwise(bind(F.filter(places, lambda e: e.isNotNull()), between))
 
         # each word is a character at least
         return F.when(F.length(sentence) <= LONG, F.array(sentence)).otherwise(bind(F.regexp_extract_all(sentence, F.lit(WORD), F.lit(0)), at_words))
@@ -68,22 +72,25 @@ def _runs(sentences: Column, size: int) -> Column:
 
 def _keyed(docs: DataFrame, size: int) -> DataFrame:
     found = bind(_sentences(pieces(F.col("text"))), lambda s: _runs(s, size))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("row"), F.explode(found).alias("r")).select("doc", "row", "r.*")
-    # one number that orders as (doc, place) does: a decimal is aggregated in place where a struct would be sorted
+    return docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("row"), F.explode(found).alias("r")).select("doc", "row", "r.*")
+
+
+def _place() -> Column:
+    """One number that orders as (doc, i) does: a decimal is aggregated in place where a struct would be sorted."""
     order = F.coalesce("doc", F.lit((1 << 63) - 1)).cast("decimal(20,0)") * F.lit(PLACE).cast("decimal(10,0)") + F.col("i").cast("decimal(10,0)")
-    return rows.withColumn("at", order.cast("decimal(38,0)"))
+    return order.cast("decimal(38,0)")
 
 
 def repeated(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """(doc, row, gone): for each text with a non-first repeated run, its hash and the sentence numbers that such runs cover."""
-    keyed = write(_keyed(docs, size), "spans-runs")
-    rows = keyed.frame
-    first = rows.groupBy("h", "g").agg(F.min("at").alias("first"), F.count("*").alias("c")).where("c > 1")
-    first = first.select(F.col("h").alias("f_h"), F.col("g").alias("f_g"), "first")
-    later = rows.join(first, (F.col("h") == F.col("f_h")) & (F.col("g") == F.col("f_g"))).where(F.col("at") > F.col("first"))
+    runs = write(_keyed(docs, size), "spans-runs")
+    first = runs.frame.groupBy("h", "g").agg(F.min(_place()).alias("first"), F.count("*").alias("c")).where("c > 1")
+    first = write(first.select(F.col("h").alias("f_h"), F.col("g").alias("f_g"), "first"), "spans-first")
+    later = runs.frame.join(first.frame, (F.col("h") == F.col("f_h")) & (F.col("g") == F.col("f_g"))).where(_place() > F.col("first"))
     covered = later.select("doc", "row", F.explode(F.sequence(F.col("i"), F.col("i") + (size - 1))).alias("s"))
     gone = cut(covered.groupBy("doc", "row").agg(F.collect_set("s").alias("gone")), "spans-gone")
-    keyed.drop()
+    runs.drop()
+    first.drop()
     return gone
 
 

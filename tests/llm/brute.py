@@ -88,7 +88,7 @@ def sentences(text: str, long: int = 16) -> list[str]:
         for k, word in enumerate(words, 1):
             if len(words) <= long:
                 continue
-            if hashlib.md5(word.strip(" \t\r\n").encode()).hexdigest()[0] in "012" and k < len(words):
+            if (ord(word[0]) * 5 + len(word) * 11) % 16 < 3 and k < len(words):
                 out.append("".join(words[at:k]))
                 at = k
         out.append("".join(words[at:]))

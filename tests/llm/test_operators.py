@@ -445,7 +445,7 @@ class TestSpans:
     def test_a_passage_inside_long_sentences(self, spark):
         """Fifty words and more without a mark, from one text's middle to another's: most of them go, and nothing around them."""
         r, caught = random.Random(8), 0
-        words = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(7)) for _ in range(n))
+        words = lambda n: " ".join("".join(r.choice("abcdefghijklmnopqrst") for _ in range(r.randint(2, 9))) for _ in range(n))
         rows, shared = [], []
         for k in range(40):
             shared.append(words(55))
