@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from inkwell.llm import oracles, queries
+from inkwell.llm import oracles, queries, store
 from tests.llm import brute
 from tests.llm.test_operators import edited, prose
 
@@ -28,7 +28,7 @@ def test_stages_take_effect(spark, tables):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     columns, seen = docs.columns, []
     for no, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        docs = corpus_pipeline.cut(stage(spark, docs, folder), f"test-{no}")
+        docs = store.cut(stage(spark, docs, folder), f"test-{no}")
         if no < 4:
             assert docs.columns == columns
         seen.append({r.doc_id: r for r in docs.collect()})
@@ -44,6 +44,44 @@ def test_stages_take_effect(spark, tables):
     assert {r.doc_id: r.ids for r in corpus_pipeline.run(spark, folder).collect()} == {i: r.ids for i, r in ids.items()}
 
 
+CLASHING = ("found", "blob", "l_spans", "l_doc", "component_id", "kept", "n_words", "base_failed", "path", "gone", "row", "id", "before", "ids", "decoded", "h_path", "t_lang")
+
+
+def test_nulls_repeated_rows_long_texts_and_clashing_columns(spark, tmp_path):
+    """In every stage: the columns of the input, each row its own text, and nothing lost but what the stage is for."""
+    item, long = prose(900, 20), prose(1, 12_000)
+    rows = [(0, prose(2, 80), "en", "a"), (0, prose(3, 80) + " token=abcdefgh12", "en", "a"), (1, prose(2, 80), None, "a"), (None, prose(4, 80), "en", None), (None, f"{prose(5, 60)} {item}", "en", "a")]
+    rows += [(2, prose(6, 80), "en", "a"), (2, prose(6, 80), "en", "a"), (3, long, "en", "b"), (4, None, None, None), (5, "", "en", "a"), (6, "token=abcdefgh12", "de", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({c: F.lit("x") for c in CLASHING})
+    spark.createDataFrame([(1, item), (2, None), (3, " ")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    columns, seen = docs.columns, []
+    for no, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = store.cut(stage(spark, docs, str(tmp_path)), f"edge-{no}")
+        assert no == 4 or (docs.columns == columns and docs.where(" or ".join(f"{c} <> 'x'" for c in CLASHING)).isEmpty())
+        seen.append(sorted(([r.doc_id, r.text] for r in docs.select("doc_id", *(["text"] if no < 4 else [F.col("same").alias("text")])).collect()), key=str))
+    good = [[d, t] for d, t, *_ in rows if t and len(t) > 100]
+    assert seen[0] == sorted(good, key=str)
+    one = [r for r in good if r[0] != 1]
+    assert seen[1] == sorted(one, key=str)
+    clean = [[d, t.replace(item, "")] for d, t in one]
+    assert seen[2] == sorted(clean, key=str)
+    assert seen[3] == sorted(([d, t.replace("token=abcdefgh12", "[secret]")] for d, t in clean), key=str)
+    assert seen[4] == sorted(([d, True] for d, _ in clean), key=str)
+
+
+def test_empty_tables(spark, tmp_path):
+    for folder, benchmark in ((f"{tmp_path}/a", []), (f"{tmp_path}/b", [(1, prose(1, 20))])):
+        spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame(benchmark, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_tables_of_a_stage_are_dropped(spark, tables):
+    before = list(store._kept)
+    corpus_pipeline.run(spark, tables[0]).count()
+    assert [t.path.split("/")[-1].rsplit("-", 1)[0] for t in store._kept[len(before) :]] == [f"pipeline-{no}" for no in range(4)]
+
+
 def test_every_operator_has_a_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
     assert set(oracles.oracle_sql()) <= set(queries.queries())
