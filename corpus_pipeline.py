@@ -55,11 +55,14 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     Null and empty texts hold none; of overlapping passages all covered characters go; an empty benchmark changes nothing.
     """
-    cleaned = decontam.clean(docs.withColumn("before", F.col("text")), table(spark, sf_dir, "benchmark"))
+    before = "before"
+    while before.lower() in {c.lower() for c in docs.columns}:
+        before += "_"
+    cleaned = decontam.clean(docs.withColumn(before, F.col("text")), table(spark, sf_dir, "benchmark"))
     if "n_chars" in docs.columns:
-        changed = ~F.col("text").eqNullSafe(F.col("before"))
+        changed = ~F.col("text").eqNullSafe(F.col(before))
         cleaned = cleaned.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return cleaned.select(*docs.columns)
+    return cleaned.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
