@@ -114,9 +114,12 @@ class Rule:
 
 
 class IgnoreFile:
-    """The rules of one ignore file, for paths relative to its directory; the last rule that fits decides."""
+    """The rules of one ignore file, for paths relative to its directory; the last rule that fits decides.
 
-    def __init__(self, text: str, name: str = "ignore file"):
+    A malformed pattern is an error, or passed over where ``lenient``.
+    """
+
+    def __init__(self, text: str, name: str = "ignore file", lenient: bool = False):
         self.rules: list[Rule] = []
         for line in text.split("\n"):
             line = line.removesuffix("\r")
@@ -132,6 +135,8 @@ class IgnoreFile:
             try:
                 regex = re.compile(_end(r"(?s)\A(?:" + ("" if anchored else "(?:.*/)?") + _translate(body, "[^/]*", "[^/]") + ")"))
             except (ValueError, re.error) as e:
+                if lenient:
+                    continue
                 raise ValueError(f"{name}: malformed pattern {line!r}: {e}") from e
             self.rules.append(Rule(regex, keep, only_dirs))
 

@@ -269,32 +269,77 @@ OWN = {
 }
 
 #: The families and their languages.
-FAMILIES = {
-    "JavaScript": "JavaScript TypeScript Jsx Tsx ArkTS CoffeeScript LiveScript ReScript Elm Svelte Vue Astro GlimmerJs GlimmerTs Qml",
-    "Web": "Html Css Sass Less Stylus PostCss Svg Handlebars Mustache Pug Haml Liquid Twig Jinja2 Tera FreeMarker Velocity Blade Razor Gohtml RubyHtml Templ Slint Dust",
-    "Documentation": "Markdown Mdx ReStructuredText Text AsciiDoc Org Djot Tex Typst PlantUml D2 Gherkin Po UnrealDeveloperMarkdown",
-    "Configuration": "Json Yaml Toml Ini Xml Hcl Dhall Cue Jsonnet Edn RON Nix Bicep OpenPolicyAgent Puppet Xaml AvaloniaXaml NuGetConfig XcodeConfig ForgeConfig DotNetResource MsBuild VisualStudioProject VisualStudioSolution UnrealPlugin UnrealProject ModuleDef DeviceTree LinkerScript",
-    "Build": "Makefile CMake Dockerfile Bazel Meson Just Scons Autoconf Automake M4 Cabal Ebuild PacmanMakepkg RPMSpecfile Rakefile Bitbake Nextflow Snakemake",
-    "Shell": "Sh Bash Zsh Fish Ksh CShell Elvish Nushell PowerShell Batch AWK AutoHotKey Autoit VimScript KakouneScript",
-    "Systems": "C CHeader Cpp CppHeader CppModule Rust Zig Go D Nim Odin Vala Ada Pascal FortranLegacy FortranModern Assembly AssemblyGAS LLVM WebAssembly ObjectiveC ObjectiveCpp Swift Cuda OpenCL HolyC Virgil C3 Jai",
-    "JVM": "Java Kotlin Scala Groovy Clojure ClojureC ClojureScript Xtend Ceylon Gleam",
-    "DotNet": "CSharp FSharp VisualBasic VB6 VBScript Cil Asp AspNet",
-    "Scripting": "Python Cython Jupyter Mojo Ruby Perl Raku Php Lua Tcl MoonScript Hy Elisp Janet Fennel Scheme Racket Lisp Smalltalk Crystal Dart Julia R Stata Erlang Elixir Haxe ActionScript",
-    "Functional": "Haskell OCaml Sml PureScript Idris Agda Coq Lean Isabelle Unison Roc Koka Futhark Fstar",
-    "Data": "Sql PRQL Graphql Protobuf Thrift FlatBuffers Asn1 EdgeQL ESDL JSLT Jq Hledger Bean Stan",
-    "Hardware": "Verilog VerilogArgsFile SystemVerilog Vhdl Glsl Hlsl WGSL Metal Slang ShaderLab GdShader Spice OpenQasm Qcl",
+FAMILIES: dict[str, tuple[str, ...]] = {
+    "JavaScript": (
+        "JavaScript", "TypeScript", "Jsx", "Tsx", "ArkTS", "CoffeeScript", "LiveScript", "ReScript", "Elm", "Svelte", "Vue", "Astro",
+        "GlimmerJs", "GlimmerTs", "Qml",
+    ),
+    "Web": (
+        "Html", "Css", "Sass", "Less", "Stylus", "PostCss", "Svg", "Handlebars", "Mustache", "Pug", "Haml", "Liquid", "Twig",
+        "Jinja2", "Tera", "FreeMarker", "Velocity", "Blade", "Razor", "Gohtml", "RubyHtml", "Templ", "Slint", "Dust",
+    ),
+    "Documentation": (
+        "Markdown", "Mdx", "ReStructuredText", "Text", "AsciiDoc", "Org", "Djot", "Tex", "Typst", "PlantUml", "D2", "Gherkin", "Po",
+        "UnrealDeveloperMarkdown",
+    ),
+    "Configuration": (
+        "Json", "Yaml", "Toml", "Ini", "Xml", "Hcl", "Dhall", "Cue", "Jsonnet", "Edn", "RON", "Nix", "Bicep", "OpenPolicyAgent",
+        "Puppet", "Xaml", "AvaloniaXaml", "NuGetConfig", "XcodeConfig", "ForgeConfig", "DotNetResource", "MsBuild",
+        "VisualStudioProject", "VisualStudioSolution", "UnrealPlugin", "UnrealProject", "ModuleDef", "DeviceTree", "LinkerScript",
+    ),
+    "Build": (
+        "Makefile", "CMake", "Dockerfile", "Bazel", "Meson", "Just", "Scons", "Autoconf", "Automake", "M4", "Cabal", "Ebuild",
+        "PacmanMakepkg", "RPMSpecfile", "Rakefile", "Bitbake", "Nextflow", "Snakemake",
+    ),
+    "Shell": (
+        "Sh", "Bash", "Zsh", "Fish", "Ksh", "CShell", "Elvish", "Nushell", "PowerShell", "Batch", "AWK", "AutoHotKey", "Autoit",
+        "VimScript", "KakouneScript",
+    ),
+    "Systems": (
+        "C", "CHeader", "Cpp", "CppHeader", "CppModule", "Rust", "Zig", "Go", "D", "Nim", "Odin", "Vala", "Ada", "Pascal",
+        "FortranLegacy", "FortranModern", "Assembly", "AssemblyGAS", "LLVM", "WebAssembly", "ObjectiveC", "ObjectiveCpp", "Swift",
+        "Cuda", "OpenCL", "HolyC", "Virgil", "C3", "Jai",
+    ),
+    "JVM": (
+        "Java", "Kotlin", "Scala", "Groovy", "Clojure", "ClojureC", "ClojureScript", "Xtend", "Ceylon", "Gleam",
+    ),
+    "DotNet": (
+        "CSharp", "FSharp", "VisualBasic", "VB6", "VBScript", "Cil", "Asp", "AspNet",
+    ),
+    "Scripting": (
+        "Python", "Cython", "Jupyter", "Mojo", "Ruby", "Perl", "Raku", "Php", "Lua", "Tcl", "MoonScript", "Hy", "Elisp", "Janet",
+        "Fennel", "Scheme", "Racket", "Lisp", "Smalltalk", "Crystal", "Dart", "Julia", "R", "Stata", "Erlang", "Elixir", "Haxe",
+        "ActionScript",
+    ),
+    "Functional": (
+        "Haskell", "OCaml", "Sml", "PureScript", "Idris", "Agda", "Coq", "Lean", "Isabelle", "Unison", "Roc", "Koka", "Futhark",
+        "Fstar",
+    ),
+    "Data": (
+        "Sql", "PRQL", "Graphql", "Protobuf", "Thrift", "FlatBuffers", "Asn1", "EdgeQL", "ESDL", "JSLT", "Jq", "Hledger", "Bean",
+        "Stan",
+    ),
+    "Hardware": (
+        "Verilog", "VerilogArgsFile", "SystemVerilog", "Vhdl", "Glsl", "Hlsl", "WGSL", "Metal", "Slang", "ShaderLab", "GdShader",
+        "Spice", "OpenQasm", "Qcl",
+    ),
 }
 
-#: Paths that mark whole files as tests, and line starts that open a region of tests.
+#: Paths that mark whole files as tests, and for each language its own and the line starts that open a region of tests.
 TEST_PATHS = ("**/tests/**", "**/test/**", "**/__tests__/**", "**/testdata/**", "**/spec/**", "**/specs/**", "**/__mocks__/**", "**/fixtures/**", "**/*.snap")
-_SUITES = ("describe(", "describe.each", "it(", "it.each", "test(", "test.each", "suite(", "bench(")
-TESTS = {
+TESTS: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
     "Rust": (("**/tests/**", "**/benches/**"), ("#[cfg(test)]", "#[test]", "#[tokio::test]", "#[bench]", "#[rstest]", "#[test_case")),
     "Go": (("**/*_test.go",), ("func Test", "func Benchmark", "func Fuzz", "func Example")),
     "Python": (("**/test_*.py", "**/*_test.py", "**/conftest.py"), ("def test_", "async def test_", "class Test")),
-    "JavaScript": (tuple(f"**/*.{kind}.{e}" for e in ("js", "mjs", "cjs") for kind in ("test", "spec")), _SUITES),
+    "JavaScript": (
+        ("**/*.test.js", "**/*.spec.js", "**/*.test.mjs", "**/*.spec.mjs", "**/*.test.cjs", "**/*.spec.cjs"),
+        ("describe(", "describe.each", "it(", "it.each", "test(", "test.each", "suite(", "bench("),
+    ),
     "Jsx": (("**/*.test.jsx", "**/*.spec.jsx"), ("describe(", "it(", "test(", "suite(")),
-    "TypeScript": (tuple(f"**/*.{kind}.{e}" for e in ("ts", "mts") for kind in ("test", "spec")), _SUITES),
+    "TypeScript": (
+        ("**/*.test.ts", "**/*.spec.ts", "**/*.test.mts", "**/*.spec.mts"),
+        ("describe(", "describe.each", "it(", "it.each", "test(", "test.each", "suite(", "bench("),
+    ),
     "Tsx": (("**/*.test.tsx", "**/*.spec.tsx"), ("describe(", "it(", "test(", "suite(")),
     "Java": (("**/src/test/**", "**/*Test.java", "**/*Tests.java", "**/Test*.java"), ("@Test", "@ParameterizedTest", "@RepeatedTest")),
     "Kotlin": (("**/src/test/**", "**/*Test.kt", "**/*Tests.kt"), ("@Test", "@ParameterizedTest")),

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.functions.columns import bind
 from inkwell.functions.globs import any_of
 from inkwell.functions.languages import OTHER, UNKNOWN, Registry, registry
 
@@ -43,16 +45,19 @@ def directory(path: Column, depth: int) -> Column:
 def _program(content: Column) -> Column:
     """The lower-cased leading letters of a shebang's program; null where there is none."""
     head = F.substring_index(F.try_validate_utf8(F.substring_index(F.substring(content.cast("binary"), 1, 128).cast("string"), "\n", 1)), "\n", 1)
-    words = F.split(F.trim(F.substring(head, 3, 128)), r"[ \t\f\r]+")
     last = lambda w: F.element_at(F.split(w, "/"), -1)
-    first = last(F.get(words, F.lit(0)))
-    name = F.when(first == "env", last(F.get(words, F.lit(1)))).otherwise(first)
-    return F.when(F.startswith(head, F.lit("#!")), F.nullif(F.lower(F.regexp_extract(name, r"\A[A-Za-z]*", 0)), F.lit("")))
+    letters = lambda name: F.nullif(F.lower(F.regexp_extract(name, r"\A[A-Za-z]*", 0)), F.lit(""))
+    named = lambda words: bind(last(F.get(words, F.lit(0))), lambda first: letters(F.when(first == "env", last(F.get(words, F.lit(1)))).otherwise(first)))
+    program = lambda line: F.when(F.startswith(line, F.lit("#!")), bind(F.split(F.trim(F.substring(line, 3, 128)), r"[ \t\f\r]+"), named))
+    return bind(head, program)
 
 
 def _dim(spark, pairs, columns) -> DataFrame:
-    """A lookup with a row per entry of the language database; its size is fixed, and so it is broadcast."""
-    return F.broadcast(spark.createDataFrame(pairs or [("", None)], columns))
+    """A lookup with a row per entry of the language database; its size is fixed, and so it is broadcast. From Arrow it is a local table."""
+    names = [c.split()[0] for c in columns.split(",")]
+    rows = pairs or [("", *[None] * (len(names) - 1))]
+    kinds = [pa.bool_() if c.split()[1] == "boolean" else pa.string() for c in columns.split(",")]
+    return F.broadcast(spark.createDataFrame(pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(zip(names, kinds, strict=True))})))
 
 
 def resolve(files: DataFrame, reg: Registry | None = None, shebangs: bool = True, content: str = "content") -> DataFrame:

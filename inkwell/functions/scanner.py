@@ -17,6 +17,8 @@ CODE, COMMENT, BLANK = 0, 1, 2
 KINDS = ("code", "comment", "blank")
 #: Lines after a marker within which its block must open.
 PATIENCE = 10
+#: Bytes of the longest line that is remembered, and lines remembered for a language.
+REMEMBERED, MEMORY = 200, 20_000
 
 
 @dataclass(frozen=True)
@@ -42,6 +44,8 @@ class Syntax:
         self.markers, self.indented = tuple(x.encode() for x in language.test_blocks), language.indent_style
         self.openers = [(a, b, True, False) for a, b in self.doc] + [(a, b, False, True) for a, b in self.verbatim] + [(a, b, False, False) for a, b in self.quotes]
         self.patterns: dict[tuple, re.Pattern[bytes]] = {}
+        #: What a line outside strings and comments does, for each set of options.
+        self.seen: dict[bool, dict[bytes, tuple]] = {True: {}, False: {}}
 
     def pattern(self, quote: bytes | None, verbatim: bool, top: bytes | None) -> re.Pattern[bytes]:
         key = (quote, verbatim, top)
@@ -84,17 +88,40 @@ class Scan:
 
     def line(self, raw: bytes) -> tuple[int, bool]:
         """The kind of the next line, and whether it is a test's."""
-        trimmed = raw.strip(BLANKS)
         if self.s is None:
-            return (CODE if trimmed else BLANK), self.test_file
-        line = raw if self.s.fortran else trimmed
+            return (CODE if raw.strip(BLANKS) else BLANK), self.test_file
         plain = self.quote is None and not self.stack
-        if plain and not trimmed:
-            return BLANK, self.test_file or self.block is not None
+        if plain:
+            # sources repeat their lines: what one does to a scan at rest is remembered
+            seen = self.s.seen[self.config.docs_as_comments]
+            known = seen.get(raw)
+            if known is None:
+                known = self._visit(raw)
+                if len(raw) <= REMEMBERED:
+                    if len(seen) >= MEMORY:
+                        seen.clear()
+                    seen[raw] = known
+            kind, delta, quote, is_doc, is_verbatim, stack, opens, indent = known
+            if stack:
+                self.stack = list(stack)
+            if quote is not None:
+                self.quote, self.is_doc, self.is_verbatim = quote, is_doc, is_verbatim
+            if kind == BLANK:
+                return BLANK, self.test_file or self.block is not None
+        else:
+            kind, delta, *_, opens, indent = self._visit(raw)
+        return kind, self.test_file or (self.tests and self._in_tests(indent, plain and opens, delta))
+
+    def _visit(self, raw: bytes) -> tuple:
+        """(kind, change of depth, the state after it, whether it begins with a test marker, indent) of a line; the state is moved on."""
+        s, trimmed = self.s, raw.strip(BLANKS)
+        if not trimmed and self.quote is None and not self.stack:
+            return BLANK, 0, None, False, False, (), False, 0
+        line = raw if s.fortran else trimmed
         started = bool(self.stack) or (self.config.docs_as_comments and self.quote is not None and self.is_doc)
         delta = self._advance(line)
-        kind = COMMENT if self.s.literate or self._reads_as_comment(line, trimmed, started) else CODE
-        return kind, self.test_file or (self.tests and self._in_tests(raw, line, plain, delta))
+        kind = COMMENT if s.literate or self._reads_as_comment(line, trimmed, started) else CODE
+        return kind, delta, self.quote, self.is_doc, self.is_verbatim, tuple(self.stack), line.startswith(s.markers or b"\n"), len(raw) - len(raw.lstrip(BLANKS))
 
     def _advance(self, line: bytes) -> int:
         s, at, delta, end = self.s, 0, 0, len(line.rstrip(BLANKS))
@@ -136,8 +163,7 @@ class Scan:
             return True
         return bool(self.stack) and any(b == self.stack[-1] and trimmed.startswith(a) for a, b in s.comments)
 
-    def _in_tests(self, raw: bytes, line: bytes, plain: bool, delta: int) -> bool:
-        indent = len(raw) - len(raw.lstrip(BLANKS))
+    def _in_tests(self, indent: int, opens: bool, delta: int) -> bool:
         if self.block is not None:
             block = self.block
             if self.s.indented:
@@ -154,7 +180,7 @@ class Scan:
                 if block[3] <= PATIENCE:
                     return True
             self.block = None  # the region ended before this line, which may open another
-        if plain and line.startswith(self.s.markers):
+        if opens:
             self.block = [indent, delta, delta > 0, 0]
             return True
         return False

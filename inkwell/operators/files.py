@@ -15,23 +15,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.functions import scanner
+from inkwell.functions.columns import bind
 from inkwell.functions.globs import Globs
 from inkwell.functions.languages import Registry, registry
-from inkwell.functions.paths import MAX_SIZE, resolve, visible
+from inkwell.functions.paths import resolve, visible
 
 COUNTERS = ("impl_code", "impl_comments", "impl_blanks", "test_code", "test_comments", "test_blanks")
-_COUNTED = "binary boolean, " + ", ".join(f"{c} bigint" for c in COUNTERS)
+_COUNTED = ", ".join(f"{c} bigint" for c in COUNTERS)
 BLANKS = " \t\n\x0c\r"
 
 
 @dataclass(frozen=True)
 class Options:
-    """What to count. ``languages`` are keys, names or extensions; an unknown one is an error when the plan is made."""
+    """What to count. ``languages`` are keys, names or extensions; an unknown one is an error when the plan is made.
+
+    ``max_size`` leaves larger files out where it is given; the command line gives one.
+    """
 
     globs: Globs = Globs()
     languages: tuple[str, ...] | None = None
     include_unknown: bool = False
-    max_size: int | None = MAX_SIZE
+    max_size: int | None = None
     hidden: bool = True
     shebangs: bool = True
     counting: scanner.Config = scanner.Config()
@@ -47,9 +51,9 @@ class Options:
 
 
 def _lines(content: Column) -> Column:
-    """The lines of a text; what follows the last line break counts unless empty."""
-    split = F.split(content.cast("string"), "\n", -1)
-    return F.when(F.element_at(split, -1) == "", F.slice(split, F.lit(1), F.greatest(F.size(split) - 1, F.lit(0)))).otherwise(split)
+    """The lines of a text, trimmed; what follows the last line break counts unless empty."""
+    whole = lambda x: F.when(F.element_at(x, -1) == "", F.slice(x, F.lit(1), F.size(x) - 1)).otherwise(x)
+    return F.transform(bind(F.split(content.cast("string"), "\n", -1), whole), lambda x: F.trim(x, F.lit(BLANKS)))
 
 
 def is_binary(content: Column) -> Column:
@@ -57,35 +61,42 @@ def is_binary(content: Column) -> Column:
     return F.instr(F.substring_index(content.cast("string"), "\n", 1), "\0") > 0
 
 
-def native_counts(content: Column, markers: Column, test_file: Column, fortran: bool = False) -> Column:
-    """Counters of a text in a language that has line comments only; ``markers`` is an array of their openers, empty for none."""
-    lines = F.transform(_lines(content), lambda x: F.trim(x, F.lit(BLANKS)))
-    n, blank = F.size(lines).cast("long"), F.size(F.filter(lines, lambda x: x == "")).cast("long")
-    comment = F.size(F.filter(lines, lambda x: (x != "") & F.exists(markers, lambda m: F.startswith(x, m)))).cast("long")
-    kinds = (n - blank - comment, comment, blank)
-    zero = F.lit(0).cast("long")
-    values = [F.when(test_file, zero).otherwise(k) for k in kinds] + [F.when(test_file, k).otherwise(zero) for k in kinds]
-    return F.struct(F.lit(False).alias("binary"), *[v.alias(c) for v, c in zip(values, COUNTERS, strict=True)])
+def native_counts(content: Column, markers: Column, test_file: Column) -> Column:
+    """Counters of a text in a language that has line comments only; ``markers`` is an array of their openers, empty for none.
+
+    The text is split once, and its lines are visited twice, or once where the language has no comments.
+    """
+
+    def counted(lines: Column) -> Column:
+        blank = F.size(F.filter(lines, lambda x: x == "")).cast("long")
+        comment = F.size(F.filter(lines, lambda x: F.exists(markers, lambda m: F.startswith(x, m)))).cast("long")
+        kinds = F.array(F.size(lines).cast("long"), F.when(F.size(markers) > 0, comment).otherwise(F.lit(0).cast("long")), blank)
+
+        def dealt(k: Column) -> Column:
+            n, zero = [k[0] - k[1] - k[2], k[1], k[2]], F.lit(0).cast("long")
+            values = [F.when(test_file, zero).otherwise(x) for x in n] + [F.when(test_file, x).otherwise(zero) for x in n]
+            return F.struct(*[v.alias(c) for v, c in zip(values, COUNTERS, strict=True)])
+
+        return bind(kinds, dealt)
+
+    return bind(_lines(content), counted)
 
 
 def classifier(reg: Registry, config: scanner.Config):
-    """The Arrow UDF (bytes, language key, is test file) -> struct of ``binary`` and the counters; null bytes give null."""
+    """The Arrow UDF (bytes, language key, is test file) -> struct of the counters; null bytes and binary files give nulls.
+
+    It is declared nondeterministic, so that no filter is pushed below it with a second evaluation.
+    """
     languages = reg.languages
 
     @F.pandas_udf(_COUNTED)
     def classify(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        nothing = (None,) * len(COUNTERS)
         for contents, keys, tests in batches:
-            rows = []
-            for data, key, test in zip(contents, keys, tests, strict=True):
-                if data is None:
-                    rows.append((None,) * 7)
-                    continue
-                got = scanner.count(bytes(data), languages.get(key), bool(test), config)
-                rows.append((True, *[0] * 6) if got is None else (False, *got))
-            frame = pd.DataFrame(rows, columns=["binary", *COUNTERS])
-            yield frame.astype({"binary": "boolean", **dict.fromkeys(COUNTERS, "Int64")})
+            rows = [nothing if data is None else scanner.count(bytes(data), languages.get(key), bool(test), config) or nothing for data, key, test in zip(contents, keys, tests, strict=True)]
+            yield pd.DataFrame(rows, columns=COUNTERS, dtype="Int64")
 
-    return classify
+    return classify.asNondeterministic()
 
 
 def selected(files: DataFrame, options: Options) -> DataFrame:
@@ -120,15 +131,15 @@ def counted(files: DataFrame, options: Options | None = None, only_paths: DataFr
         keys = [k for k in bare if lines[k] == opener]
         markers = F.when(F.col("language_key").isin(keys), F.array(*map(F.lit, opener))).otherwise(markers)
     text = F.col("content")
-    other = classifier(options.registry, options.counting)(F.when(~native, text.cast("binary")), F.col("language_key"), F.col("is_test_file"))
-    here = F.struct(*[native_counts(text, markers, F.col("is_test_file"))[c].alias(c) for c in ("binary", *COUNTERS)])
     if options.counting.skip_binary:
-        here = F.when(is_binary(text), F.struct(F.lit(True).alias("binary"), *[F.lit(0).cast("long").alias(c) for c in COUNTERS])).otherwise(here)
-    out = found.withColumns({"_udf": other, "_native": F.when(native, here)}).withColumn("_c", F.coalesce("_native", "_udf"))
+        # native and below the UDF, so binary files never cross to Python
+        found = found.where(~F.coalesce(is_binary(text), F.lit(False)))
+    other = classifier(options.registry, options.counting)(F.when(~native, text.cast("binary")), F.col("language_key"), F.col("is_test_file"))
+    here = F.when(native, native_counts(text, markers, F.col("is_test_file")))
+    out = found.withColumns({"_udf": other, "_native": here}).withColumn("_c", F.coalesce("_native", "_udf"))
     error = F.col("error") if has_error else F.lit(None).cast("string")
-    out = out.withColumns({"status": F.when(error.isNotNull(), "error").when(F.col("_c.binary"), "binary").otherwise("counted"), "message": error})
-    columns = ["path", "language_key", "language", "family", "extension", "is_test_file", *[F.coalesce(F.col(f"_c.{c}"), F.lit(0).cast("long")).alias(c) for c in COUNTERS], "status", "message"]
-    return out.select(*columns).where("status <> 'binary'")
+    out = out.withColumns({"status": F.when(error.isNotNull(), "error").otherwise("counted"), "message": error})
+    return out.select("path", "language_key", "language", "family", "extension", "is_test_file", *[F.coalesce(F.col(f"_c.{c}"), F.lit(0).cast("long")).alias(c) for c in COUNTERS], "status", "message")
 
 
 def report(files: DataFrame, options: Options | None = None, only_paths: DataFrame | None = None) -> DataFrame:

@@ -56,7 +56,7 @@ TXT = _counted("documents", "lang || '/' || source || '/' || doc_id || '.txt'",
 def _samples(columns: str = "*", counts=None) -> str:
     """The synthesized files with the counts their samples are known to have; plain lines before them are code, or comments in prose."""
     rows = []
-    for i, (_, path, _, known) in enumerate(SAMPLES):
+    for i, (_, path, _, known, _) in enumerate(SAMPLES):
         key = REG.from_path(path)
         six = counts(i) if counts else known
         rows.append(f"({i}, '{path.split('/')[0]}', '{path.split('/')[-1]}', '{key}', '{REG.languages[key].name}', '{REG.languages[key].family}', '{path.rsplit('.', 1)[-1]}', {str(path.startswith('tests/')).lower()}, {str(REG.languages[key].literate).lower()}, {', '.join(map(str, six))})")
@@ -66,18 +66,17 @@ def _samples(columns: str = "*", counts=None) -> str:
 
 
 def _with_docs_as_code(i: int) -> tuple[int, ...]:
-    a, b, c, *rest = SAMPLES[i][3]
-    return (a + b, 0, c, *rest) if "doc" in SAMPLES[i][0] and SAMPLES[i][1].endswith(".py") else SAMPLES[i][3]
+    return SAMPLES[i].docs_as_code or SAMPLES[i].known
 
 
 def _without_blocks(i: int) -> tuple[int, ...]:
-    known = SAMPLES[i][3]
-    return known if SAMPLES[i][1].startswith("tests/") else (*(known[k] + known[k + 3] for k in range(3)), 0, 0, 0)
+    known = SAMPLES[i].known
+    return known if SAMPLES[i].path.startswith("tests/") else (*(known[k] + known[k + 3] for k in range(3)), 0, 0, 0)
 
 
 def _placed(sort: str) -> str:
     key = {"code": CODE, "comments": DOCS, "blanks": "impl_blanks + test_blanks", "test": "test_code", "lines": LINES, "name": "0"}[sort]
-    return f"SELECT row_number() OVER (ORDER BY abs({key}) DESC, path)::BIGINT AS place, path AS label, 1::BIGINT AS files, {', '.join(COUNTERS)} FROM {_events()} QUALIFY place <= 20"
+    return f"SELECT row_number() OVER (ORDER BY abs({key}) DESC, path)::BIGINT AS place, path AS label, 1::BIGINT AS files, {', '.join(COUNTERS)} FROM {_events()}"
 
 
 def _case(column: str, values: dict[int, str]) -> str:

@@ -7,6 +7,7 @@ import os
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from inkwell.functions.globs import Globs
 from inkwell.functions.languages import registry
@@ -107,7 +108,9 @@ def run(spark: SparkSession, argv: list[str]) -> str:
     sources = [tree.empty(spark) if s is None else s for s in sources]
     both = len(sources) == 2
     if both:
-        changed = diff.changed_paths(*sources).persist()
+        # a directory's files get the ids that git would give them, so that equal files are not classified
+        known = [s.withColumn("content_id", F.coalesce("content_id", diff.content_id(F.col("content")))) for s in sources]
+        changed = diff.changed_paths(*known).persist()
         counted = [files.counted(s, options, changed).persist() for s in sources]
     else:
         counted = [files.counted(sources[0], options).persist()]

@@ -68,7 +68,7 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file per part: a sample behind as many plain lines as the part's size."""
-    made = spark.createDataFrame([(i, p, t) for i, (_, p, t, _) in enumerate(SAMPLES)], "no int, sample_path string, sample string")
+    made = spark.createDataFrame([(i, s.path, s.text) for i, s in enumerate(SAMPLES)], "no int, sample_path string, sample string")
     rows = _table(spark, sf_dir, "part").withColumn("pick", (F.col("p_partkey") % len(SAMPLES)).cast("int")).join(F.broadcast(made), F.col("pick") == F.col("no"))
     folder = F.element_at(F.split("sample_path", "/"), 1)
     path = F.concat_ws("/", folder, F.col("p_partkey").cast("string"), F.element_at(F.split("sample_path", "/"), -1))
@@ -254,7 +254,7 @@ def _sorted(sort: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = report.rows(event_report(spark, sf_dir), "file")
         place = F.row_number().over(Window.orderBy(*report.order(sort))).cast("long")
-        return report.finish(rows, sort, 20).select(place.alias("place"), "label", "files", *COUNTERS)
+        return report.finish(rows, sort).select(place.alias("place"), "label", "files", *COUNTERS)
 
     query.__name__ = f"sort_{sort}"
     return query
@@ -291,7 +291,7 @@ def diff_with_itself(spark: SparkSession, sf_dir: str) -> DataFrame:
 def diff_against_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All files gone: every count negative."""
     both = event_report(spark, sf_dir)
-    return diff.diff_rows(both, both.limit(0), "family").drop("family")
+    return diff.diff_rows(both, both.where(F.lit(False)), "family").drop("family")
 
 
 # -- output ------------------------------------------------------------------------------------------------------------------

@@ -15,9 +15,9 @@ VCS = (".git", ".hg", ".svn", ".jj")
 
 @dataclass(frozen=True)
 class IgnoreRules:
-    """``files`` are the names of ignore files that count; a git tree's ``.gitignore`` does not, as what it hides is not committed."""
+    """``files`` are the names of ignore files that count, those that outrank others first, and before ``.gitignore``; a git tree's ``.gitignore`` does not, as what it hides is not committed."""
 
-    files: tuple[str, ...] = (".ignore", OWN)
+    files: tuple[str, ...] = (OWN, ".ignore")
     gitignore: bool = True
     hidden: bool = False
 
@@ -32,12 +32,12 @@ class IgnoreRules:
 
     @property
     def names(self) -> tuple[str, ...]:
-        return ((".gitignore",) if self.gitignore else ()) + self.files
+        return self.files + ((".gitignore",) if self.gitignore else ())
 
 
 @dataclass
 class Matcher:
-    """Rules of all ignore files of a tree, the deepest directory's first."""
+    """Rules of all ignore files of a tree, by name in the rules' order and within one the deepest directory's first."""
 
     rules: IgnoreRules
     files: list[tuple[str, IgnoreFile]] = field(default_factory=list)
@@ -48,9 +48,9 @@ class Matcher:
         for path in paths:
             folder, _, name = path.rpartition("/")
             if name in rules.names:
-                found.append((folder, IgnoreFile(read(path).decode("utf-8", "replace"), path)))
-        found.sort(key=lambda f: -(f[0].count("/") + bool(f[0])))
-        return cls(rules, found)
+                found.append((rules.names.index(name), -(folder.count("/") + bool(folder)), folder, IgnoreFile(read(path).decode("utf-8", "replace"), path)))
+        found.sort(key=lambda f: f[:3])
+        return cls(rules, [f[2:] for f in found])
 
     def hides(self, path: str) -> bool:
         parts = path.split("/")
@@ -72,7 +72,7 @@ def masked(files: DataFrame, rules: IgnoreRules = IgnoreRules.for_git_tree()) ->
     from pyspark.sql import functions as F
     from pyspark.sql import types as T
 
-    own = files.where(F.element_at(F.split("path", "/"), -1).isin(*rules.names)) if rules.names else files.limit(0)
+    own = files.where(F.element_at(F.split("path", "/"), -1).isin(*rules.names)) if rules.names else files.where(F.lit(False))
     texts = {r["path"]: bytes(r["content"]) for r in own.select("path", F.col("content").cast("binary").alias("content")).toLocalIterator()}
     matcher = Matcher.read(texts, texts.__getitem__, rules)
 

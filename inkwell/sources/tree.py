@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from inkwell.functions.globs import IgnoreFile
 from inkwell.sources.ignore import VCS, IgnoreRules, Matcher
 
 SCHEMA = "path string, size bigint, content_id string, content binary, error string"
@@ -51,74 +52,123 @@ def rules_from(options, git: bool) -> IgnoreRules:
     return IgnoreRules(gitignore=not git, hidden=_true(options, "hidden", "false"))
 
 
+def shown(path: str) -> str:
+    """A path as it is reported: bytes that are not UTF-8 are replaced. The file is opened by the path as it was listed."""
+    return os.fsencode(path).decode("utf-8", "replace")
+
+
+#: Kinds of ignore files by precedence: what one kind says about a path holds whatever the next ones say.
+EXCLUDE, GLOBAL = ".git/info/exclude", "global excludes"
+
+
+class Ignores:
+    """The ignore files that hold in a directory: for each kind, the deepest directory's first.
+
+    A rule sees the path from its own file's directory on: ``drop`` characters less than the path below the root, or ``below`` more.
+    Git's kinds count outside repositories too, and end at a repository's top.
+    """
+
+    def __init__(self, kinds: dict[str, list[tuple[int, str, IgnoreFile]]]):
+        self.kinds = kinds
+
+    @staticmethod
+    def read(at: str) -> IgnoreFile | None:
+        try:
+            with open(at, encoding="utf-8", errors="replace") as f:
+                return IgnoreFile(f.read(), at, lenient=True)
+        except OSError:
+            return None
+
+    @classmethod
+    def own(cls, folder: str, rules: IgnoreRules) -> tuple[dict[str, IgnoreFile], bool]:
+        """The ignore files of one directory by kind, and whether it is a repository's top."""
+        names = (*rules.files, *((".gitignore", EXCLUDE) if rules.gitignore else ()))
+        return {n: file for n in names if (file := cls.read(os.path.join(folder, n)))}, os.path.exists(os.path.join(folder, ".git"))
+
+    @classmethod
+    def above(cls, root: str, rules: IgnoreRules) -> Ignores:
+        """What holds over ``root``: files of all directories above it, and the user's excludes."""
+        kinds: dict[str, list[tuple[int, str, IgnoreFile]]] = {n: [] for n in (*rules.files, *((".gitignore", EXCLUDE, GLOBAL) if rules.gitignore else ()))}
+        here, below = os.path.abspath(root), ""
+        inside = not os.path.exists(os.path.join(here, ".git"))
+        while kinds and (up := os.path.dirname(here)) != here:
+            here, below = up, f"{os.path.basename(here)}/{below}"
+            files, top = cls.own(here, rules)
+            for name, file in files.items():
+                if name in rules.files or inside:
+                    kinds[name].append((0, below, file))
+            inside = inside and not top
+        if GLOBAL in kinds and (file := cls.read(_users_excludes())):
+            kinds[GLOBAL].append((0, "", file))
+        return cls(kinds)
+
+    def entered(self, folder: str, prefix: str, rules: IgnoreRules) -> Ignores:
+        """What holds in a directory below the root, or in the root itself."""
+        files, top = self.own(folder, rules)
+        if not files and not top:
+            return self
+        kinds = {}
+        for name, found in self.kinds.items():
+            kept = [] if top and name in (".gitignore", EXCLUDE) else found
+            kinds[name] = [(len(prefix), "", files[name]), *kept] if name in files else kept
+        return Ignores(kinds)
+
+    def verdict(self, path: str, is_dir: bool) -> bool | None:
+        for found in self.kinds.values():
+            for drop, below, file in found:
+                verdict = file.verdict(below + path[drop:], is_dir)
+                if verdict is not None:
+                    return verdict
+        return None
+
+
+def _users_excludes() -> str:
+    """The user's own excludes file: the one git's configuration names, or git's default."""
+    try:
+        named = subprocess.run(["git", "config", "--global", "--type=path", "core.excludesFile"], capture_output=True).stdout.decode("utf-8", "replace").strip()
+    except OSError:
+        named = ""
+    return named or os.path.join(os.environ.get("XDG_CONFIG_HOME") or os.path.join(os.path.expanduser("~"), ".config"), "git", "ignore")
+
+
 def list_directory(root: str, rules: IgnoreRules, follow: bool = False) -> list[tuple[str, int | None, str | None]]:
-    """(path, size, None) of the regular files below ``root``; unreadable directories are passed over, a missing root is an error."""
+    """(path, size, None) of the regular files below ``root``; unreadable directories are passed over, a missing root is an error.
+
+    Directories are visited one after another from a list, so a deep tree needs no deep stack. A hidden entry that an ignore file
+    names as kept is kept.
+    """
     if not os.path.isdir(root):
         if os.path.isfile(root):
             return [(os.path.basename(root), os.path.getsize(root), None)]
         raise FileNotFoundError(f"no such path: {root}")
     found: list[tuple[str, int | None, str | None]] = []
-    above = _above(root) if rules.names else []
-
-    def walk(folder: str, prefix: str, matchers: list[tuple[str, Matcher]]) -> None:
+    waiting = [(root, "", Ignores.above(root, rules))]
+    while waiting:
+        folder, prefix, ignores = waiting.pop()
         try:
             entries = sorted(os.scandir(folder), key=lambda e: e.name)
         except OSError:
-            return
-        names = {e.name for e in entries}
-        own = [prefix + n for n in rules.names if n in names]
-        if own:
-            matchers = [(prefix, Matcher.read(own, lambda p: open(os.path.join(root, p), "rb").read(), rules)), *matchers]
+            continue
+        ignores = ignores.entered(folder, prefix, rules)
         for e in entries:
             path = prefix + e.name
             try:
                 is_dir, is_file = e.is_dir(follow_symlinks=follow), e.is_file(follow_symlinks=follow)
+                size = e.stat(follow_symlinks=follow).st_size if is_file else None
             except OSError:
                 continue
-            if (is_dir and e.name in VCS) or (not rules.hidden and e.name.startswith(".")):
+            if is_dir and e.name in VCS:
                 continue
-            if _ignored(path, is_dir, matchers, above):
+            verdict = ignores.verdict(shown(path), is_dir)
+            if verdict or (verdict is None and not rules.hidden and e.name.startswith(".")):
                 continue
             if is_dir:
-                walk(e.path, path + "/", matchers)
+                # a followed link that leads back to a directory above it is not entered again
+                if not (follow and e.is_symlink() and (os.path.realpath(folder) + "/").startswith(os.path.realpath(e.path) + "/")):
+                    waiting.append((e.path, path + "/", ignores))
             elif is_file:
-                found.append((path, e.stat().st_size, None))
-
-    def _ignored(path: str, is_dir: bool, matchers, above) -> bool:
-        for _, matcher in matchers:
-            for folder, file in matcher.files:
-                verdict = file.verdict(path[len(folder) + 1 if folder else 0 :], is_dir)
-                if verdict is not None:
-                    return verdict
-        for prefix, file in above:
-            verdict = file.verdict(prefix + path, is_dir)
-            if verdict is not None:
-                return verdict
-        return False
-
-
-    walk(root, "", [])
-    return found
-
-
-def _above(root: str):
-    """Ignore files of the directories over ``root`` up to its repository's, and the repository's own excludes."""
-    from inkwell.functions.globs import IgnoreFile
-
-    found, here, below = [], os.path.abspath(root), ""
-    while not os.path.isdir(os.path.join(here, ".git")):
-        up = os.path.dirname(here)
-        if up == here:
-            return []
-        below, here = f"{os.path.basename(here)}/{below}", up
-        for name in (".gitignore", ".ignore"):
-            at = os.path.join(here, name)
-            if os.path.isfile(at):
-                found.append((below, IgnoreFile(open(at, encoding="utf-8", errors="replace").read(), at)))
-    exclude = os.path.join(here, ".git", "info", "exclude")
-    if os.path.isfile(exclude):
-        found.append((below, IgnoreFile(open(exclude, encoding="utf-8", errors="replace").read(), exclude)))
-    return found
+                found.append((path, size, None))
+    return sorted(found)
 
 
 def git(base: str, *args: str, data: bytes | None = None) -> bytes:
@@ -146,7 +196,7 @@ def list_revision(base: str, revision: str, subdir: str = "", ignore: IgnoreRule
             head, _, path = entry.partition(b"\t")
             mode, _, oid = head.split()[:3]
             if mode in (b"100644", b"100755"):
-                out.append((path.decode("utf-8", "surrogateescape"), None, oid.decode()))
+                out.append((path.decode("utf-8", "replace"), None, oid.decode()))
     out.sort(key=lambda f: (f[0].count("/"), f[0]))
     if ignore is not None:
         ids = {p: i for p, _, i in out}
@@ -175,9 +225,9 @@ class DirectoryReader(DataSourceReader):
         for path, size, _ in part.files:
             try:
                 with open(root if os.path.isfile(root) else os.path.join(root, path), "rb") as f:
-                    yield path, size, None, f.read(), None
+                    yield shown(path), size, None, f.read(), None
             except OSError as e:
-                yield path, size, None, None, e.strerror or str(e)
+                yield shown(path), size, None, None, e.strerror or str(e)
 
 
 class RevisionReader(DataSourceReader):

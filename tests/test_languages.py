@@ -44,7 +44,7 @@ def test_facts():
 
 
 def test_families():
-    keys = [k for f in FAMILIES.values() for k in f.split()]
+    keys = [k for f in FAMILIES.values() for k in f]
     assert len(FAMILIES) == 13 and len(keys) == len(set(keys)) == 232 and all(REG.languages[k].family != "Other" for k in keys)
     with pytest.raises(ValueError, match="unknown language"):
         Registry.build(families={"A": "Nothing"})

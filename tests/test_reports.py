@@ -102,10 +102,10 @@ def test_native_lookups_agree_with_the_registry(spark):
 
 
 def test_counting_frames(spark):
-    rows = [(f"{i}/{p}", t) for i, (_, p, t, _) in enumerate(SAMPLES)]
+    rows = [(f"{i}/{s.path}", s.text) for i, s in enumerate(SAMPLES)]
     frame = tree.from_table(spark.createDataFrame(rows, "p string, t string"), F.col("p"), F.col("t"))
     got = {r.path: six(r) for r in files.report(frame).collect()}
-    assert got == {f"{i}/{p}": known for i, (_, p, _, known) in enumerate(SAMPLES)}
+    assert got == {f"{i}/{s.path}": s.known for i, s in enumerate(SAMPLES)}
     lines = files.line_view(frame).groupBy("path").count().collect()
     assert {r.path: r["count"] for r in lines} == {p: sum(c) for p, c in got.items()}
 
@@ -149,7 +149,7 @@ def test_rendering():
 def test_streams(spark, tmp_path):
     from inkwell.streaming import files as streaming
 
-    spark.createDataFrame([(p, t) for _, p, t, _ in SAMPLES], "path string, content string").write.parquet(str(tmp_path / "in"))
+    spark.createDataFrame([(s.path, s.text) for s in SAMPLES], "path string, content string").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("path string, content string").parquet(str(tmp_path / "in"))
     query = streaming.running(stream).writeStream.format("memory").queryName("running").outputMode("complete").start()
     query.processAllAvailable()

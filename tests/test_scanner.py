@@ -5,11 +5,14 @@ from __future__ import annotations
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from inkwell.functions import scanner
 from inkwell.functions.languages import registry
 from inkwell.functions.scanner import Config
+from inkwell.operators import files
 from inkwell.samples import SAMPLES
+from inkwell.sources import tree
 
 REG = registry()
 
@@ -19,9 +22,11 @@ def count(key: str | None, text: str | bytes, test: bool = False, **config):
     return scanner.count(data, REG.languages.get(key), test, Config(**config))
 
 
-@pytest.mark.parametrize("name,path,text,known", SAMPLES, ids=[s[0] for s in SAMPLES])
-def test_samples(name, path, text, known):
-    assert tuple(count(REG.from_path(path), text, path.startswith("tests/"))) == known
+@pytest.mark.parametrize("sample", SAMPLES, ids=[s.name for s in SAMPLES])
+def test_samples(sample):
+    key, test = REG.from_path(sample.path), sample.path.startswith("tests/")
+    assert tuple(count(key, sample.text, test)) == sample.known
+    assert tuple(count(key, sample.text, test, docs_as_comments=False)) == (sample.docs_as_code or sample.known)
 
 
 @pytest.mark.parametrize(
@@ -162,3 +167,25 @@ def test_patterns_agree_with_the_stated_rules(key, parts, docs):
     data, language = "".join(parts).encode(), REG.languages[key]
     known = scanner.count(data, language, False, Config(docs, False))
     assert known[:3] == step_by_step(data, language, Config(docs, False))
+
+
+def test_one_evaluation_in_the_plan(spark):
+    """Texts are split once and cross to Python once, though every counter and the status read the result."""
+    made = tree.from_table(spark.range(9), F.concat(F.col("id").cast("string"), F.lit(".rs")), F.concat(F.lit("a\n// b\n"), F.col("id")))
+    for frame in (files.report(made, files.Options(include_unknown=True)), files.errors(made)):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("ArrowEvalPython") <= 1 and plan.count(", \n, -1)") <= 1
+
+
+def test_remembered_lines_change_nothing():
+    """A line does the same whether it was seen before or not, in every state it can meet."""
+    import random
+
+    r, rust = random.Random(1), registry().languages["Rust"]
+    lines = [b"let a = 1;", b"}", b"{", b"/* a", b"b */", b'let s = "x', b'";', b"// c", b"", b"#[test]", b"fn t() {", b"  x();"]
+    for _ in range(60):
+        data = b"\n".join(r.choice(lines) for _ in range(30))
+        first = scanner.count(data, rust)
+        assert scanner.count(data, rust) == first
+        scanner.syntax.cache_clear()
+        assert scanner.count(data, rust) == first

@@ -8,10 +8,11 @@ import subprocess
 
 import pytest
 
+from inkwell.operators import files
 from inkwell.plans import refs
 from inkwell.plans.cli import list_families, list_languages, run
 from inkwell.sources import tree
-from inkwell.sources.ignore import IgnoreRules, masked
+from inkwell.sources.ignore import OWN, IgnoreRules, masked
 
 LIB = "//! Doc.\nfn a() {}\nfn b() {}\n\n#[cfg(test)]\nmod tests {\n    #[test]\n    fn c() {\n        a();\n    }\n}\nfn d() {}\n"
 
@@ -68,6 +69,78 @@ class TestDirectory:
         assert listed(tree.directory(spark, str(repo / "src"))) == []
         assert listed(tree.directory(spark, str(repo), ignore=False, subdir="src")) == ["_u.rs", "lib.rs"]
 
+    def test_own_rules_outrank_ignore_and_that_gitignore(self, spark, tmp_path):
+        """Kinds of files rank before depth: what one kind says holds against another kind's deeper file."""
+        write(tmp_path, {".gitignore": "*.log\n*.tmp\n*.own\n", ".ignore": "!a.log\n*.own\n", OWN: "!c.own\n", "a.log": "x", "b.log": "x", "c.own": "x", "d.own": "x"})
+        write(tmp_path, {"in/.gitignore": "!e.tmp\na.log\n", "in/e.tmp": "x", "in/f.tmp": "x", "in/a.log": "x"})
+        assert listed(tree.directory(spark, str(tmp_path))) == ["a.log", "c.own", "in/a.log", "in/e.tmp"]
+
+    def test_parents_count_outside_a_repository(self, spark, tmp_path):
+        write(tmp_path, {".gitignore": "skip.rs\n/top/deep/anchored.rs\n", ".ignore": "b.rs\n", OWN: "c.rs\n", "top/deep/a.rs": "x", **{f"top/deep/{n}.rs": "x" for n in ("b", "c", "skip", "anchored")}})
+        assert listed(tree.directory(spark, str(tmp_path / "top/deep"))) == ["a.rs"]
+        assert listed(tree.directory(spark, str(tmp_path / "top/deep"), ignore=False)) == ["a.rs", "anchored.rs", "b.rs", "c.rs", "skip.rs"]
+
+    def test_git_rules_end_at_a_repository(self, spark, tmp_path):
+        """A repository's top hides git's rules above it, on the way down and from below; other kinds go on."""
+        write(tmp_path, {".gitignore": "a.rs\n", ".ignore": "b.rs\n", "own/a.rs": "x", "own/b.rs": "x", "own/c.rs": "x", "own/sub/a.rs": "x", "own/sub/c.rs": "x"})
+        git(tmp_path, "init", "-q", "own")
+        write(tmp_path, {"own/.git/info/exclude": "/c.rs\n"})
+        assert listed(tree.directory(spark, str(tmp_path))) == ["own/a.rs", "own/sub/a.rs", "own/sub/c.rs"]
+        assert listed(tree.directory(spark, str(tmp_path / "own"))) == ["a.rs", "sub/a.rs", "sub/c.rs"]
+        assert listed(tree.directory(spark, str(tmp_path / "own/sub"))) == ["a.rs", "c.rs"]
+
+    def test_global_excludes(self, tmp_path, monkeypatch):
+        write(tmp_path, {"home/.config/git/ignore": "*.bak\n", "t/a.bak": "x", "t/b.rs": "x", "t/c.old": "x", "named": "*.old\n"})
+        monkeypatch.setenv("HOME", str(tmp_path / "home"))
+        monkeypatch.delenv("XDG_CONFIG_HOME", raising=False)
+        monkeypatch.delenv("GIT_CONFIG_GLOBAL", raising=False)
+        names = lambda: [p for p, *_ in tree.list_directory(str(tmp_path / "t"), IgnoreRules())]
+        assert names() == ["b.rs", "c.old"]
+        write(tmp_path, {"home/.gitconfig": f"[core]\n\texcludesFile = {tmp_path}/named\n"})
+        assert names() == ["a.bak", "b.rs"]
+        write(tmp_path, {"t/.gitignore": "!c.old\n"})
+        assert names() == ["a.bak", "b.rs", "c.old"]
+
+    def test_names_that_are_not_utf8(self, spark, tmp_path):
+        with open(os.fsencode(tmp_path) + b"/bad\xff.rs", "wb") as f:
+            f.write(b"x")
+        os.mkdir(os.fsencode(tmp_path) + b"/d\xfe")
+        with open(os.fsencode(tmp_path) + b"/d\xfe/in.rs", "wb") as f:
+            f.write(b"y")
+        write(tmp_path, {"good.rs": "z", ".ignore": "[unclosed\n"})
+        rows = {r.path: bytes(r.content) for r in tree.directory(spark, str(tmp_path)).collect()}
+        assert rows == {"bad\ufffd.rs": b"x", "d\ufffd/in.rs": b"y", "good.rs": b"z"}
+        git(tmp_path, "init", "-q")
+        commit(tmp_path)
+        assert listed(tree.revision(spark, str(tmp_path), "HEAD", ignore=False)) == sorted(rows)
+
+    def test_kept_hidden_files_links_and_deep_trees(self, tmp_path, monkeypatch):
+        deep = "/".join("d" for _ in range(1200))
+        monkeypatch.chdir(tmp_path)
+        for _ in range(1200):
+            os.mkdir("d")
+            os.chdir("d")
+        open("leaf.rs", "w").close()
+        os.chdir(tmp_path)
+        write(tmp_path, {".gitignore": "!.kept\n", ".kept": "x", ".other": "x", "sub/a.rs": "x"})
+        os.symlink(tmp_path, tmp_path / "sub/loop")
+        try:
+            found = [p for p, *_ in tree.list_directory(str(tmp_path), IgnoreRules(), follow=True)]
+        finally:
+            subprocess.run(["rm", "-rf", str(tmp_path / "d")], check=True)
+        assert found == [".kept", f"{deep}/leaf.rs", "sub/a.rs"]
+
+    def test_unreadable_files_are_error_rows(self, spark, tmp_path):
+        """A file that goes between listing and reading is a row with its error, and the rest is read."""
+        write(tmp_path, {"a.rs": "x\n", "b.rs": "y\n"})
+        reader = tree.DirectoryReader({"path": str(tmp_path)})
+        (part,) = reader.partitions()
+        (tmp_path / "a.rs").unlink()
+        rows = list(reader.read(part))
+        assert [(r[0], r[4] is None) for r in rows] == [("a.rs", False), ("b.rs", True)]
+        frame = spark.createDataFrame(rows, tree.SCHEMA)
+        assert [r.path for r in files.errors(frame).collect()] == ["a.rs"] and [r.path for r in files.report(frame).collect()] == ["b.rs"]
+
     def test_errors(self, spark, tmp_path):
         with pytest.raises(Exception, match="no such path"):
             tree.directory(spark, str(tmp_path / "none")).collect()
