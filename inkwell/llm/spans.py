@@ -29,29 +29,47 @@ SIZE = 3
 #: Words in a sentence that is not cut.
 LONG = 16
 SENTENCE = r"(?s).+?(?:[.!?][ \t\r\n]|[\x{3002}\x{FF01}\x{FF1F}\x{0964}]|\n|\z)"
+#: The same for Java, which skips over whole classes of characters where the other tries each place.
+FAST = r"(?s).[^.!?\n\x{3002}\x{FF01}\x{FF1F}\x{0964}]*+(?:[.!?](?![ \t\r\n])[^.!?\n\x{3002}\x{FF01}\x{FF1F}\x{0964}]*+)*+(?:[.!?][ \t\r\n]|[\x{3002}\x{FF01}\x{FF1F}\x{0964}]|\n|\z)"
 WORD = r"(?s)[\x{2E80}-\x{FFFF}]|[^ \x{2E80}-\x{FFFF}]+ ?| "
+NO_BLANKS = r"[\x{2E80}-\x{FFFF}]"
 BLANK = " \t\r\n"
 PLACE = 1 << 32
 
 
-def ends(word: Column) -> Column:
-    """Whether a long sentence is cut behind a word; the blank behind it is part of the word."""
-    return F.pmod(F.ascii(word) * 5 + F.length(word) * 11, F.lit(16)) < 3
+def ends(word: Column, blank: int = 0) -> Column:
+    """Whether a long sentence is cut behind a word; the blank behind it is part of the word, or one that was split off."""
+    return F.pmod(F.ascii(word) * 5 + (F.length(word) + blank) * 11, F.lit(16)) < 3
+
+
+def _between(words: Column, n: Column, blank: int, joined) -> Column:
+    """``joined(first, number)`` of the words up to each that ends a stretch, the last of ``n`` included."""
+    places = F.transform(words, lambda w, i: F.when(ends(w, blank) & (i < n - 1) | (i == n - 1), i + 1))
+    cut = lambda e: F.transform(e, lambda x, j: bind(F.coalesce(F.get(e, j - 1), F.lit(0)), lambda before: joined(before + 1, x - before, x == n)))
+    return bind(F.filter(places, lambda e: e.isNotNull()), cut)
 
 
 def pieces(text: Column) -> Column:
     """The text cut into stretches that hold one sentence or blanks; together they are the text."""
 
     def parted(sentence: Column) -> Column:
+        def at_blanks(words: Column) -> Column:
+            # a last blank leaves an empty word behind it, which is none
+            closed = F.element_at(words, -1) == ""
+            n = F.size(words) - closed.cast("int")
+            blank = lambda last: F.when(last & ~closed, "").otherwise(" ")
+            cut = _between(words, n, 1, lambda first, k, last: F.concat(F.array_join(F.slice(words, first, k), " "), blank(last)))
+            return F.when(n <= LONG, F.array(sentence)).otherwise(cut)
+
         def at_words(words: Column) -> Column:
-            places = F.transform(words, lambda w, i: F.when(ends(w) | (i == F.size(words) - 1), i + 1))
-            between = lambda e: F.transform(e, lambda x, j: bind(F.coalesce(F.get(e, j - 1), F.lit(0)), lambda before: F.array_join(F.slice(words, before + 1, x - before), "")))
-            return F.when(F.size(words) <= LONG, F.array(sentence)).otherwise(bind(F.filter(places, lambda e: e.isNotNull()), between))
+            cut = _between(words, F.size(words), 0, lambda first, k, last: F.array_join(F.slice(words, first, k), ""))
+            return F.when(F.size(words) <= LONG, F.array(sentence)).otherwise(cut)
 
         # each word is a character at least
-        return F.when(F.length(sentence) <= LONG, F.array(sentence)).otherwise(bind(F.regexp_extract_all(sentence, F.lit(WORD), F.lit(0)), at_words))
+        spaced = F.when(~sentence.rlike(NO_BLANKS), bind(F.split(sentence, " "), at_blanks))
+        return F.when(F.length(sentence) <= LONG, F.array(sentence)).otherwise(F.coalesce(spaced, bind(F.regexp_extract_all(sentence, F.lit(WORD), F.lit(0)), at_words)))
 
-    return F.flatten(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SENTENCE), F.lit(0)), parted))
+    return F.flatten(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(FAST), F.lit(0)), parted))
 
 
 def _sentences(parts: Column) -> Column:
@@ -60,19 +78,20 @@ def _sentences(parts: Column) -> Column:
 
 
 def _runs(sentences: Column, size: int) -> Column:
-    """(h, g, i): two hashes of a run, and the place of its first sentence among the sentences."""
+    """(h, g): two hashes of each run, in the order of their first sentences."""
     first = F.slice(sentences, F.lit(1), F.greatest(F.size(sentences) - (size - 1), F.lit(0)))
 
     def run(t: Column, i: Column) -> Column:
         said = [t["s"], *(F.get(sentences, i + k)["s"] for k in range(1, size))]
-        return F.struct(F.xxhash64(*said).alias("h"), F.hash(F.lit(size), *said).alias("g"), i.alias("i"))
+        return F.struct(F.xxhash64(*said).alias("h"), F.hash(F.lit(size), *said).alias("g"))
 
     return F.transform(first, run)
 
 
 def _keyed(docs: DataFrame, size: int) -> DataFrame:
-    found = bind(_sentences(pieces(F.col("text"))), lambda s: _runs(s, size))
-    return docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("row"), F.explode(found).alias("r")).select("doc", "row", "r.*")
+    """(doc, row, n, runs) of every text: its number of sentences and the hashes of its runs."""
+    found = bind(_sentences(pieces(F.col("text"))), lambda s: F.struct(F.size(s).alias("n"), _runs(s, size).alias("runs")))
+    return docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("row"), found.alias("f")).select("doc", "row", "f.n", "f.runs")
 
 
 def _place() -> Column:
@@ -82,14 +101,16 @@ def _place() -> Column:
 
 
 def repeated(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """(doc, row, gone): for each text with a non-first repeated run, its hash and the sentence numbers that such runs cover."""
-    runs = write(_keyed(docs, size), "spans-runs")
-    first = runs.frame.groupBy("h", "g").agg(F.min(_place()).alias("first"), F.count("*").alias("c")).where("c > 1")
+    """(doc, row, n, gone) of each text: its id, its hash, its number of sentences, and which of them non-first repeated runs cover."""
+    texts = write(_keyed(docs, size), "spans-runs")
+    runs = texts.frame.select("doc", "row", F.posexplode("runs").alias("i", "r")).select("doc", "row", "i", "r.h", "r.g")
+    first = runs.groupBy("h", "g").agg(F.min(_place()).alias("first"), F.count("*").alias("c")).where("c > 1")
     first = write(first.select(F.col("h").alias("f_h"), F.col("g").alias("f_g"), "first"), "spans-first")
-    later = runs.frame.join(first.frame, (F.col("h") == F.col("f_h")) & (F.col("g") == F.col("f_g"))).where(_place() > F.col("first"))
-    covered = later.select("doc", "row", F.explode(F.sequence(F.col("i"), F.col("i") + (size - 1))).alias("s"))
-    gone = cut(covered.groupBy("doc", "row").agg(F.collect_set("s").alias("gone")), "spans-gone")
-    runs.drop()
+    later = runs.join(first.frame, (F.col("h") == F.col("f_h")) & (F.col("g") == F.col("f_g"))).where(_place() > F.col("first"))
+    covered = later.select("doc", "row", F.lit(None).cast("int").alias("n"), F.explode(F.sequence(F.col("i"), F.col("i") + (size - 1))).alias("s"))
+    counted = texts.frame.select("doc", "row", "n", F.lit(None).cast("int").alias("s"))
+    gone = cut(counted.unionByName(covered).groupBy("doc", "row").agg(F.max("n").alias("n"), F.collect_set("s").alias("gone")), "spans-gone")
+    texts.drop()
     first.drop()
     return gone
 
@@ -98,17 +119,18 @@ def dedupe(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """``docs`` with ``kept_text``, ``n_sentences`` and ``n_removed``; one shuffle of the texts, by document."""
     gone = repeated(docs, size)
     carried = [c for c in docs.columns if c.lower() not in {"kept_text", "n_sentences", "n_removed"}]
-    joined = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["doc"]) & (F.xxhash64(docs["text"]) == gone["row"]), "left")
+    joined = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["doc"]) & F.xxhash64(docs["text"]).eqNullSafe(gone["row"]), "left")
     own, text = gone["gone"], docs["text"]
 
     def rebuilt(parts: Column) -> Column:
         def cleaned(sentences: Column) -> Column:
             drop = F.transform(F.filter(own, lambda g: g < F.size(sentences)), lambda g: F.get(sentences, g)["i"])
             keep = F.array_except(F.transform(parts, lambda _, i: i), drop)
-            kept = F.when(own.isNull(), text).otherwise(F.array_join(F.transform(F.sort_array(keep), lambda i: F.get(parts, i)), ""))
-            return F.struct(kept.alias("kept_text"), F.size(sentences).cast("long").alias("n_sentences"), F.coalesce(F.size(own), F.lit(0)).cast("long").alias("n_removed"))
+            return F.array_join(F.transform(F.sort_array(keep), lambda i: F.get(parts, i)), "")
 
         return bind(_sentences(parts), cleaned)
 
-    done = joined.select(*[docs[f"`{c}`"] for c in carried], bind(pieces(text), rebuilt).alias("d__"))
-    return done.select(*[F.col(f"`{c}`") for c in carried], "d__.kept_text", "d__.n_sentences", "d__.n_removed")
+    # only texts that lose a sentence are cut again
+    kept = F.when(F.size(own) == 0, text).otherwise(bind(pieces(text), rebuilt))
+    done = [kept.alias("kept_text"), gone["n"].cast("long").alias("n_sentences"), F.size(own).cast("long").alias("n_removed")]
+    return joined.select(*[docs[f"`{c}`"] for c in carried], *done)
