@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from inkwell import demo
 from inkwell.functions.languages import OTHER, UNKNOWN, registry
 from inkwell.operators.files import COUNTERS
 from inkwell.queries import AFTER, BEFORE, event_files_sql
@@ -15,7 +16,7 @@ CODE, DOCS = "impl_code + test_code", "impl_comments + test_comments"
 
 def _text(value: str) -> str:
     parts = [f"'{p}'" for p in value.replace("'", "''").split("\n")]
-    for raw, name in (("\r", 13), ("\t", 9), ("\f", 12), ("\v", 11)):
+    for raw, name in (("\r", 13), ("\t", 9), ("\f", 12), ("\v", 11), ("\x1b", 27)):
         parts = [p.replace(raw, f"' || chr({name}) || '") for p in parts]
     return "(" + " || chr(10) || ".join(parts) + ")"
 
@@ -133,6 +134,101 @@ CHANGED = "regexp_replace(coalesce(text, ''), 'the', 'THE' || chr(10), 'g')"
 QUOTED = "CASE WHEN regexp_matches(label, '[,\"\\n]') THEN '\"' || replace(label, '\"', '\"\"') || '\"' ELSE label END"
 
 
+def _html() -> str:
+    """HTML as a fold over its delimiters: (n)either, (c)omment, (d)ouble or (s)ingle quotes. Its text is the state now, then that at each line's end."""
+    state = lambda i: f"substr('n' || substr(fold, 2) || left(fold, 1), {i}, 1)"
+    opened = "CASE b WHEN '\"' THEN 'd' WHEN '''' THEN 's' WHEN '<!--' THEN 'c' ELSE 'n' END"
+    closed = "(left(a, 1) = 'c' AND b = '-->') OR (left(a, 1) = 'd' AND b = '\"') OR (left(a, 1) = 's' AND b = '''')"
+    tokens = r"\\\\|\\[" + "\"''" + r"]|<!--|-->|" + "\"|''|" + r"\n"
+    sums = ", ".join(f"count(*) FILTER (kind = '{k}')::BIGINT AS impl_{c}, 0::BIGINT AS test_{c}" for k, c in (("code", "code"), ("comment", "comments"), ("blank", "blanks")))
+    return f"""
+WITH t AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+f AS (
+  SELECT page_id, {_SPLIT("h")} AS l, list_reduce(list_prepend('n', regexp_extract_all(h, '{tokens}')), lambda a, b:
+    CASE WHEN b = chr(10) THEN a || left(a, 1) WHEN left(a, 1) = 'n' THEN {opened} || substr(a, 2) WHEN {closed} THEN 'n' || substr(a, 2) ELSE a END) AS fold FROM t),
+k AS (SELECT page_id, fold, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM f),
+c AS (SELECT trim(x, ' ' || chr(9) || chr(12) || chr(13)) AS x, {state("i")} AS before, {state("i + 1")} AS after FROM k),
+v AS (
+  SELECT CASE WHEN before = 'n' AND x = '' THEN 'blank' WHEN after IN ('d', 's') THEN 'code'
+    WHEN before = 'c' OR (starts_with(x, '<!--') AND (after = 'c' OR (ends_with(x, '-->') AND length(x) > 6))) THEN 'comment' ELSE 'code' END AS kind FROM c)
+SELECT 'Web' AS family, 'HTML' AS label, (SELECT count(*) FROM pages)::BIGINT AS files, {sums} FROM v"""
+
+
+def _values(columns: str, rows) -> str:
+    """A table of literals: column names with types, parted by commas."""
+    named = [c.split() for c in columns.split(",")]
+    sql = lambda v, t: f"{'NULL' if v is None else _text(v) if isinstance(v, str) else str(v).lower()}::{t}"
+    listed = ", ".join("(" + ", ".join(sql(v, t) for v, (_, t) in zip(r, named, strict=True)) + ")" for r in rows)
+    return f"SELECT * FROM (VALUES {listed}) v({', '.join(n for n, _ in named)})"
+
+
+def _size(*found: str) -> list[tuple[str, int]]:
+    texts = {p: t for p, t in (demo.FIRST | demo.SECOND | demo.LOOSE).items() if t is not None}
+    return [(p, len(texts[p].encode())) for p in found]
+
+
+def _trees() -> dict[str, str]:
+    """What the queries over the small repository give, set by hand from its contents."""
+    held = ("conf/deploy.yaml", "src/driver.c", "src/orders.py", "src/widget.ts")
+    six = ", ".join(f"{c} BIGINT" for c in COUNTERS)
+    lines = lambda text: _values("line_no BIGINT, line VARCHAR", enumerate(text.strip("\n").split("\n")))
+    dim, bold = (lambda t: f"\x1b[2m{t}\x1b[0m"), (lambda t: f"\x1b[1m{t}\x1b[0m")
+    return {
+        "tree_files": _values("path VARCHAR, size BIGINT", _size(*held, "kept.tmp", "run")),
+        "tree_files_unignored": _values("path VARCHAR", [(p,) for p in (*held, ".gitignore", ".ignore", *demo.LOOSE)]),
+        "tree_report": _values(f"family VARCHAR, label VARCHAR, files BIGINT, {six}", [
+            ("Scripting", "Python", 1, 4, 6, 2, 5, 1, 1), ("Configuration", "YAML", 1, 4, 2, 2, 0, 0, 0), ("JavaScript", "TypeScript", 1, 4, 1, 1, 5, 1, 1), ("Shell", "Shell", 1, 1, 1, 0, 0, 0, 0), ("Systems", "C", 1, 4, 7, 1, 0, 0, 0)]),
+        "tree_below": _values("path VARCHAR", [("deploy.yaml",)]),
+        "revision_files": _values("path VARCHAR, size BIGINT, same_id BOOLEAN", [(*f, True) for f in _size(*held)]),
+        "revision_subdirectory": _values("path VARCHAR", [("driver.c",), ("orders.py",)]),
+        "merge_base_change": _values(f"label VARCHAR, files BIGINT, {six}", [("src/driver.c", 0, 0, 1, 0, 0, 0, 0), ("src/widget.ts", 1, 4, 1, 1, 5, 1, 1), ("docs/guide.md", -1, 0, -4, -2, 0, 0, 0)]),
+        "nothing_to_count": _values(six, [(0,) * 6]),
+        "unreadable_files": "SELECT p_partkey || '.yaml' AS path, CASE WHEN p_size % 5 = 0 THEN 'denied' ELSE 'counted' END AS message FROM part",
+        "refs_parsed": _values("ref VARCHAR, kind VARCHAR, spelled VARCHAR", [
+            ("src", "path", "src"), ("git:HEAD~1", "git", "git:HEAD~1"), ("git:a:b", "git", "git:a:b"), ("git-merge:main:topic", "merge", "git-merge:main:topic"), ("git-merge:a:b:c", "merge", "git-merge:a:b:c"),
+            ("git:", "error", None), ("git-merge:a", "error", None), ("git-merge::b", "error", None), ("", "error", None)]),
+        "default_sources": _values("fact VARCHAR, value VARCHAR", [("default", "main"), ("head", "topic"), ("dirty", "True"), ("on main", "False"), ("refs", "git-merge:main:HEAD tree"), ("note", None)]),
+        "subdirectories_tidied": _values("given VARCHAR, tidy VARCHAR", [(".", ""), ("./", ""), ("./src/", "src"), ("/src//", "src"), ("a\\b", "a/b"), (" src ", "src")]),
+        "command_table": lines(f"""
+inkwell  main
+{"─" * 57}
+LANGUAGE       FILES  IMPL  DOC  TEST  TOTAL  DOC%  TEST%
+{"─" * 57}
+Scripting          1     4    7     5     19   37%    56%
+└─  Python         1     4    7     5     19   37%    56%
+Configuration      1     4    2     0      8   25%     0%
+└─  YAML           1     4    2     0      8   25%     0%
+Systems            1     4    6     0     11   55%     0%
+└─  C              1     4    6     0     11   55%     0%
+Documentation      1     0    4     0      6   67%      —
+└─  Markdown       1     0    4     0      6   67%      —
+{"─" * 57}
+TOTAL              4    12   19     5     44   43%    29%
+{"─" * 57}"""),
+        "command_change": lines(f"""
+inkwell  main → topic  (net change)
+{"─" * 57}
+FILE           FILES  IMPL  DOC  TEST  TOTAL  DOC%  TEST%
+{"─" * 57}
+src/widget.ts     +1    +4   +2    +5    +13   15%    56%
+docs/guide.md     -1     0   -4     0     -6     —      —
+src/driver.c       0     0   +1     0     +1  100%      —
+{"─" * 57}
+TOTAL              0    +4   -1    +5     +8     —    56%
+{"─" * 57}"""),
+        "command_subdirectory": lines("""
+family,language,files,impl_code,impl_comments,impl_blanks,test_code,test_comments,test_blanks,total
+Documentation,Markdown,-1,0,-4,-2,0,0,0,-6
+,TOTAL,-1,0,-4,-2,0,0,0,-6"""),
+        "command_colored": lines("\n".join([
+            bold("inkwell  main"), dim("─" * 53), "  ".join(map(dim, ("EXTENSION", "FILES", "IMPL", "DOC", "TEST", "TOTAL", "DOC%", "TEST%"))), dim("─" * 53),
+            "py             1     4    7     5     19   37%    56%", "c              1     4    6     0     11   55%     0%", dim("─" * 53),
+            f"{bold('TOTAL')}      {'  '.join(map(bold, ('    2', '   8', ' 13', '   5', '   30', ' 43%', '  38%')))}", dim("─" * 53)])),
+        "registry_overlaid": _values("key VARCHAR, name VARCHAR, extensions VARCHAR, family VARCHAR, detects_tests BOOLEAN, resolved VARCHAR", [
+            ("Rust", "Rust", "rs,rsx", "Systems", True, "Systems"), ("C", "C", "c,ec,pgc", "Systems", True, "Systems"), ("Toy", "Toy", "toy", "Other", True, None), ("Json", "Json", "json", "Other", False, None)]),
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     events = _events()
     plain = _counted("documents", "lang || '/' || source || '/' || doc_id", DOC)
@@ -188,4 +284,6 @@ def oracle_sql() -> dict[str, str]:
         "diff_against_nothing": f"SELECT family AS label, -count(*)::BIGINT AS files, {', '.join(f'-sum({c})::BIGINT AS {c}' for c in COUNTERS)} FROM {events} GROUP BY 1",
         "csv_rows": f"SELECT concat_ws(',', family, {QUOTED}, files, {', '.join(COUNTERS)}, {LINES}) AS line FROM {ROWS}",
         "json_rows": _json_row(),
+        "pages_as_html": _html(),
+        **_trees(),
     }

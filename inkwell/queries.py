@@ -11,13 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from inkwell import demo
 from inkwell.functions import paths
 from inkwell.functions.globs import Globs
-from inkwell.functions.languages import registry
+from inkwell.functions.languages import Registry, registry
 from inkwell.functions.scanner import Config
 from inkwell.operators import diff, files, report
 from inkwell.operators.files import COUNTERS
-from inkwell.plans import render
+from inkwell.plans import cli, refs, render
 from inkwell.samples import SAMPLES
 from inkwell.sources import tree
 from inkwell.sources.ignore import IgnoreRules, masked
@@ -303,6 +304,114 @@ def json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.json_rows(report.rows(event_report(spark, sf_dir), "extension"))
 
 
+# -- trees -------------------------------------------------------------------------------------------------------------------
+def tree_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A directory's files by all rules of its ignore files."""
+    return tree.directory(spark, demo.repository(spark)).select("path", "size")
+
+
+def tree_files_unignored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without ignore files, hidden files among them; version control directories stay out."""
+    return tree.directory(spark, demo.repository(spark), ignore=False, hidden=True).select("path")
+
+
+def tree_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.rows(files.report(tree.directory(spark, demo.repository(spark))))
+
+
+def tree_below(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A subdirectory, with the rules of the directories above it."""
+    return tree.directory(spark, demo.repository(spark), subdir="conf").select("path")
+
+
+def revision_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A revision's files; ``.gitignore`` says nothing about what is committed, and git's ids are those of the contents."""
+    held = tree.revision(spark, demo.repository(spark), "topic")
+    return held.select("path", F.octet_length("content").cast("long").alias("size"), (F.col("content_id") == diff.content_id(F.col("content"))).alias("same_id"))
+
+
+def revision_subdirectory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.revision(spark, demo.repository(spark), "main", subdir="src", hidden=True).select("path")
+
+
+def merge_base_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From where two branches part to one of them, by file; equal files are not counted."""
+    root = demo.repository(spark)
+    sides = [tree.revision(spark, root, r) for r in (tree.merge_base(root, "main", "topic"), "topic")]
+    changed = diff.changed_paths(*sides)
+    return diff.diff_rows(*(files.report(s, only_paths=changed) for s in sides), "file").drop("family")
+
+
+def nothing_to_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source that is absent: totals of nothing."""
+    return report.totals(files.report(tree.empty(spark)))
+
+
+def unreadable_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file that cannot be read is a row with its message, and no report's."""
+    path, bad = F.concat(F.col("p_partkey").cast("string"), F.lit(".yaml")), F.col("p_size") % 5 == 0
+    made = tree.from_table(_table(spark, sf_dir, "part"), path, F.when(~bad, F.lit("a: 1\n"))).withColumn("error", F.when(F.col("content").isNull(), "denied"))
+    return files.errors(made).unionByName(files.report(made).select("path", F.lit("counted").alias("message")))
+
+
+def refs_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = []
+    for text in ("src", "git:HEAD~1", "git:a:b", "git-merge:main:topic", "git-merge:a:b:c", "git:", "git-merge:a", "git-merge::b", ""):
+        try:
+            ref = refs.Ref.parse(text)
+            rows.append((text, ref.kind, str(ref)))
+        except ValueError:
+            rows.append((text, "error", None))
+    return spark.createDataFrame(rows, "ref string, kind string, spelled string")
+
+
+def default_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is compared when nothing is named, and what the repository says of itself."""
+    root = demo.repository(spark)
+    found, note = refs.default_refs(root)
+    facts = {"default": refs.default_branch(root), "head": refs.head_branch(root), "dirty": str(refs.is_dirty(root)), "on main": str(refs.on_branch(root, "main")), "refs": " ".join("tree" if r.kind == "path" else str(r) for r in found), "note": note}
+    return spark.createDataFrame(list(facts.items()), "fact string, value string")
+
+
+def subdirectories_tidied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = (".", "./", "./src/", "/src//", "a\\b", " src ")
+    return spark.createDataFrame([(t, refs.tidy_subdir(t)) for t in given], "given string, tidy string")
+
+
+def _printed(spark: SparkSession, *args: str) -> str:
+    return cli.run(spark, [*args, "-C", demo.repository(spark), "--color", "never"])
+
+
+def _numbered(spark: SparkSession, text: str) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(text.splitlines())), "line_no long, line string")
+
+
+def command_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of a printed table, families above their languages."""
+    return _numbered(spark, _printed(spark, "git:main"))
+
+
+def command_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of a printed change between two revisions, each file with its partner."""
+    return _numbered(spark, _printed(spark, "git:main", "git:topic", "--files"))
+
+
+def command_subdirectory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A subdirectory that one side lacks counts as empty there."""
+    return _numbered(spark, _printed(spark, "git:main", "git:topic", "--in", "docs", "--format", "csv"))
+
+
+def command_colored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _numbered(spark, cli.run(spark, ["git:main", "-C", demo.repository(spark), "--color", "always", "--by", "extension", "-n", "2"]))
+
+
+def registry_overlaid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages after an overlay changed one and added another; families by any spelling; which languages know tests."""
+    built = Registry.build({"languages": {"Rust": {"ext": "rs,rsx"}, "Toy": {"line": "%%", "ext": "toy", "test_blocks": ("test",)}}}, {"Systems": ("Rust", "C")})
+    rows = [(k, x.name, ",".join(x.extensions), x.family, x.detects_tests, built.resolve_family(x.family.upper())) for k in ("Rust", "C", "Toy", "Json") for x in [built.languages[k]]]
+    return spark.createDataFrame(rows, "key string, name string, extensions string, family string, detects_tests boolean, resolved string")
+
+
 ALL: tuple[Query, ...] = (
     lines_of_documents, prose_by_source, turns_by_directory, pages_as_html, classify_sources, sources_by_language, sources_without_test_blocks, docs_as_code, line_kinds, binary_files,
     include_exclude, hidden_and_vcs, max_file_size, only_languages, ignored_files, only_changed_paths,
@@ -310,6 +419,8 @@ ALL: tuple[Query, ...] = (
     totals, by_language, by_family, by_extension, by_path, by_directory_0, by_directory_1, by_directory_2, by_any_key, rows_with_files, family_roll_up, ratios, merged_reports,
     *map(_sorted, report.SORTS), top_then_total, largest_files,
     changed_paths, diff_by_language, diff_rows, diff_with_itself, diff_against_nothing, csv_rows, json_rows,
+    tree_files, tree_files_unignored, tree_report, tree_below, revision_files, revision_subdirectory, merge_base_change, nothing_to_count, unreadable_files,
+    refs_parsed, default_sources, subdirectories_tidied, command_table, command_change, command_subdirectory, command_colored, registry_overlaid,
 )
 
 

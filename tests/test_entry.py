@@ -8,7 +8,7 @@ from inkwell import oracles, queries
 
 def test_names():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(queries.queries()) - set(oracles.oracle_sql()) == {"pages_as_html"}
+    assert set(queries.queries()) == set(oracles.oracle_sql())
 
 
 def test_flagship(spark):
