@@ -5,10 +5,13 @@ within each; "unique" means one document holds it, "frequent" more than ``freque
 ``k`` tokens of its prefixes of length ``n - ceil(t n) + k``. Unique tokens are shared by nobody and give no signature; a rare token
 is one; frequent tokens are dealt into ``classes`` by hash, and two of one class make one. With frequent tokens of ``G`` classes in a
 prefix, ``k = 1 + G``: sharing that many tokens without a rare one among them puts two into one class. Sets smaller than ``SMALL``,
-for which that many shared tokens are not certain, use single tokens throughout; sets near that size use both schemes.
+for which that many shared tokens are not certain, use single tokens throughout; sets near that size use both schemes. Large sets have
+more classes, one for every ``PER_CLASS`` tokens by powers of two, so that signatures stay in proportion to a set; a set emits the
+signatures of each number of classes that a partner at the threshold may have.
 
-The order needs each token's class only, which is read from two bitmaps of fixed size; hashes that meet in a slot make a token look
-more frequent than it is, which costs time and no pair. Tokens are counted by a shuffle of four bytes each.
+The order needs each token's class only, which is read from two bitmaps that follow the data up to a fixed size; hashes that meet in a
+slot make a token look more frequent than it is, which costs signatures, one a token at most, and no pair. Tokens are counted by a
+shuffle of four bytes each.
 
 Equal sets are one vertex. A signature's vertices are first compared with one pivot, which joins groups of copies at a row per copy.
 What still shares a signature across components is compared in full: see ``links``. So every pair that shares a signature was compared
@@ -36,6 +39,7 @@ from inkwell.llm.store import Table, cut, write
 WIDTH = 5
 PERCENT = 80
 SMALL = 64
+PER_CLASS = 32
 #: Tasks among which a hub's neighbours are dealt.
 SALT = 8
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -86,6 +90,11 @@ def shingle_sets(texts: list[bytes | None], width: int = WIDTH) -> list[np.ndarr
     return out
 
 
+def classes_for(n: int, least: int) -> int:
+    """The number of classes for a set of ``n`` tokens."""
+    return least << max(0, (n // (PER_CLASS * least)).bit_length() - 1)
+
+
 def signatures(tokens: np.ndarray, kind: np.ndarray, percent: int, classes: int) -> np.ndarray:
     """Signatures of a set; ``kind`` is 0, 1 or 2 for each token: unique, rare, frequent."""
     n = len(tokens)
@@ -97,12 +106,15 @@ def signatures(tokens: np.ndarray, kind: np.ndarray, percent: int, classes: int)
     if n < SMALL:
         prefix = slice(0, n - need + 1)
         out.append(tokens[prefix][kind[prefix] > 0])
-    if n >= small:
+    if n < small:
+        return np.unique(out[0])
+    # a partner has between percent of n and n / percent tokens; the larger of the two has the number of classes that counts
+    for dealt in {classes_for(m, classes) for m in (n, 100 * n // percent)}:
         k = 1
         while True:
             prefix = slice(0, min(n, n - need + k))
             often = tokens[prefix][kind[prefix] == 2]
-            group = (often >> np.uint64(7)) % np.uint64(classes)
+            group = (often >> np.uint64(7)) % np.uint64(dealt)
             if (wanted := 1 + len(np.unique(group))) <= k:
                 break
             k = wanted
@@ -113,7 +125,7 @@ def signatures(tokens: np.ndarray, kind: np.ndarray, percent: int, classes: int)
             a, b = np.triu_indices(len(part), 1)
             with np.errstate(over="ignore"):
                 out.append(_mix(part[a] * ODD + part[b]))
-    return np.unique(np.concatenate(out)) if out else tokens[:0]
+    return np.unique(np.concatenate(out))
 
 
 def signed(docs: DataFrame, several: np.ndarray, many: np.ndarray, slots_log2: int, percent: int, classes: int) -> DataFrame:

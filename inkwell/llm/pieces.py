@@ -1,17 +1,19 @@
 """SentencePiece BPE encoding and decoding by suffix-array matching.
 
-A batch's text is indexed by a suffix array sorted to the length of the longest piece; every piece is binary-searched in it, which
+A batch's text, each of its words once, is indexed by a suffix array sorted to the length of the longest piece; every piece is binary-searched in it, which
 gives a range of suffixes and so all places where the piece occurs. These edges, sorted by the place they end at, are relaxed from
 left to right: at each place there is one edge whose piece may follow the piece that the relaxation chose at the edge's start, where
 "may follow" means that merging the two pieces' characters by score gives these two pieces back. That chain is the BPE encoding.
 
 No piece holds a space mark after another character, so a text falls into words (a run of space marks and what follows it) that are
-encoded apart from each other. The batch's text therefore holds each word once, and words seen before in the process are looked up.
+encoded apart from each other. The indexed text therefore is not the batch's raw text but its distinct words, each once, in the order
+in which they come; words seen before in the process are looked up. That departs from indexing every repetition and changes no result.
 Both tables are emptied at a fixed size, so memory does not grow with the input. The model file is read once by the driver (half a
 megabyte, sent with the task), never trained and never copied into the package.
 
 Defined results: a null text encodes to null and decodes to null, an empty text to no ids and back to an empty text; characters
-outside the vocabulary become their UTF-8 bytes; the character U+2581 decodes to a space, as in the model's own library; rows keep
+outside the vocabulary become their UTF-8 bytes; repeated rows are encoded alike; of merges that tie in score the leftmost comes first; a
+text of any length is encoded as a whole; the character U+2581 decodes to a space, as in the model's own library; rows keep
 their other columns, unless one is named like the output column, which is replaced; an empty table gives an empty result.
 """
 

@@ -280,6 +280,40 @@ class TestJaccard:
         want = brute.components(list(enumerate(said)))
         assert {d: got.get(d, d) for d in want} == {d: c for d, (_, c) in want.items()}
 
+    def test_full_bitmaps_and_long_sets(self, spark):
+        """With slots so few that all tokens look frequent: equal results, and signatures in proportion to the sets."""
+        import numpy as np
+
+        r, words = random.Random(2), prose(11, 5000).split()
+        said = [" ".join(words)]
+        for part in (0.02, 0.03, 0.05, 0.08):
+            said.append(" ".join(w if r.random() > part else f"x{r.randrange(99)}" for w in words[: r.randrange(4300, 5000)]))
+        said += [edited(prose(1, 90), k, k % 9) for k in range(20)]
+        frame = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+        want = brute.components(list(enumerate(said)))
+        assert 2 < len({c for _, c in want.values()}) < 20
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(frame, slots_log2=10).collect()} == want
+        for n in (70, 500, 1000, 5000, 100_000):
+            tokens = np.sort(np.random.default_rng(n).integers(0, 1 << 63, n, dtype=np.uint64))
+            assert len(jaccard.signatures(tokens, np.full(n, 2), 80, 16)) < 2.5 * n + 150
+
+    @pytest.mark.parametrize("n", [60, 64, 70, 79, 810, 830, 1020, 1030, 2050])
+    def test_pairs_at_the_threshold_share_a_signature(self, n):
+        """Sets that are just similar enough, of sizes on both sides of each border, with tokens of all kinds."""
+        import numpy as np
+
+        rng = np.random.default_rng(n)
+        for trial in range(60):
+            m = int(rng.integers(-(-4 * n // 5), n + 1))
+            common = -(-80 * (n + m) // 180)  # the least that reaches the threshold
+            if common > m:
+                continue
+            tokens = rng.permutation(rng.integers(0, 1 << 63, n + m - common, dtype=np.uint64))
+            kinds = dict(zip(tokens.tolist(), rng.choice([1, 2], len(tokens), p=[trial / 60, 1 - trial / 60]).tolist(), strict=True))
+            x, y = np.sort(tokens[:n]), np.sort(np.concatenate([tokens[:common], tokens[n:]]))
+            signed = [set(jaccard.signatures(s, np.array([kinds[t] for t in s.tolist()]), 80, 16).tolist()) for s in (x, y)]
+            assert signed[0] & signed[1]
+
     def test_empty_table_and_null_id(self, spark):
         assert jaccard.join(empty(spark).select("doc_id", "text")).count() == 0
         rows = spark.createDataFrame([(None, "a b c"), (4, "a b c"), (4, "d")], "doc_id long, text string")
