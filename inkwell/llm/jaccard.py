@@ -166,10 +166,10 @@ def sets_of(docs: DataFrame, wanted: DataFrame, slots_log2: int = 24) -> DataFra
     return found.join(wanted, found["doc"] == wanted["rep"]).select("rep", "tokens")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, ends: tuple[str, str] = ("a", "b")) -> DataFrame:
+    """(a, b): the two columns ``ends`` of the pairs (a, b, ...) whose sets are similar enough."""
     left, right = sets.select(F.col("rep").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("rep").alias("b"), F.col("tokens").alias("tb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
+    both = pairs.join(left, "a").join(right, "b").select(F.col(ends[0]).alias("a"), F.col(ends[1]).alias("b"), "ta", "tb")
 
     def run(batches):
         for batch in batches:
@@ -218,9 +218,10 @@ def _pairs(left: str, right: str, percent: int):
 
 
 def _compared(rows: DataFrame, percent: int) -> DataFrame:
-    """The similar pairs (a, b) of different components among the vertices (rep, comp, block, tokens) of each (pivot, lo, hi).
+    """(a, b): links that join the components of similar vertices among (rep, comp, block, tokens) of each (pivot, lo, hi).
 
-    A group is two blocks of bounded size, or one. Shared tokens are counted by products of slices of the token matrix.
+    A group is two blocks of bounded size, or one. Shared tokens are counted by products of slices of the token matrix. What a group
+    joins is returned as a row per component, its least one being ``b``, however many of its pairs are similar.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -241,11 +242,20 @@ def _compared(rows: DataFrame, percent: int) -> DataFrame:
             part[owner[x:y], token[x:y] - a] = 1
             common += part @ part.T
         near = 100 * common >= percent * (size[:, None] + size[None, :] - common)
-        near &= (comp[:, None] != comp[None, :]) & (rep[:, None] < rep[None, :])
         if lo != hi:
             near &= block[:, None] != block[None, :]
-        i, j = np.nonzero(near)
-        return pa.table({"a": pa.array(rep[i], pa.int64()), "b": pa.array(rep[j], pa.int64())})
+        name, of = np.unique(comp, return_inverse=True)
+        least = np.arange(len(name))
+        while True:  # each vertex takes the least of its neighbours' and its component's, until nothing changes
+            own = least[of]
+            seen = np.minimum(own, np.where(near, own[None, :], len(name)).min(axis=1, initial=len(name)))
+            now = least.copy()
+            np.minimum.at(now, of, seen)
+            if (now == least).all():
+                break
+            least = now
+        joined = least < np.arange(len(name))
+        return pa.table({"a": pa.array(name[joined], pa.int64()), "b": pa.array(name[least[joined]], pa.int64())})
 
     return rows.groupBy("pivot", "lo", "hi").applyInArrow(run, "a long, b long").distinct()
 
@@ -269,7 +279,6 @@ def links(members: DataFrame, sets: DataFrame, percent: int, few: int = 32, bloc
     vertices that have a pivot in common are dealt into blocks, and two blocks at a time are compared in one task, which returns links
     only. A block has about ``block`` vertices and ``block_tokens`` tokens, however many share the signature.
     """
-    spark = members.sparkSession
     sig = F.col("sig") == F.col("s")
     labelled = members.withColumn("comp", F.col("rep"))
     near = labelled.withColumnRenamed("n", "n_rep").join(_stars(labelled), sig).where("rep <> p")
@@ -285,7 +294,8 @@ def links(members: DataFrame, sets: DataFrame, percent: int, few: int = 32, bloc
     x = small.select("sig", F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("comp").alias("c_x"))
     y = small.select(F.col("sig").alias("s"), F.col("rep").alias("y"), F.col("n").alias("n_y"), F.col("comp").alias("c_y"))
     fits, a, b = _pairs("x", "y", percent)
-    second = write(x.join(y, sig & (F.col("c_x") < F.col("c_y")) & fits).select(a, b).distinct().join(first.frame, ["a", "b"], "left_anti"), "jaccard-pairs")
+    ends = F.least("c_x", "c_y").alias("ca"), F.greatest("c_x", "c_y").alias("cb")
+    second = write(x.join(y, sig & (F.col("c_x") < F.col("c_y")) & fits).select(a, b, *ends).distinct().join(first.frame, ["a", "b"], "left_anti"), "jaccard-pairs")
 
     large = labelled.join(open_.frame.where(F.col("c") > few).select("s", F.col("p").alias("pivot")), sig)
     near_misses = write(large.select("pivot", "rep", "n", "comp").distinct(), "jaccard-large")
@@ -296,10 +306,16 @@ def links(members: DataFrame, sets: DataFrame, percent: int, few: int = 32, bloc
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("pivot", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "comp")
     dealt = dealt.join(sets.withColumnRenamed("rep", "t"), F.col("rep") == F.col("t")).drop("t")
-    more = write(verified(second.frame, sets, percent).unionByName(_compared(dealt, percent)), "jaccard-edges")
+    # links between components, whose names are vertices too
+    more = write(verified(second.frame, sets, percent, ("ca", "cb")).unionByName(_compared(dealt, percent)).distinct(), "jaccard-edges")
     if not more.frame.isEmpty():
-        found.drop()
-        found = components(edges.frame.unionByName(more.frame))
+        above = components(more.frame)
+        up = above.frame.select(F.col("node").alias("u_node"), F.col("component").alias("u_component"))
+        both = found.frame.join(up, F.col("component") == F.col("u_node"), "left").select("node", F.coalesce("u_component", "component").alias("component"))
+        # a component's own vertex is no row of the first table
+        last, found = found, write(both.unionByName(up.select(F.col("u_node").alias("node"), F.col("u_component").alias("component"))), "jaccard-components")
+        last.drop()
+        above.drop()
     for table in (first, second, near_misses, marked, open_, edges, more):
         table.drop()
     return found
