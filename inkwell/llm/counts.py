@@ -1,4 +1,4 @@
-"""How often 64-bit tokens occur, as bitmaps of fixed size, and slicing of Arrow batches."""
+"""How often 64-bit tokens occur, as bitmaps of bounded size, and slicing of Arrow batches."""
 
 from __future__ import annotations
 
@@ -53,8 +53,8 @@ def classes(docs: DataFrame, tokens: Callable[[list[bytes | None]], list[np.ndar
 
     ``tokens`` gives the distinct tokens of each text. A task sends each token once per document, at most ``max(levels)`` times, as
     four bytes to the bucket of its leading bits. A bucket has an even share of hash space, so no document or token makes it large,
-    and the number of buckets follows the texts' bytes (``total``). Tokens that agree in 32 bits more than the bucket's are counted as one, which can
-    only set more bits. The bitmaps have one size whatever the input; the driver puts them together.
+    and the number of buckets follows the texts' bytes (``total``). Tokens that agree in 32 bits more than the bucket's are counted as
+    one, which can only set more bits. The bitmaps have the size that the caller chose; the driver puts them together.
     """
     buckets_log2 = log2_at_least((n_bytes(docs) if total is None else total) / BUCKET_BYTES, min(6, slots_log2 - 3), slots_log2 - 3)
     most = max(levels)

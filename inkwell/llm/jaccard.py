@@ -11,7 +11,8 @@ signatures of each number of classes that a partner at the threshold may have.
 
 The order needs each token's class only, which is read from two bitmaps that follow the data up to a fixed size; hashes that meet in a
 slot make a token look more frequent than it is, which costs signatures, one a token at most, and no pair. Tokens are counted by a
-shuffle of four bytes each.
+shuffle of four bytes each. Over ``MOST_BYTES`` of text, where bitmaps of that size would be full, nothing is counted and every token
+is taken for frequent; signatures that no two sets share leave at Spark's grouping in any case.
 
 Equal sets are one vertex. A signature's vertices are first compared with one pivot, which joins groups of copies at a row per copy.
 What still shares a signature across components is compared in full: see ``links``. So every pair that shares a signature was compared
@@ -40,6 +41,7 @@ WIDTH = 5
 PERCENT = 80
 SMALL = 64
 PER_CLASS = 32
+MOST_BYTES = 64 << 30
 #: Tasks among which a hub's neighbours are dealt.
 SALT = 8
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -321,12 +323,16 @@ def links(members: DataFrame, sets: DataFrame, percent: int, few: int = 32, bloc
     return found
 
 
-def join(docs: DataFrame, percent: int = PERCENT, frequent: int = 32, classes: int = 16, slots_log2: int = counts.SLOTS_LOG2) -> DataFrame:
+def join(docs: DataFrame, percent: int = PERCENT, frequent: int = 32, classes: int = 16, slots_log2: int = counts.SLOTS_LOG2, most_bytes: int = MOST_BYTES) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``; documents link at ``percent`` per cent and more."""
-    # some four slots a token, up to the bound; beyond it more tokens look frequent, which costs signatures and no pair
     total = counts.n_bytes(docs)
-    slots_log2 = counts.log2_at_least(total, 16, slots_log2)
-    several, many = counts.classes(docs, shingle_sets, (2, frequent + 1), slots_log2, total)
+    if total <= most_bytes:
+        # some four slots a token, up to the bound
+        slots_log2 = counts.log2_at_least(total, 16, slots_log2)
+        several, many = counts.classes(docs, shingle_sets, (2, frequent + 1), slots_log2, total)
+    else:
+        slots_log2 = 3
+        several = many = np.full(1, 255, np.uint8)
     rows = cut(signed(docs, several, many, slots_log2, percent, classes), "jaccard-docs")
     reps = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep")).select(F.col("node").alias("r_node"), "rep")
     flat = rows.where("sigs is not null").select("node", "n", F.explode("sigs").alias("sig")).distinct()

@@ -292,7 +292,8 @@ class TestJaccard:
         frame = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
         want = brute.components(list(enumerate(said)))
         assert 2 < len({c for _, c in want.values()}) < 20
-        assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(frame, slots_log2=10).collect()} == want
+        for options in ({"slots_log2": 10}, {"most_bytes": 0}):
+            assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(frame, **options).collect()} == want
         for n in (70, 500, 1000, 5000, 100_000):
             tokens = np.sort(np.random.default_rng(n).integers(0, 1 << 63, n, dtype=np.uint64))
             assert len(jaccard.signatures(tokens, np.full(n, 2), 80, 16)) < 2.5 * n + 150
