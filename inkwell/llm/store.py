@@ -25,7 +25,7 @@ class Table(NamedTuple):
     def drop(self) -> None:
         if self in _kept:
             _kept.remove(self)
-        self.frame.sparkSession.createDataFrame([], self.frame.schema).coalesce(1).write.mode("overwrite").parquet(self.path)
+        self.frame.sparkSession.range(0).coalesce(1).write.mode("overwrite").parquet(self.path)
 
 
 #: Tables that still have their rows.
