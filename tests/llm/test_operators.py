@@ -242,8 +242,8 @@ class TestSecrets:
         newer, _ = secrets.scan(one, marked, version="rules-2")
         assert {f.kind for r in newer.collect() for f in r.found} == {"assign"}
 
-    def test_a_known_ledger_shuffles_no_text(self, spark, tmp_path):
-        """Long texts, repeated rows, null paths and clashing columns; with every blob known, no text is read into a shuffle."""
+    def test_a_known_ledger_and_odd_rows(self, spark, tmp_path):
+        """Long texts, repeated rows, null paths and clashing columns; with every blob known, the ledger stays as it is."""
         said = ["token=abcdefgh " + "x " * 200_000, "clean", "token=abcdefgh", "token=abcdefgh", None]
         spark.createDataFrame([(k if k != 3 else None, t, "x", "y") for k, t in enumerate(said)], "doc_id long, text string, blob string, found string").write.parquet(f"{tmp_path}/docs")
         docs = spark.read.parquet(f"{tmp_path}/docs")
