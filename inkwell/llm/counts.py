@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 from collections.abc import Callable, Iterator
 
@@ -38,6 +39,24 @@ def texts_of(batch: pa.RecordBatch, name: str = "text", limit: int = SLICE_BYTES
         yield a, b, column.slice(a, b - a).cast(pa.binary()).to_pylist()
 
 
+def release() -> None:
+    """Give memory that is free back to the system: an idle Python worker would keep it beside Spark's own."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """A function over a task's batches that calls ``release`` behind the last one."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        release()
+
+    return wrapped
+
+
 def n_bytes(docs: DataFrame) -> int:
     """The bytes of all texts."""
     return docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
@@ -80,9 +99,11 @@ def classes(docs: DataFrame, tokens: Callable[[list[bytes | None]], list[np.ndar
             held = np.zeros(1 << (slots_log2 - buckets_log2), bool)
             held[found[first[times >= least]] >> np.uint32(32 - slots_log2 + buckets_log2)] = True
             bits.append(np.packbits(held, bitorder="little").tobytes())
+        del found, first, times
+        release()
         return pa.table({"bucket": table.column("bucket")[:1].cast(pa.int32()), "bits": pa.array([bits], pa.list_(pa.binary()))})
 
-    sent = docs.select("text").mapInArrow(send, "bucket int, tokens binary")
+    sent = docs.select("text").mapInArrow(tidy(send), "bucket int, tokens binary")
     chunks = write(sent.groupBy("bucket").applyInArrow(count, "bucket int, bits array<binary>"), "counts")
     maps = [np.zeros(1 << (slots_log2 - 3), np.uint8) for _ in levels]
     size = 1 << (slots_log2 - buckets_log2 - 3)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.counts import texts_of
+from inkwell.llm.counts import texts_of, tidy
 from inkwell.llm.store import cut
 
 BLOCK_BYTES = 16 << 20
@@ -168,7 +168,7 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, per_edit: int = 10, min_chars:
                     got = [(ids[a + k].as_py(), hashes[a + k].as_py(), *f) for k, t in enumerate(texts) for f in search.find(folded(t))]
                     yield pa.RecordBatch.from_arrays([pa.array([g[c] for g in got], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=["doc_id", "row", "item_id", "start", "end", "distance"])
 
-        part = rows.mapInArrow(run, SCHEMA)
+        part = rows.mapInArrow(tidy(run), SCHEMA)
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -31,6 +31,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -130,9 +131,8 @@ def signatures(tokens: np.ndarray, kind: np.ndarray, percent: int, classes: int)
     return np.unique(np.concatenate(out))
 
 
-def signed(docs: DataFrame, several: np.ndarray, many: np.ndarray, slots_log2: int, percent: int, classes: int) -> DataFrame:
-    """(doc_id, n, node, sigs): the set's size, a 128-bit digest of the set, and its signatures."""
-    maps = docs.sparkSession.sparkContext.broadcast((several, many))
+def signed(docs: DataFrame, maps: Broadcast, slots_log2: int, percent: int, classes: int) -> DataFrame:
+    """(doc_id, n, node, sigs): the set's size, a 128-bit digest of the set, and its signatures. ``maps`` holds the two bitmaps."""
 
     def run(batches):
         several, many = maps.value
@@ -148,13 +148,18 @@ def signed(docs: DataFrame, several: np.ndarray, many: np.ndarray, slots_log2: i
                 offsets = np.cumsum([0, *(0 if x is None else len(x) for x in sigs)]).astype(np.int32)
                 flat = np.concatenate([np.zeros(0, np.int64), *(x for x in sigs if x is not None)])
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "n", "node", "sigs"])
+        _hashes.clear()
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(counts.tidy(run), "doc_id long, n long, node binary, sigs array<long>")
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, node binary, sigs array<long>")
 
+def bitmap_of(wanted: DataFrame, slots_log2: int = 24) -> Broadcast:
+    """A bitmap, fixed in size, of the ids in ``wanted.rep``."""
+    return wanted.sparkSession.sparkContext.broadcast(counts.bitmap(wanted, F.xxhash64("rep"), slots_log2))
 
-def sets_of(docs: DataFrame, wanted: DataFrame, slots_log2: int = 24) -> DataFrame:
-    """(rep, tokens) of the documents in ``wanted.rep``. A bitmap of ids, fixed in size, spares the others' texts; an exact join follows."""
-    held = docs.sparkSession.sparkContext.broadcast(counts.bitmap(wanted, F.xxhash64("rep"), slots_log2))
+
+def sets_of(docs: DataFrame, wanted: DataFrame, held: Broadcast, slots_log2: int = 24) -> DataFrame:
+    """(rep, tokens) of the documents in ``wanted.rep``. Their bitmap spares the others' texts; an exact join follows."""
 
     def run(batches):
         words = held.value
@@ -162,9 +167,10 @@ def sets_of(docs: DataFrame, wanted: DataFrame, slots_log2: int = 24) -> DataFra
             batch = batch.filter(pa.array(counts.held(words, batch.column(2).to_numpy().view(np.uint64), slots_log2) == 1))
             for a, b, texts in counts.texts_of(batch):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())], names=["doc", "tokens"])
+        _hashes.clear()
 
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc"), "text").withColumn("hash", F.xxhash64("doc"))
-    found = rows.mapInArrow(run, "doc long, tokens binary")
+    found = rows.mapInArrow(counts.tidy(run), "doc long, tokens binary")
     return found.join(wanted, found["doc"] == wanted["rep"]).select("rep", "tokens")
 
 
@@ -183,7 +189,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, ends: tuple[str, s
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return both.mapInArrow(counts.tidy(run), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> Table:
@@ -333,13 +339,18 @@ def join(docs: DataFrame, percent: int = PERCENT, frequent: int = 32, classes: i
     else:
         slots_log2 = 3
         several = many = np.full(1, 255, np.uint8)
-    rows = cut(signed(docs, several, many, slots_log2, percent, classes), "jaccard-docs")
+    maps = docs.sparkSession.sparkContext.broadcast((several, many))
+    rows = cut(signed(docs, maps, slots_log2, percent, classes), "jaccard-docs")
+    maps.destroy()
     reps = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep")).select(F.col("node").alias("r_node"), "rep")
     flat = rows.where("sigs is not null").select("node", "n", F.explode("sigs").alias("sig")).distinct()
     often = flat.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1").select(F.col("sig").alias("s"))
     members = flat.join(often, F.col("sig") == F.col("s"), "left_semi").join(reps, F.col("node") == F.col("r_node")).where("rep is not null")
     held = write(members.select("sig", "rep", "n").distinct(), "jaccard-members")
-    sets = write(sets_of(docs, held.frame.select("rep").distinct()), "jaccard-sets")
+    wanted = held.frame.select("rep").distinct()
+    bits = bitmap_of(wanted)
+    sets = write(sets_of(docs, wanted, bits), "jaccard-sets")
+    bits.destroy()
     found = links(held.frame, sets.frame, percent).frame
     held.drop()
     sets.drop()

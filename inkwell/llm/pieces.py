@@ -29,6 +29,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from inkwell.llm.counts import tidy
+
 MARK = "▁"
 #: Parts the words of an index; a private-use character.
 SEPARATOR = "\ue000"
@@ -386,7 +388,7 @@ def encode(docs: DataFrame, proto: bytes, text: str = "text", out: str = "ids",
                 yield coded.append_column(back, _texts(encoder.model, ids, lengths, nulls.to_pylist())) if back else coded
         encoder.clear()  # Spark keeps the process for later tasks
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def decode(docs: DataFrame, proto: bytes, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -405,4 +407,4 @@ def decode(docs: DataFrame, proto: bytes, ids: str = "ids", out: str = "decoded"
                 flat = part.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 yield _with(batch.slice(a, b - a), keep, _texts(model, flat, lengths, part.is_null().to_pylist()), out)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

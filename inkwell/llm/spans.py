@@ -114,7 +114,7 @@ def _keyed(docs: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n), runs], ["doc", "row", "n", "runs"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("row"), "text")
-    return rows.mapInArrow(run, "doc long, row long, n long, runs array<struct<h:long,g:int>>")
+    return rows.mapInArrow(counts.tidy(run), "doc long, row long, n long, runs array<struct<h:long,g:int>>")
 
 
 def _place() -> Column:

@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -188,7 +189,7 @@ def chunks_of(rows: DataFrame, threshold: int, gram: int) -> DataFrame:
                     columns = [one.view(np.int64), two.view(np.int64), own[numbers[text]], row[numbers[text]], block.first[head] - block.begin[text] + offsets[text], n.astype(np.int32)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["one", "two", "doc", "row", "at", "n"])
 
-    return rows.mapInArrow(run, "one long, two long, doc long, row long, at long, n int")
+    return rows.mapInArrow(counts.tidy(run), "one long, two long, doc long, row long, at long, n int")
 
 
 def uncovered(rows: DataFrame, gone: DataFrame, threshold: int) -> DataFrame:
@@ -208,12 +209,11 @@ def uncovered(rows: DataFrame, gone: DataFrame, threshold: int) -> DataFrame:
                 kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], t) for c, t in enumerate(kinds)], names=["doc", "text", "row", "at"])
 
-    return joined.select("doc", F.col("text").cast("binary").alias("text"), "row", "gone").mapInArrow(run, "doc long, text binary, row long, at long")
+    return joined.select("doc", F.col("text").cast("binary").alias("text"), "row", "gone").mapInArrow(counts.tidy(run), "doc long, text binary, row long, at long")
 
 
-def runs_of(rows: DataFrame, repeated: np.ndarray | None, slots_log2: int, threshold: int, gram: int) -> DataFrame:
-    """(anchor, name, doc, row, at, n): runs of ``n`` windows from byte ``at``; with a bitmap, those whose anchor several stretches may hold."""
-    bits = rows.sparkSession.sparkContext.broadcast(repeated)
+def runs_of(rows: DataFrame, bits: Broadcast, slots_log2: int, threshold: int, gram: int) -> DataFrame:
+    """(anchor, name, doc, row, at, n): runs of ``n`` windows from byte ``at``; with a bitmap in ``bits``, those whose anchor several stretches may hold."""
 
     def run(batches):
         for batch in batches:
@@ -229,7 +229,7 @@ def runs_of(rows: DataFrame, repeated: np.ndarray | None, slots_log2: int, thres
                     columns = [block.anchor[keep].view(np.int64), block.name[keep].view(np.int64), own[numbers[text]], row[numbers[text]], at, block.count[keep].astype(np.int32)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "name", "doc", "row", "at", "n"])
 
-    return rows.mapInArrow(run, "anchor long, name long, doc long, row long, at long, n int")
+    return rows.mapInArrow(counts.tidy(run), "anchor long, name long, doc long, row long, at long, n int")
 
 
 def lengths(threshold: int, rounds: int) -> list[int]:
@@ -275,7 +275,7 @@ def windows_of(rows: DataFrame, edges: DataFrame, threshold: int, rounds: int) -
         if held:
             yield named(*map(list, zip(*held, strict=True)))
 
-    return joined.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return joined.mapInArrow(counts.tidy(run), ", ".join(f"{c} long" for c in names))
 
 
 def doubled(windows: DataFrame, rounds: int) -> DataFrame:
@@ -327,7 +327,9 @@ def repeats(docs: DataFrame, threshold: int = THRESHOLD, gram: int | None = None
         (repeated,) = counts.classes(rest.frame, lambda texts: _anchors(texts, threshold, gram), (2,), slots_log2, total)
     # without the bitmap, shorter anchors give fewer runs
     gram = gram or threshold // 2 + 1
-    runs = write(runs_of(rest.frame, repeated, slots_log2, threshold, gram), "suffix-runs")
+    bits = docs.sparkSession.sparkContext.broadcast(repeated)
+    runs = write(runs_of(rest.frame, bits, slots_log2, threshold, gram), "suffix-runs")
+    bits.destroy()
     rest.drop()
     names = write(_ranked(runs.frame, ["anchor", "name"]), "suffix-names")
     anchors = names.frame.groupBy("r_anchor").agg(F.min("least").alias("a"), F.max("least").alias("b")).where("b > a").select(F.col("r_anchor").alias("a_anchor"))
@@ -375,4 +377,4 @@ def dedupe(docs: DataFrame, threshold: int = THRESHOLD, **options) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([o[c] for o in out], t) for c, t in enumerate(kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return joined.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return joined.mapInArrow(counts.tidy(run), f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -273,9 +273,10 @@ class TestJaccard:
         frame = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
         rows = frame.select("doc_id", "text")
         several, many = jaccard.counts.classes(rows, jaccard.shingle_sets, (2, frequent + 1))
-        signed = jaccard.signed(rows, several, many, jaccard.counts.SLOTS_LOG2, 80, 4)
+        signed = jaccard.signed(rows, spark.sparkContext.broadcast((several, many)), jaccard.counts.SLOTS_LOG2, 80, 4)
         members = signed.select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("rep"), "n").distinct().cache()
-        found = jaccard.links(members, jaccard.sets_of(rows, members.select("rep").distinct()), 80, few=2, block=5)
+        wanted = members.select("rep").distinct()
+        found = jaccard.links(members, jaccard.sets_of(rows, wanted, jaccard.bitmap_of(wanted)), 80, few=2, block=5)
         got = {r.node: r.component for r in found.frame.collect()}
         want = brute.components(list(enumerate(said)))
         assert {d: got.get(d, d) for d in want} == {d: c for d, (_, c) in want.items()}
@@ -415,14 +416,14 @@ class TestSuffix:
         got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in suffix.dedupe(docs).collect()}
         assert got == want
 
-    def test_without_a_bitmap_and_with_other_rounds(self, docs, texts):
+    def test_without_a_bitmap_and_with_other_rounds(self, spark, docs, texts):
         """All runs go to Spark's sorts: equal results, and for prose some twelve bytes a row."""
         want = brute.repeats(list(enumerate(texts)))
         for options in ({"most": 0}, {"slots_log2": 16, "rounds": 1}, {"gram": 26, "rounds": 3}):
             got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in suffix.dedupe(docs, **options).collect()}
             assert got == want, options
         rows = suffix._shuffled(docs.where("length(text) > 9000 and text like '% %'")).withColumn("at", F.lit(0).cast("long"))
-        assert suffix.runs_of(rows, None, 0, 50, 26).count() < rows.agg(F.sum(F.octet_length("text"))).first()[0] / 10
+        assert suffix.runs_of(rows, spark.sparkContext.broadcast(None), 0, 50, 26).count() < rows.agg(F.sum(F.octet_length("text"))).first()[0] / 10
 
     def test_windows_are_doubled_by_sorted_pairs(self, spark):
         assert suffix.lengths(50, 2) == [13, 25, 50] and suffix.lengths(7, 3) == [1, 2, 4, 7]
